@@ -51,8 +51,9 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     counts = [c for c in out.columns if c != "h"]
     at = lambda i, k: F.get("h", i + k)
     windows = F.when(F.size("h") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
-    out = out.select(*counts, F.size(F.array_distinct("h")).cast("long").alias("n_distinct"), windows.alias("windows"))
-    counts.append("n_distinct")
+    stutter = F.size(F.filter("h", lambda x, i: F.coalesce(x == at(i, -1), F.lit(False)))).cast("long")
+    out = out.select(*counts, F.size(F.array_distinct("h")).cast("long").alias("n_distinct"), stutter.alias("n_stutter"), windows.alias("windows"))
+    counts += ["n_distinct", "n_stutter"]
     paired = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.select(*counts, F.when(F.size(F.array_distinct("windows")) < F.size("windows"), paired).alias("p"))
     twice = F.filter("p", lambda x, i: F.coalesce(F.get("p", i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("p", i + 1)["h"] == x["h"], F.lit(False)))
@@ -70,13 +71,15 @@ def rule_votes() -> dict[str, Column]:
     """The rules: a name and a vote of -1, 0 or 1 from the columns of text_statistics."""
     share = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))
     symbols, upper, bars = share("n_symbols", "word_chars"), share("n_upper", "word_chars"), share("n_bars", "n_words")
+    stutter = share("n_stutter", "n_words")
     repeats, distinct, length = share("n_repeat_words", "n_words"), share("n_distinct", "n_words"), share("word_chars", "n_words")
-    prose = (symbols < 0.02) & (upper < 0.15) & (bars < 0.1) & (repeats < 0.1)
+    prose = (symbols < 0.02) & (upper < 0.15) & (bars < 0.1) & (repeats < 0.2) & (stutter < 0.1)
     rules = {
         "symbols": _bands(symbols, symbols > 0.06, F.lit(False)),
         "shouting": _bands(upper, upper > 0.35, F.lit(False)),
         "table": _bands(bars, bars > 0.25, F.lit(False)),
         "repetition": _bands(repeats, repeats > 0.2, F.lit(False)),
+        "stutter": _bands(stutter, stutter > 0.15, F.lit(False)),
         "vocabulary": _bands(distinct, (F.col("n_words") >= 30) & (distinct < 0.15), F.lit(False)),
         "lines": _bands(share("n_dup_lines", "n_lines"), share("n_dup_lines", "n_lines") > 0.3, F.lit(False)),
         "word_length": _bands(length, (length > 16) | (length < 2), F.lit(False)),

@@ -43,7 +43,8 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     """Indices into `at` of the cuts, first and last included, of least cost.
 
     A window of length L costs EACH plus its padding: size - L, or nothing when
-    L is a power of two.  cost[k] = penalty[k] + EACH + size - at[k] + the least
+    L is a power of two (windows under size / 16 aren't considered for that).
+    cost[k] = penalty[k] + EACH + size - at[k] + the least
     cost[j] + at[j] over j within `size` before k: the queue holds the candidates
     for that least value in increasing order, so each enters and leaves once.
     """
@@ -51,8 +52,8 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     where = at.tolist()
     penalties = penalty.tolist()
     short: dict[int, list[int]] = {}
-    p = 1
-    while p <= size:
+    p = max(1, size // 16)
+    while p < size:
         found = np.searchsorted(at, at - p)
         hit = np.flatnonzero((at >= p) & (at[np.minimum(found, n - 1)] == at - p))
         for k, j in zip(hit.tolist(), found[hit].tolist(), strict=True):

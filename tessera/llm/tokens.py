@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 
 import numpy as np
 
 #: A space followed by white space or the end: there a token may span the space.
-_UNEVEN = re.compile(" (?:[\\s᠎​﻿]|$)")
-_KEPT = 300_000  # words whose ids a worker remembers; the memory is cleared when full
-_PUNCTUATION = ".,!?;:"
+_UNEVEN = re.compile(" (?:[\\s\u180e\u200b\ufeff]|$)")
+#: Runs of letters, of digits and of marks (no apostrophe: contractions), and a lone
+#: line break; the byte-level pre-tokeniser cuts exactly there.
+_RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+|(?<=\\S)\n(?=\\S)")
+_KEPT = 250_000  # words whose ids a worker remembers; when as many are new, older ones not met since are forgotten
 
 
 def default_path() -> str:
@@ -18,31 +22,45 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+
+
 class _Words(dict):
     """word -> ids (little-endian unsigned 32-bit), filled by the tokenizer as words turn up.
 
-    The vocabulary's pre-tokeniser never joins letters with punctuation or with a
-    line break, so a word's tail of that kind is encoded apart and the stem looked up.
+    A word is looked up run by run; a run of letters needs the tokenizer's model
+    only, anything unusual goes through the whole tokenizer.
     """
 
-    def __init__(self, encode, space: str):
+    def __init__(self, tokenizer, space: str):
         super().__init__()
-        self.encode, self.space, self.bare = encode, space, self
+        self.encode, self.model, self.space, self.bare = tokenizer.encode, tokenizer.model.tokenize, space, self
+        self.letters = _byte_letters()
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in _PUNCTUATION and word[:-1].isalpha():
-            return self[word[:-1]] + self.bare.whole(word[-1])
-        head, line_break, tail = word.partition("\n")
-        if line_break and head and tail and not head[-1].isspace() and not tail[0].isspace():
-            return self[head] + self.bare.whole("\n") + self.bare[tail]
-        return self.whole(word)
-
-    def whole(self, word: str) -> bytes:
-        if (known := self.get(word)) is not None:
-            return known
+        if (known := self.older.get(word)) is not None:
+            return self.keep(word, known)
+        runs = _RUNS.findall(word)
+        if "<|" in word or sum(map(len, runs)) != len(word):
+            ids = self.encode(self.space + word, add_special_tokens=False).ids
+        elif len(runs) > 1:
+            out = self[runs[0]] + b"".join(map(self.bare.__getitem__, runs[1:]))
+            return self.keep(word, out) if len(word) < 9 else out
+        elif runs and runs[0][0].isalpha():
+            ids = [t.id for t in self.model((self.space + word).encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.encode(self.space + word, add_special_tokens=False).ids
+        return self.keep(word, array("I", ids).tobytes())
+
+    def keep(self, word: str, out: bytes) -> bytes:
         if len(self) >= _KEPT:
+            self.older = dict(self)
             self.clear()
-        out = np.array(self.encode(self.space + word), "<u4").tobytes()
         if len(word) < 64:
             self[word] = out
         return out
@@ -51,27 +69,30 @@ class _Words(dict):
 class Encoder:
     """Encodes texts as the tokenizer at `path` does, add_special_tokens=False.
 
-    A text is cut before single spaces, where the byte-level pre-tokeniser always
-    cuts, and the ids of repeated words are remembered.  Texts with other runs of
-    spaces go to the tokenizer whole.
+    With a byte-level pre-tokeniser a text is cut before single spaces, where that
+    always cuts, and the ids of repeated words are remembered.  Texts with other
+    runs of spaces, and all texts under other tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        encode = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
-        self.encode, self.inner, self.first = encode, _Words(encode, " "), _Words(encode, "")
+        self.inner, self.first = _Words(self.tokenizer, " "), _Words(self.tokenizer, "")
         self.inner.bare = self.first
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        cut = made.get("pre_tokenizer") or {}
+        self.by_word = made.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
-        if _UNEVEN.search(text):
-            return np.array(self.encode(text), "<u4")
-        head, _, rest = text.partition(" ")
+        if not self.by_word or _UNEVEN.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        head, space, rest = text.partition(" ")
         parts = [self.first[head]] if head else []
-        if _:
+        if space:
             parts += map(self.inner.__getitem__, rest.split(" "))
         return np.frombuffer(b"".join(parts), "<u4")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import broadcast_if_small, materialize
+from .store import broadcast_if_small, materialize, without
 
 #: What normalisation deletes: the characters of [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -52,5 +52,4 @@ def exact_dedup(docs: DataFrame, hashed=content_hash) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that exact_dedup keeps, columns unchanged."""
-    dropped = exact_dedup(docs).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, exact_dedup(docs).where("not kept"))

@@ -72,7 +72,7 @@ def _keys(edits: int, least: int):
                 for _, line in _lines(text):
                     if len(line) < least:
                         continue
-                    h = int.from_bytes(_digest(line)[:8], "little", signed=True)
+                    h = int.from_bytes(_digest(line)[:8], "big", signed=True)
                     if h in seen:  # copies within a task would only give the same rows again
                         continue
                     seen.add(h)
@@ -82,9 +82,9 @@ def _keys(edits: int, least: int):
                     start, end, code = _places(len(line), edits)
                     keys.append(mix((sums[end] - sums[start]) * powers(len(sums))[1][start]) ^ code)
                     lines.append(h)
-            n = np.array([len(k) for k in keys], int)
+            ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(lines, np.int64), n))], ["key", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["near", "keys"])
 
     return task
 
@@ -143,14 +143,15 @@ def find_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = materialize(own.mapInArrow(_list, "doc_id long, line int, digest binary, n_chars int"), "lines")
 
-    keys = own.select("text").mapInArrow(_keys(edits, least), "key long, near long")
+    keyed = materialize(own.select("text").mapInArrow(_keys(edits, least), "near long, keys array<long>"), "keys")
+    keys = keyed.select("near", F.explode("keys").alias("key"))
     shared = materialize(keys.groupBy("key").agg(F.min("near").alias("v"), F.max("near").alias("u")).where("v < u"), "shared")
     stars = keys.join(broadcast_if_small(shared.select("key", "v"), 16), "key").where("near > v").select(F.col("near").alias("u"), "v")
     groups = materialize(connected_components(stars).withColumnRenamed("node", "near"), "groups")
 
     where = F.struct(F.col("doc_id"), F.col("line"))
     first = lines.where("line >= 0").groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.min("n_chars").alias("n_chars"))
-    first = materialize(first.withColumn("near", F.conv(F.hex(F.reverse(F.substring("digest", 1, 8))), 16, -10).cast("long")), "first")
+    first = materialize(first.withColumn("near", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")), "first")
     candidates = first.where(F.col("n_chars") >= least).join(broadcast_if_small(groups, 16), "near").select("digest", "first", "component").withColumn("id", F.monotonically_increasing_id())
     candidates = materialize(candidates, "candidates")
 

@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import broadcast_if_small, materialize
+from .store import broadcast_if_small, materialize, without
 
 LEVELS = ("domain", "lang", "source")
 #: Production weights; whole numbers, so that budgets are exact at any size.
 DOMAIN_WEIGHTS = {"web": 5, "books": 3, "code": 2}
 LANG_WEIGHTS = {"en": 6, "de": 2, "fr": 2, "es": 2}
 DOMAIN_OF = {"web": [f"src{i}" for i in range(8)], "books": [f"src{i}" for i in range(8, 14)], "code": [f"src{i}" for i in range(14, 20)]}
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def domain_of(source: Column) -> Column:
@@ -118,8 +118,7 @@ def mix_sources(docs: DataFrame, percent: int = 80, epochs: int = 2, seed: int =
 
 def take_mixture(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of `docs` that a mixture of one epoch takes, columns unchanged."""
-    left_out = mix_sources(docs, percent, epochs=1).where("copies = 0").select("doc_id")
-    return docs.join(left_out, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, mix_sources(docs, percent, epochs=1).where("copies = 0"))
 
 
 def oracle_sql(table: str = "documents", percent: int = 80, epochs: int = 2, seed: int = 7) -> str:

@@ -24,7 +24,7 @@ from .blocks import block_pairs
 from .components import connected_components, spanning
 from .hashing import mix, shingle_sets
 from .runs import keyed_runs
-from .store import broadcast_if_small, materialize, partitions
+from .store import broadcast_if_small, materialize, partitions, without
 
 HASHES, ROWS = 128, 4  # 32 bands of 4: a pair at 0.8 shares none with probability 5e-8
 STEPS = (16, 32, 64, 96, 128)
@@ -236,5 +236,4 @@ def keep_one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Of every class the document with the smallest doc_id stays; columns are unchanged.
     """
-    dropped = ngram_join(docs, threshold).where("class_id <> doc_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, ngram_join(docs, threshold).where("class_id <> doc_id"))

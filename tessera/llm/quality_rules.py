@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, without
 
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 WINDOW = 5
@@ -133,4 +133,4 @@ def quality_rules(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that quality_rules keeps, columns unchanged."""
-    return docs.join(quality_rules(docs).where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, quality_rules(docs).where("not kept"))

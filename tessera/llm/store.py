@@ -43,5 +43,15 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id isn't in `dropped`, columns unchanged.
+
+    The ids are written and counted first: while they are few they are broadcast
+    and no text is shuffled, otherwise both sides are shuffled by doc_id.
+    """
+    ids = materialize(dropped.select("doc_id").distinct(), "dropped")
+    return docs.join(broadcast_if_small(ids, 16), "doc_id", "left_anti").select(*docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

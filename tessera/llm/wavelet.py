@@ -19,15 +19,20 @@ MAGIC = b"WMX1"
 RANK_BITS = 4096
 
 
+def _small(width: int) -> type:
+    return np.uint16 if width <= 16 else np.uint32
+
+
 def encode(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, nulls: list[int] = ()) -> bytes:
     """A file of the ids of documents that lie one after the other."""
     values = np.asarray(ids, np.uint32)
     width = max(1, int(values.max(initial=0)).bit_length())
+    values = values.astype(_small(width))
     press = zstandard.ZstdCompressor(level=1).compress
     frames = [press(np.asarray(doc_ids, "<i8").tobytes()), press(np.asarray(sizes, "<u4").tobytes())]
     zeros = []
     for shift in range(width - 1, -1, -1):
-        bits = (values >> np.uint32(shift)) & np.uint32(1) != 0
+        bits = values & values.dtype.type(1 << shift) != 0
         packed = np.packbits(bits)
         padded = np.zeros(-(-len(values) // RANK_BITS) * RANK_BITS, np.uint8)
         padded[: len(bits)] = bits
@@ -142,11 +147,11 @@ class WaveletShard:
 
     def decode(self) -> np.ndarray:
         """All ids: from the last plane up, each stable partition is undone."""
-        values = np.zeros(self.n, np.uint32)
+        values = np.zeros(self.n, _small(self.width))
         for level in range(self.width - 1, -1, -1):
             bits = np.unpackbits(self._plane(level)[0], count=self.n).astype(bool)
             before = np.empty_like(values)
             before[~bits] = values[: self.zeros[level]]
             before[bits] = values[self.zeros[level] :]
-            values = before | bits.astype(np.uint32) << np.uint32(self.width - 1 - level)
-        return values
+            values = before | bits.astype(values.dtype) << values.dtype.type(self.width - 1 - level)
+        return values.astype(np.uint32)

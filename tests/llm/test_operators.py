@@ -1,0 +1,346 @@
+"""Operators for training data against brute force, on hard cases and on the small tables."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import boosting, mixing
+from tessera.llm.classifier import score_quality
+from tessera.llm.components import connected_components
+from tessera.llm.edit_distance import within
+from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.line_dedup import candidate_pairs, dedup_lines, find_repeated_lines
+from tessera.llm.mixing import mix_sources
+from tessera.llm.ngram_join import keep_one_of_each, ngram_join
+from tessera.llm.packing import best_cuts, cut_points, pack
+from tessera.llm.pii import find_personal_data, redact, summary
+from tessera.llm.quality_rules import estimate, quality_rules
+from tessera.llm.queries import oracle_sql, queries
+from tessera.llm.sharding import shard
+from tessera.llm.token_files import round_trip
+from tessera.llm.tokens import default_path, encoder
+from tessera.llm.wavelet import WaveletShard, encode
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, h long"
+LONG = " ".join(f"word{i}" for i in range(30_000))
+HARD = [
+    (1, None, None, None, None, "x", 1), (2, "", "en", "src1", 0, None, 2), (3, " \n\t ", "en", "src1", 3, None, None), (4, "a b c", "en", "src2", 5, "y", 4),
+    (5, LONG, "de", "src0", 9, "y", 5), (6, LONG + " end", "de", "src0", 9, "y", 5), (7, "Same  text here", "fr", "zzz", 1, "y", 5), (8, "Same text here", "fr", "zzz", 1, "y", 5),
+    (9, "Sametext here", "fr", "zzz", 1, "y", 5), (4, "a b c", "en", "src2", 5, "y", 4), (10, "é" * 70 + "\nline of text that is repeated\nline of text that is repeeted", "es", "src3", 1, "", 0),
+    (11, "mail me at a.b@c.de or +1 (017) 555-7713, 10.0.0.255 999.1.1.1 4111 1111 1111 1111", "en", "src1", 1, "", 0),
+]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    return spark.createDataFrame(HARD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+OPERATORS = {
+    "lines": find_repeated_lines, "join": ngram_join, "copies": exact_dedup, "rules": quality_rules, "mix": mix_sources, "pack": pack,
+    "files": round_trip, "shard": shard, "pii": lambda d: summary(find_personal_data(d)), "quality": lambda d: score_quality(d, d.select("doc_id", (F.col("doc_id") % 2).alias("quality"))),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_hard_and_empty_tables(hard, name):
+    got = OPERATORS[name](hard).collect()
+    ids = [r.doc_id for r in got]
+    assert set(ids) == set(range(1, 12))
+    assert name in ("pack", "lines") or len(ids) == len(HARD)
+    assert OPERATORS[name](hard.limit(0)).count() == 0
+
+
+def test_exact_dedup(hard):
+    got = {r.doc_id: r for r in exact_dedup(hard).collect()}
+    assert [got[i].keep_id for i in (1, 2, 3, 7, 8, 9)] == [3, 3, 3, 7, 7, 7]  # most code points, then smallest id
+    assert got[7].group_size == 3 and got[8].text_sha256 == hashlib.sha256(b"Sametexthere").hexdigest()
+    one = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(hard, hashed=lambda c: F.lit(b"0")).collect()}
+    assert one == {i: (r.keep_id, r.group_size) for i, r in got.items()}  # all hashes collide: the bytes decide
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    mine, sql = queries()[name](spark, SF).toPandas(), con.sql(oracle_sql()[name]).df()
+    cols = sorted(sql.columns)
+    assert cols == sorted(mine.columns)
+    assert sorted(map(tuple, mine[cols].astype(str).values)) == sorted(map(tuple, sql[cols].astype(str).values))
+
+
+def distance(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        q = [i]
+        for j, y in enumerate(b, 1):
+            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+        p = q
+    return p[-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abé", min_size=4, max_size=24), st.lists(st.tuples(st.integers(0, 24), st.sampled_from(["", "a", "x", "ab"])), max_size=4))
+def test_edit_join(a, changes):
+    b = a
+    for at, new in changes:
+        b = b[:at] + new + b[at + 1 :]
+    if len(b) < 4:
+        return
+    for k in (1, 2, 3):
+        d = distance(a, b)
+        assert within([(a, b)], k)[0] == min(d, k + 1)
+        assert d > k or candidate_pairs([a, b], k) == {(0, 1)}
+
+
+def components(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {n: find(n) for n in nodes}
+
+
+def test_connected_components(spark):
+    random.seed(3)
+    links = [(i, i + 1) for i in range(100, 140)] + [(random.randrange(60), random.randrange(60)) for _ in range(25)] + [(1000, k) for k in range(1001, 1100)]
+    nodes = {x for p in links if p[0] != p[1] for x in p}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == components(nodes, [p for p in links if p[0] != p[1]])
+
+
+def test_lines(spark):
+    base = "this is a line of some length number one"
+    near = [base, base.replace("some", "same"), base.replace("same", "sbme").replace("line", "lines"), "another line that is entirely different", "short", "short", ""]
+    docs = spark.createDataFrame([(i, "\n".join(near[i : i + 2])) for i in range(7)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(d) for d in r.dropped] for r in find_repeated_lines(docs).collect()}
+    assert got[0] == [(1, 0, 0)] and got[1] == [(0, 0, 0), (1, 0, 0)] and got[2] == [(0, 0, 0)]
+    assert got[4] == [(0, 3, 1), (1, 3, 1)]
+    left = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
+    assert left[0] == base and left[1] == "" and left[3].count("\n") == 1 and left[6] == ""
+
+
+def shingles(t):
+    w = WORD.findall(t)
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None
+
+
+def test_ngram_join(spark, docs, texts):
+    sets = {i: shingles(t) for i, t in texts.items()}
+    links, many = [], collections.defaultdict(set)
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                n = len(sets[a] & sets[b])
+                if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+                    links.append((a, b))
+                    if sets[a] != sets[b]:
+                        many[a].add(sets[b])
+                        many[b].add(sets[a])
+    want = components(sets, links)
+    got = ngram_join(docs).collect()
+    assert len(got) == len(texts)
+    assert all(r.class_id == want[r.doc_id] and r.n_links == len(many[r.doc_id]) for r in got)
+    kept = {r.doc_id for r in keep_one_of_each(docs).collect()}
+    assert kept == set(want.values())
+
+
+def test_ngram_join_of_a_large_group(spark):
+    random.seed(5)
+    words = [f"w{i}" for i in range(300)]
+    made = []
+    for i in range(700):
+        w = list(words)
+        w[random.randrange(300)] = f"x{i}"
+        made.append((i, " ".join(w)))
+    got = ngram_join(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {699}
+
+
+def test_quality_counts(docs, texts):
+    for r in quality_rules(docs).collect():
+        t = texts[r.doc_id]
+        w = WORD.findall(t)
+        seen = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        covered = {j for k in range(len(w) - 4) if seen[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"))
+        assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r.base_failed and r.kept)
+
+
+def test_estimate_recovers_accuracies():
+    random.seed(1)
+    votes = collections.Counter()
+    for _ in range(20_000):
+        good = random.random() < 0.8
+        votes[tuple((1 if (random.random() < p) == good else -1) if random.random() < 0.9 else 0 for p in (0.9, 0.8, 0.85))] += 1
+    prior, ratios = estimate(sorted(votes.items()))
+    assert abs(prior - np.log(4)) < 0.3 and ratios[0][1] > ratios[1][1] > 0 > ratios[0][-1]
+
+
+def test_mixing_moves_shortages_to_siblings(spark):
+    leaves = spark.createDataFrame([("web", "en", "a", 100, 1), ("web", "en", "b", 1000, 1), ("books", "en", "c", 1000, 1)], "domain string, lang string, source string, tokens long, rows long")
+    got = {r.source: r.budget for r in mixing.leaf_budgets(leaves, 60, 1).collect()}
+    assert got["a"] == 100 and abs(got["b"] + 100 - 1260 * 5 // 8) <= 1 and abs(got["c"] - 1260 * 3 // 8) <= 1
+
+
+def brute_cost(at, penalty, size):
+    best = {0: 0}
+    for k in range(1, len(at)):
+        best[k] = min(best[j] + 8 + penalty[k] + (0 if (n := at[k] - at[j]) >= size // 16 and n & (n - 1) == 0 else size - n) for j in range(k) if at[k] - at[j] <= size)
+    return best[len(at) - 1]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 90), min_size=1, max_size=25), st.integers(0, 1000))
+def test_best_cuts(sizes, seed):
+    ends = np.cumsum(sizes)
+    sentence = np.random.default_rng(seed).random(ends[-1]) < 0.1
+    at, penalty = cut_points(ends, sentence, 64)
+    cuts = best_cuts(at, penalty, 64)
+    cost = sum(8 + penalty[b] + (0 if (n := at[b] - at[a]) >= 4 and n & (n - 1) == 0 else 64 - n) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+    assert cost == brute_cost(at.tolist(), penalty.tolist(), 64)
+
+
+@pytest.fixture(scope="module")
+def ids(texts):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_path())
+    return {i: np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in texts.items()}
+
+
+def test_encoder_equals_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain, mine = Tokenizer.from_file(default_path()), encoder(default_path())
+    odd = ["a  b", " a", "a ", "\n", "a\n\nb c\n d", "it's don't 's", "x <|endoftext|> y<|endoftext|>", "wörld² ½ ª", "日本 語 12３", "a\tb \tc", "“x” é áb", "x\r\ny z", "1st 2nd3 a_b rock'n'roll", "foo.\n\n\nBar baz\n qux", "~!@#$%^&*()_+[]{}", LONG]
+    assert all(mine.ids(t).tolist() == plain.encode(t, add_special_tokens=False).ids for t in odd)
+
+
+def test_packing(docs, ids):
+    got = sorted(pack(docs).collect(), key=lambda r: (r.doc_id, r.start))
+    at, used = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        own = ids[r.doc_id]
+        assert r.start == at[r.doc_id] and r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes())
+        at[r.doc_id] += r.length
+        used[r.sequence_id].append((r.offset, r.length))
+    assert all(at[i] == len(x) for i, x in ids.items())
+    sizes = []
+    for parts in used.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        sizes.append(sum(n for _, n in parts))
+    assert max(sizes) <= 1024 and sum(1024 - n for n in sizes if n & (n - 1)) < 0.06 * sum(sizes)
+
+
+def test_token_files(docs, ids):
+    start, want = 0, set()
+    for i in sorted(ids):
+        want.add((i, start, len(ids[i]), zlib.crc32(ids[i].tobytes())))
+        start += len(ids[i])
+    assert set(map(tuple, round_trip(docs).collect())) == want
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 70_000), max_size=60), st.integers(0, 3))
+def test_wavelet(values, token):
+    w = WaveletShard(encode(np.array(values, np.uint32), np.array([7]), np.array([len(values)])))
+    assert w.decode().tolist() == values == [w.access(i) for i in range(len(values))]
+    for t in {token, *values[:5]}:
+        assert w.occurrences(t) == [i for i, v in enumerate(values) if v == t] and w.count(t) == values.count(t)
+        assert [w.rank(t, k) for k in (0, len(values) // 2)] == [values[:k].count(t) for k in (0, len(values) // 2)]
+
+
+def test_sharding_limit(docs):
+    got = shard(docs, 20_000).collect()
+    sizes = {r.shard: r.shard_bytes for r in got}
+    assert len(got) == 200 and sum(sizes.values()) == sum(r.n for r in docs.select(F.octet_length("text").alias("n")).collect())
+    assert all(b <= 20_000 or sum(r.shard == s for r in got) == 1 for s, b in sizes.items())
+    assert not any(a != b and b.startswith(a) for a in sizes for b in sizes)  # no bucket lies in another
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(t):
+    number = lambda m: re.sub("[^0-9]", "", m.group())
+    out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [("card", m) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(number(m)) <= 19 and luhn(number(m))]
+    out += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(number(m)) <= 15]
+    return [f"{k}:{m.start()}:{m.end()}" for k, m in out]
+
+
+def test_personal_data(spark, texts):
+    odd = ["a@b.c_d@e.f.g x@y", "1.2.3.4.5.6.7.8 0001.2.3.4 256.1.1.1 1.2.3", "4111-1111 1111-1111 5 4111111111111111", "++1 (2) 3-4 5.6-789 +12 +1234567890123456", "é@b.co ü4111111111111111", "9" * 3000, "a" * 50_000 + "@b"]
+    every = dict(enumerate([*texts.values(), *odd]))
+    df = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    for r in summary(find_personal_data(df)).collect():
+        want = base_spans(every[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert set(want) <= set(r.spans.split(",")) | {""}
+    assert "a.b@c.de" not in redact(spark.createDataFrame([(1, "to a.b@c.de now")], "doc_id long, text string")).first().text
+
+
+def test_boosting():
+    rows = [((a, b), 50.0, 45.0 if (a == 1) != (b == 1) else 2.0) for a in range(3) for b in range(2)]
+    model = boosting.fit(rows)
+    assert all(abs(boosting.predict(model, x) - p / n) < 0.12 for x, n, p in rows)
+
+
+def test_quality_classifier(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = score_quality(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels).join(labels, "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
+    assert sum(r.predicted == r.quality for r in held) > 0.93 * len(held)
+
+
+def test_pipeline(spark, docs, texts, ids):
+    rules = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
+    stage = docs.where(F.col("doc_id").isin([i for i, k in rules.items() if k]))
+    best = {}
+    for i in sorted(i for i, k in rules.items() if k):
+        key = "".join(WORD.findall(texts[i]))
+        if key not in best or len(texts[i]) > len(texts[best[key]]):
+            best[key] = i
+    stage = stage.where(F.col("doc_id").isin(list(best.values())))
+    left = {r.doc_id for r in ngram_join(stage).collect() if r.class_id == r.doc_id}
+    stage = stage.where(F.col("doc_id").isin(list(left)))
+    taken = {r.doc_id for r in mix_sources(stage, epochs=1).collect() if r.copies}
+    got = collections.Counter()
+    for r in corpus_pipeline.run(spark, SF).collect():
+        got[r.doc_id] += r.length
+    assert dict(got) == {i: len(ids[i]) for i in taken}

@@ -41,8 +41,11 @@ class _Words(dict):
         self.encode, self.model, self.space, self.bare = tokenizer.encode, tokenizer.model.tokenize, space, self
         self.letters = _byte_letters()
         self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        if word[-1:] in ".," and word[-2:-1].isalnum() and (stem := self.get(word[:-1])) is not None:
+            return stem + self.bare.mark(word[-1])
         if (known := self.older.get(word)) is not None:
             return self.keep(word, known)
         runs = _RUNS.findall(word)
@@ -57,6 +60,11 @@ class _Words(dict):
             ids = self.encode(self.space + word, add_special_tokens=False).ids
         return self.keep(word, array("I", ids).tobytes())
 
+    def mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = array("I", self.encode(mark, add_special_tokens=False).ids).tobytes()
+        return self.marks[mark]
+
     def keep(self, word: str, out: bytes) -> bytes:
         if len(self) >= _KEPT:
             self.older = dict(self)

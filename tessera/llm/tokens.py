@@ -10,10 +10,12 @@ import numpy as np
 
 #: A space followed by white space or the end: there a token may span the space.
 _UNEVEN = re.compile(" (?:[\\s\u180e\u200b\ufeff]|$)")
-#: Runs of letters, of digits and of marks (no apostrophe: contractions), and a lone
-#: line break; the byte-level pre-tokeniser cuts exactly there.
-_RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+|(?<=\\S)\n(?=\\S)")
-_KEPT = 250_000  # words whose ids a worker remembers; when as many are new, older ones not met since are forgotten
+_SPACE, _LETTER, _MARK = "\\t-\\r ", "A-Za-zÀ-ÖØ-öø-ſ", "!-/:-@\\[-`{-~‘’“”–—…"
+#: Characters whose class is not spelled out above.
+_OTHER = re.compile(f"[^{_SPACE}0-9{_LETTER}{_MARK}]")
+#: Where the byte-level pre-tokeniser cuts a text without such characters.
+_PIECES = re.compile(f" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[{_MARK}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_KEPT = 250_000  # pieces whose ids a worker remembers; when as many are new, older ones not met since are forgotten
 
 
 def default_path() -> str:
@@ -29,80 +31,68 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in own else next(rest)) for b in range(256)}
 
 
-class _Words(dict):
-    """word -> ids (little-endian unsigned 32-bit), filled by the tokenizer as words turn up.
+class _Known(dict):
+    """piece of text -> ids (little-endian unsigned 32-bit), filled by `encode` as pieces turn up."""
 
-    A word is looked up run by run; a run of letters needs the tokenizer's model
-    only, anything unusual goes through the whole tokenizer.
-    """
-
-    def __init__(self, tokenizer, space: str):
+    def __init__(self, encode):
         super().__init__()
-        self.encode, self.model, self.space, self.bare = tokenizer.encode, tokenizer.model.tokenize, space, self
-        self.letters = _byte_letters()
+        self.encode = encode
         self.older: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        if word[-1:] in ".," and word[-2:-1].isalnum() and (stem := self.get(word[:-1])) is not None:
-            return stem + self.bare.mark(word[-1])
-        if (known := self.older.get(word)) is not None:
-            return self.keep(word, known)
-        runs = _RUNS.findall(word)
-        if "<|" in word or sum(map(len, runs)) != len(word):
-            ids = self.encode(self.space + word, add_special_tokens=False).ids
-        elif len(runs) > 1:
-            out = self[runs[0]] + b"".join(map(self.bare.__getitem__, runs[1:]))
-            return self.keep(word, out) if len(word) < 9 else out
-        elif runs and runs[0][0].isalpha():
-            ids = [t.id for t in self.model((self.space + word).encode().decode("latin-1").translate(self.letters))]
-        else:
-            ids = self.encode(self.space + word, add_special_tokens=False).ids
-        return self.keep(word, array("I", ids).tobytes())
-
-    def mark(self, mark: str) -> bytes:
-        if mark not in self.marks:
-            self.marks[mark] = array("I", self.encode(mark, add_special_tokens=False).ids).tobytes()
-        return self.marks[mark]
-
-    def keep(self, word: str, out: bytes) -> bytes:
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.older.get(piece)
+        if out is None:
+            out = array("I", self.encode(piece)).tobytes()
         if len(self) >= _KEPT:
             self.older = dict(self)
             self.clear()
-        if len(word) < 64:
-            self[word] = out
+        if len(piece) < 64:
+            self[piece] = out
         return out
 
 
 class Encoder:
     """Encodes texts as the tokenizer at `path` does, add_special_tokens=False.
 
-    With a byte-level pre-tokeniser a text is cut before single spaces, where that
-    always cuts, and the ids of repeated words are remembered.  Texts with other
-    runs of spaces, and all texts under other tokenizers, are encoded whole.
+    With a byte-level pre-tokeniser a text is cut into its pieces here, each piece
+    is encoded by the tokenizer's model, and the ids of repeated pieces are
+    remembered.  Texts with characters of other classes are cut before single
+    spaces and words with such characters go through the whole tokenizer.  Texts
+    with added tokens, or with both such characters and runs of spaces, and all
+    texts under other tokenizers are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.inner, self.first = _Words(self.tokenizer, " "), _Words(self.tokenizer, "")
-        self.inner.bare = self.first
+        model, letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.pieces = _Known(lambda piece: [t.id for t in model(piece.encode().decode("latin-1").translate(letters))])
+        self.words = _Known(self._encode)
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
+        self.added = [t["content"] for t in made.get("added_tokens") or []]
         cut = made.get("pre_tokenizer") or {}
-        self.by_word = made.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        self.by_piece = made.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _known(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
-        if not self.by_word or _UNEVEN.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        head, space, rest = text.partition(" ")
-        parts = [self.first[head]] if head else []
-        if space:
-            parts += map(self.inner.__getitem__, rest.split(" "))
-        return np.frombuffer(b"".join(parts), "<u4")
+        if not self.by_piece or any(t in text for t in self.added):
+            return np.array(self._encode(text), "<u4")
+        if not _OTHER.search(text):
+            return np.frombuffer(self._known(text), "<u4")
+        if _UNEVEN.search(text):
+            return np.array(self._encode(text), "<u4")
+        head, *rest = text.split(" ")
+        words = [head, *(" " + word for word in rest)]
+        return np.frombuffer(b"".join([self.words[w] if _OTHER.search(w) else self._known(w) for w in words]), "<u4")
 
     def with_end(self, text: str | None, end: int = 0) -> np.ndarray:
         return np.append(self.ids(text), np.uint32(end)).astype("<u4")

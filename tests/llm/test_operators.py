@@ -245,6 +245,9 @@ def test_encoder_equals_tokenizer():
     plain, mine = Tokenizer.from_file(default_path()), encoder(default_path())
     odd = ["a  b", " a", "a ", "\n", "a\n\nb c\n d", "it's don't 's", "x <|endoftext|> y<|endoftext|>", "wörld² ½ ª", "日本 語 12３", "a\tb \tc", "“x” é áb", "x\r\ny z", "1st 2nd3 a_b rock'n'roll", "foo.\n\n\nBar baz\n qux", "~!@#$%^&*()_+[]{}", LONG]
     assert all(mine.ids(t).tolist() == plain.encode(t, add_special_tokens=False).ids for t in odd)
+    # every class of character beside letters, digits, spaces and itself
+    around = [f"a{c}b 1{c} {c}{c}" for c in map(chr, [*range(0x400), *range(0x1680, 0x1690), *range(0x2000, 0x2070), 0x3000, 0xFEFF])]
+    assert [t for t in around if mine.ids(t).tolist() != plain.encode(t, add_special_tokens=False).ids] == []
 
 
 def test_packing(docs, ids):

@@ -31,14 +31,18 @@ _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[
 
 #: Generators of further candidates, by the kind that a selected span gets.
 PROPOSED = {
-    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}[0-9])(?=[0-9_-]{0,64}[A-Za-z])[A-Za-z0-9_-]{16,}+",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}+",
     "hex": r"(?<![A-Za-z0-9])[0-9a-fA-F]{24,}+(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local": r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "digits": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2,4}+(?![0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+",
 }
-_PROPOSED_NEEDS = r"[0-9]{3}"
+#: As _NEEDS: what every match of a generator holds, so that no match depends on other text.
+_PROPOSED_NEEDS = {
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16}", "hex": r"(?<![A-Za-z0-9])[0-9a-fA-F]{24}", "ssn": r"[0-9]{3}-[0-9]{2}-",
+    "local": r"[0-9]{3}[ .-][0-9]{4}", "digits": r"[0-9]{4}[ -]?[0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2}",
+}
 KINDS = list(PROPOSED)
 CUES = r"(?i)(?:token|secret|key|passw(?:or)?d|pwd|auth|ssn|social|card|visa|account|iban|phone|tel|call|fax)[^A-Za-z0-9]{1,6}$"
 FEATURES = ("kind", "length", "digits", "letters", "cue", "quoted", "luhn")
@@ -109,7 +113,7 @@ def _candidates(text: Column) -> Column:
             }
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), *[v.cast("int").alias(k) for k, v in feature.items()])
 
-        return F.transform(_found(text, PROPOSED[kind], text.rlike(_PROPOSED_NEEDS)), one)
+        return F.transform(_found(text, PROPOSED[kind], text.rlike(_PROPOSED_NEEDS[kind])), one)
 
     return F.concat(*[described(k) for k in KINDS])
 

@@ -23,7 +23,7 @@ from tessera.llm.line_dedup import candidate_pairs, dedup_lines, find_repeated_l
 from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_join import keep_one_of_each, ngram_join
 from tessera.llm.packing import best_cuts, cut_points, pack
-from tessera.llm.pii import find_personal_data, redact, summary
+from tessera.llm.pii import find_personal_data, redact, spans_of, summary
 from tessera.llm.quality_rules import estimate, quality_rules
 from tessera.llm.queries import oracle_sql, queries
 from tessera.llm.sharding import shard
@@ -317,6 +317,27 @@ def test_personal_data(spark, texts):
     assert "a.b@c.de" not in redact(spark.createDataFrame([(1, "to a.b@c.de now")], "doc_id long, text string")).first().text
 
 
+def added(spark, table):
+    """doc_id: the added spans as (kind, value), for a dict of doc_id: text."""
+    found = find_personal_data(spark.createDataFrame(list(table.items()), "doc_id long, text string")).collect()
+    return {r.doc_id: [(s.kind, table[r.doc_id][s.start : s.end]) for s in r.added] for r in found}
+
+
+def test_proposals_need_no_other_text(spark):
+    draw = random.Random(5)
+    runs = ["".join(draw.choices(draw.choice(["ab1", "abcdef0123456789", "aB_-9", "xyz-", "0123456789"]), k=draw.choice([3, 15, 16, 23, 24, 40, 200]))) for _ in range(300)]
+    table = {i: draw.choice(["", "é ", "x=", '"']) + r + draw.choice(["", " é", '"', "."]) for i, r in enumerate(runs)}
+    table[300] = "_" * 70 + "a" * 70 + "1"  # letters, then a digit, both far from the start
+    for r in spans_of(spark.createDataFrame(list(table.items()), "doc_id long, text string")).collect():
+        t = table[r.doc_id]
+        want = {(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9_-]+", t) if len(m.group()) >= 16 and re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())}
+        want |= {(1, *m.span()) for m in re.finditer(r"[A-Za-z0-9]+", t) if len(m.group()) >= 24 and not re.search("[^0-9a-fA-F]", m.group())}
+        assert {(c.kind, c.start, c.end) for c in r.candidates if c.kind < 2} == want
+    secret = "aB3dE9fGh1JkL2mN"
+    alone = added(spark, {1: f'token = "{secret}"', 2: "no secrets", 3: 'token = "' + "abcdef" * 5 + '"'})
+    assert alone == {1: [("secret", secret)], 2: [], 3: [("secret", "abcdef" * 5)]}
+
+
 def test_boosting():
     rows = [((a, b), 50.0, 45.0 if (a == 1) != (b == 1) else 2.0) for a in range(3) for b in range(2)]
     model = boosting.fit(rows)

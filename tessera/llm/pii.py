@@ -29,6 +29,25 @@ BASE = {
 #: Cheap tests that a text must pass to be searched.
 _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
 
+#: Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """The country's length, or else any of 15 to 35 characters; groups of four may have a space between."""
+
+    def groups(size: int) -> str:
+        return rf"(?: ?[A-Z0-9]{{4}}){{{size // 4}}}" + (rf" ?[A-Z0-9]{{{size % 4}}}" if size % 4 else "")
+
+    known = [rf"(?:{v.replace(' ', '|')})[0-9]{{2}}{groups(k - 4)}" for k, v in IBAN_LENGTHS.items()]
+    other = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?|{groups(11)})"
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
 #: Generators of further candidates, by the kind that a selected span gets.
 PROPOSED = {
     "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}+",
@@ -36,7 +55,7 @@ PROPOSED = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local": r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "digits": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2,4}+(?![0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+",
+    "iban": _iban(),
 }
 #: As _NEEDS: what every match of a generator holds, so that no match depends on other text.
 _PROPOSED_NEEDS = {

@@ -338,6 +338,21 @@ def test_proposals_need_no_other_text(spark):
     assert alone == {1: [("secret", secret)], 2: [], 3: [("secret", "abcdef" * 5)]}
 
 
+IBANS = ["NO93 8601 1117 947", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "CH93 0076 2011 6238 5295 7", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "ES91 2100 0418 4502 0005 1332", "FR14 2004 1010 0505 0001 3M02 606", "IT60 X054 2811 1010 0000 0123 456", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+
+
+def test_account_numbers_are_whole(spark):
+    texts = [f"{before}{iban}{after}" for i in IBANS for iban in (i, i.replace(" ", "")) for before, after in (("IBAN: ", ""), ("IBAN: ", " PAID 100"), ("iban=", "."))]
+    table = dict(enumerate(texts))
+    for r in spans_of(spark.createDataFrame(list(table.items()), "doc_id long, text string")).collect():
+        got = [table[r.doc_id][c.start : c.end] for c in r.candidates if c.kind == 5]
+        assert [g.replace(" ", "") for g in got] == [IBANS[r.doc_id // 6].replace(" ", "")]
+    got = added(spark, table)
+    assert all("iban" in dict(got[k]) or dict(got[k]).get("secret") == IBANS[k // 6].replace(" ", "") for k in table)
+    left = redact(spark.createDataFrame([(k, t) for k, t in table.items() if " PAID" not in t], "doc_id long, text string")).collect()
+    assert all(r.text in ("IBAN: [redacted]", "iban=[redacted].") for r in left)
+
+
 def test_boosting():
     rows = [((a, b), 50.0, 45.0 if (a == 1) != (b == 1) else 2.0) for a in range(3) for b in range(2)]
     model = boosting.fit(rows)

@@ -64,8 +64,12 @@ _PROPOSED_NEEDS = {
 }
 KINDS = list(PROPOSED)
 CUES = r"(?i)(?:token|secret|key|passw(?:or)?d|pwd|auth|ssn|social|card|visa|account|iban|phone|tel|call|fax)[^A-Za-z0-9]{1,6}$"
-FEATURES = ("kind", "length", "digits", "letters", "cue", "quoted", "luhn")
+FEATURES = ("kind", "length", "digits", "letters", "cue", "quoted")
 PRECISION = 0.9
+#: One value in HELD_OUT calibrates instead of training, in kinds with at least LEAST_HELD such candidates.
+HELD_OUT, LEAST_HELD = 5, 20
+_SSN = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
+_LOCAL_NUMBER = r"^[2-9][0-9]{2}(?![0-9]11)[2-9][0-9]{6}$"
 
 
 def _found(text: Column, pattern: str, needs: Column) -> Column:
@@ -111,8 +115,39 @@ def _valid(kind: str, value: Column) -> Column:
     return size.between(8, 15) if kind == "phone" else F.lit(True)
 
 
+def iban(value: Column) -> Column:
+    """Whether an account number has its country's length and the right check digits."""
+    bare = F.replace(value, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substring(bare, 5, 64), F.substring(bare, 1, 4))
+    known = F.create_map(*[F.lit(x) for size, names in IBAN_LENGTHS.items() for name in names.split() for x in (name, size)])
+
+    def step(rest, i):
+        code = F.ascii(F.substring(moved, i, F.lit(1)))
+        return F.when(code < 58, rest * 10 + code - 48).otherwise(rest * 100 + code - 55) % 97
+
+    right = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(moved), F.lit(1))), F.lit(0), step) == 1
+    return F.coalesce(F.length(bare) == F.try_element_at(known, F.substring(bare, 1, 2)), F.lit(False)) & right
+
+
+def entropy(value: Column) -> Column:
+    """Bits per character of the character frequencies."""
+    size = F.char_length(value)
+    share = lambda c: (size - F.char_length(F.replace(value, c, F.lit("")))) / size
+    return F.aggregate(F.array_distinct(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))), F.lit(0.0), lambda bits, c: bits - share(c) * F.log2(share(c)))
+
+
+def _evidence(kind: str, value: Column) -> Column:
+    """Whether the value itself speaks for its kind, by what is no feature."""
+    if kind in ("secret", "hex"):
+        mixed = 8 * F.regexp_count(value, F.lit("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")) >= F.char_length(value)
+        return (entropy(value) >= 3) & mixed if kind == "secret" else (entropy(value) >= 2) & (mixed | ~value.rlike("[0-9]"))
+    if kind == "digits":
+        return F.length(_digits(value)).between(12, 19) & luhn(_digits(value))
+    return iban(value) if kind == "iban" else value.rlike(_SSN) if kind == "ssn" else _digits(value).rlike(_LOCAL_NUMBER)
+
+
 def _candidates(text: Column) -> Column:
-    """All generators' spans with their features, as small integers."""
+    """All generators' spans with their features, evidence and part, as small integers."""
 
     def described(kind: str) -> Column:
         def one(s):
@@ -120,7 +155,6 @@ def _candidates(text: Column) -> Column:
             before = F.substring(text, F.greatest(F.lit(1), s["start"] - 23), F.least(F.lit(24), s["start"]))
             digits = F.length(_digits(value))
             letters = F.when(value.rlike("[a-z]"), 1).otherwise(0) + F.when(value.rlike("[A-Z]"), 2).otherwise(0)
-            number = _digits(value)
             feature = {
                 "kind": F.lit(KINDS.index(kind)),
                 "length": F.when(size <= 12, 0).when(size <= 16, 1).when(size <= 20, 2).when(size <= 32, 3).when(size <= 64, 4).otherwise(5),
@@ -128,7 +162,8 @@ def _candidates(text: Column) -> Column:
                 "letters": letters,
                 "cue": before.rlike(CUES).cast("int"),
                 "quoted": before.rlike("[\"'=:]\\s?$").cast("int"),
-                "luhn": F.when((digits >= 12) & (digits <= 19), luhn(number).cast("int")).otherwise(2),
+                "evidence": _evidence(kind, value),
+                "held": F.crc32(value.cast("binary")) % HELD_OUT == 0,
             }
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), *[v.cast("int").alias(k) for k, v in feature.items()])
 
@@ -141,6 +176,10 @@ def _meets(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def _exceeds(a: Column, b: Column) -> Column:
+    return (a["start"] <= b["start"]) & (a["end"] >= b["end"]) & (a["end"] - a["start"] > b["end"] - b["start"])
+
+
 def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id, the arrays of valid base spans by kind, and the candidates, one row per row."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -155,11 +194,18 @@ def find_personal_data(docs: DataFrame, precision: float = PRECISION) -> DataFra
     """One row per row of `docs` (doc_id, text): doc_id, base (array of kind, start, end by
     kind as in BASE, then start), added (the selected candidates, by start).
 
-    Offsets are code points, ends exclusive.  The trees learn from all candidates
-    of the table: a candidate counts as positive when it overlaps a validated
-    base span (secrets excepted) or follows a cue word such as "token =" directly.  Counts of equal
-    feature combinations are enough for that, so the driver sees a table that is
-    bounded by the features' levels.  Null and empty texts have no spans, repeated
+    Offsets are code points, ends exclusive.  The trees learn from the table's
+    candidates.  A candidate counts as positive by evidence that is no feature: an
+    account number by its country's length and check digits, a social security number
+    by the rules for area and group, a card by the Luhn check, a local number by the
+    numbering plan or as part of a base phone, a secret by the entropy and the mixture of
+    its characters.  Cue words such as "token =" are a feature only.  Candidates whose
+    value falls in the held-out part by its hash set the thresholds and aren't learned
+    from; a kind with few of them uses all its candidates for both.  An account number
+    that passes its check is selected in any case.  A candidate that overlaps a base span
+    is selected only when it holds all of that span and more.  Counts of equal feature
+    combinations are enough for the trees, so the driver sees a table that is bounded by
+    the features' levels.  Null and empty texts have no spans, repeated
     rows each get a row, other columns are ignored.
     """
     kept = materialize(spans_of(docs), "spans")
@@ -168,18 +214,20 @@ def find_personal_data(docs: DataFrame, precision: float = PRECISION) -> DataFra
     rows = kept.select("doc_id", merged.alias("base"), "candidates")
 
     one = rows.select("base", F.explode("candidates").alias("c"))
-    shaped = ~F.col("c.kind").isin([KINDS.index(k) for k in ("secret", "hex")])
-    positive = (shaped & F.exists("base", lambda b: _meets(b, F.col("c")))) | (F.col("c.cue") == 1)
-    counted = one.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.sum(positive.cast("int")).alias("p")).collect()
-    patterns = sorted((tuple(r[:-2]), float(r["n"]), float(r["p"])) for r in counted)
-    model = boosting.fit(patterns, nominal=frozenset([0, 3]))
-    least = [boosting.threshold([(boosting.predict(model, x), n, p) for x, n, p in patterns if x[0] == k], precision) for k in range(len(KINDS))]
-
-    score = lambda c: boosting.expression(model, [c[f] for f in FEATURES])
+    met = lambda kind, base: (F.col("c.kind") == KINDS.index(kind)) & F.exists("base", lambda b: (b["kind"] == base) & _meets(b, F.col("c")))
+    positive = (F.col("c.evidence") == 1) | met("local", "phone") | met("digits", "card")
+    counted = one.groupBy(*[F.col(f"c.{f}").alias(f) for f in (*FEATURES, "held")]).agg(F.count("*").alias("n"), F.sum(positive.cast("int")).alias("p")).collect()
+    patterns = sorted((tuple(r[:-3]), r["held"], float(r["n"]), float(r["p"])) for r in counted)
+    split = {k for k in range(len(KINDS)) if sum(n for x, held, n, _ in patterns if held and x[0] == k) >= LEAST_HELD}
+    model = boosting.fit([(x, n, p) for x, held, n, p in patterns if not held or x[0] not in split], nominal=frozenset([0, 3]))
+    least = [boosting.threshold([(boosting.predict(model, x), n, p) for x, held, n, p in patterns if x[0] == k and (held or k not in split)], precision) for k in range(len(KINDS))]
+
+    proved = lambda c: (c["kind"] == KINDS.index("iban")) & (c["evidence"] == 1)
+    score = lambda c: F.when(proved(c), 2.0).otherwise(boosting.expression(model, [c[f] for f in FEATURES]))
     bar = lambda c: F.element_at(F.array(*[F.lit(float(t) - 1e-9) for t in least]), c["kind"] + 1)
     scored = F.transform("candidates", lambda c: F.struct(score(c).alias("score"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), bar(c).alias("bar")))
     rows = rows.select("doc_id", "base", scored.alias("scored"))
-    passed = F.filter("scored", lambda c: (c["score"] >= c["bar"]) & ~F.exists("base", lambda b: _meets(b, c)))
+    passed = F.filter("scored", lambda c: (c["score"] >= c["bar"]) & ~F.exists("base", lambda b: _meets(b, c) & ~_exceeds(c, b)))
     # the best of overlapping candidates: by score, then the longer, then the earlier
     ranked = F.array_sort(F.transform(passed, lambda c: F.struct((-c["score"]).alias("a"), (c["start"] - c["end"]).alias("b"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
     rows = rows.select("doc_id", "base", ranked.alias("ranked"))

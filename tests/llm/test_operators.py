@@ -353,6 +353,22 @@ def test_account_numbers_are_whole(spark):
     assert all(r.text in ("IBAN: [redacted]", "iban=[redacted].") for r in left)
 
 
+def test_labels_are_no_feature(spark):
+    table = {1: "SSN is 123-45-6789", 2: "social security number: 219-09-9999", 3: 'secret key is "aB3dE9fGh1JkL2mN"', 4: "pay DE89 3704 0044 0532 0130 00 now"}
+    got = added(spark, table)
+    assert got == {1: [("ssn", "123-45-6789")], 2: [("ssn", "219-09-9999")], 3: [("secret", "aB3dE9fGh1JkL2mN")], 4: [("iban", "DE89 3704 0044 0532 0130 00")]}
+    draw = random.Random(3)
+    number = lambda area: f"{area}-{draw.randint(1, 99):02}-{draw.randint(1, 9999):04}"
+    table = {i: f"part no. {number(draw.choice([0, 666, 950]) if i % 2 else 321)}".replace(" 0-", " 000-") for i in range(200)}
+    table |= {i: f"ssn: {number(321)}" for i in range(200, 400)}
+    table[400] = "token = some_long_name_of_2"
+    table[401] = "DE89 3704 0044 0532 0130 01"
+    got = added(spark, table)
+    assert sorted(k for k, v in got.items() if v) == list(range(200, 400))  # the cue is learned, but words after one are no secret
+    valid = {1: next(f"AT{c:02} 4111 1111 1111 1111" for c in range(100) if int(f"41111111111111111029{c:02}") % 97 == 1)}
+    assert added(spark, valid) == {1: [("iban", valid[1])]}  # it holds a card number that is a base span
+
+
 def test_boosting():
     rows = [((a, b), 50.0, 45.0 if (a == 1) != (b == 1) else 2.0) for a in range(3) for b in range(2)]
     model = boosting.fit(rows)

@@ -157,7 +157,7 @@ def find_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST)
 
     wanted = candidates.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.line", "digest", "component", "id")).alias("wanted"))
     wanted = materialize(wanted, "wanted")
-    texts = own.join(broadcast_if_small(wanted, 128), "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
+    texts = own.join(broadcast_if_small(wanted, 128, "wanted", 96), "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
     texts = texts.select(F.btrim(F.get("all", F.col("w.line")), F.lit(SPACES)).alias("text"), "w.digest", "w.component", "w.id").where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("digest"))
     members = materialize(texts.dropDuplicates(["id"]).drop("digest"), "members")
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("chunks"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -38,9 +38,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Hint a broadcast when the counted rows of a written table are known to fit."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def broadcast_if_small(df: DataFrame, row_bytes: int, items: str | None = None, item_bytes: int = 0) -> DataFrame:
+    """Hint a broadcast when the counted rows of a written table are known to fit, with the
+    counted elements of the array column `items`, if there is one."""
+    counted = df.count() * row_bytes if items is None else df.agg(F.sum(row_bytes + F.size(items).cast("long") * item_bytes)).first()[0] or 0
+    return F.broadcast(df) if counted <= BROADCAST_BYTES else df
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import boosting, mixing
+from tessera.llm import boosting, mixing, store
 from tessera.llm.classifier import score_quality
 from tessera.llm.components import connected_components
 from tessera.llm.edit_distance import within
@@ -153,6 +153,18 @@ def shingles(t):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None
 
 
+def test_broadcast_counts_the_lines_of_a_document(spark, monkeypatch):
+    draw = random.Random(1)
+    lines = ["".join(draw.choices("abcdefghij ", k=40)) for _ in range(400)]
+    text = "\n".join(f"x{s}y\nx{s}z" for s in lines)
+    sent, plain = [], F.broadcast
+    monkeypatch.setattr(store, "BROADCAST_BYTES", 20_000)
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or plain(df))
+    got = find_repeated_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got.n_lines, got.n_dropped, got.n_near) == (800, 400, 400)
+    assert not any("wanted" in df.columns for df in sent)  # one row, but 800 lines
+
+
 def test_ngram_join(spark, docs, texts):
     sets = {i: shingles(t) for i, t in texts.items()}
     links, many = [], collections.defaultdict(set)

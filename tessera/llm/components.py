@@ -5,32 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import discard, fresh_path, materialize
+
+
+#: A node with more edges than this is a hub; at most HUBS nodes are, however many edges there are.
+HUB_EDGES, HUBS = 256, 250_000
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _with_least(edges: DataFrame, own: bool, most: int) -> DataFrame:
+    """(u, v, m) with m the least neighbour of u, or u itself if that is less and `own`.
+
+    The edges of a hub stay where they are and get its value by broadcast (`most`
+    bounds the hubs), so that no key of the shuffled join has more than `most` rows.
+    """
+    least = F.least(F.min("v"), F.first("u")) if own else F.min("v")
+    least = edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > most).select("u", "m"))
+    few = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return edges.join(hubs, "u").select("u", "v", "m").unionByName(few.select("u", "v", "m"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge table (u, v) of longs.
 
     The component is its smallest node.  Self loops are allowed; an empty table
     gives an empty result.  Each round is two aggregations (with map-side
-    combining, so a hub is no hot task) and two joins; rounds grow with the
-    logarithm of the longest chain, and each is written to the shared folder.
+    combining) and two joins in which the edges of hubs aren't shuffled; rounds
+    grow with the logarithm of the longest chain.  Each is written to the shared
+    folder, and the one before it is deleted.
     """
-    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
+    spark = edges.sparkSession
+    path = fresh_path(spark, "edges")
+    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges", path)
     state = _state(edges)
     while state[0]:
+        most = max(HUB_EDGES, 2 * state[0] // HUBS)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        large = materialize(_with_least(both, True, most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", one := fresh_path(spark, "large"))
+        joined = _with_least(large, False, most)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u > v").distinct(), "edges")
+        edges = materialize(small.where("u > v").distinct(), "edges", two := fresh_path(spark, "edges"))
         new = _state(edges)
+        discard(spark, path)
+        discard(spark, one)
+        path = two
         if new == state:
             break
         state = new

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A join side is broadcast only when its counted rows times their width stay under this.
 BROADCAST_BYTES = 32 << 20
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +32,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: the lineage ends
     there, and a lost executor costs no recomputation of what came before."""
-    path = fresh_path(df.sparkSession, name)
+    path = path or fresh_path(df.sparkSession, name)
+    for made in _scopes[-1:]:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -45,14 +49,51 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, items: str | None = None,
     return F.broadcast(df) if counted <= BROADCAST_BYTES else df
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id isn't in `dropped`, columns unchanged.
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` written once as (row, doc): a unique number for every row, and all its columns.
 
-    The ids are written and counted first: while they are few they are broadcast
-    and no text is shuffled, otherwise both sides are shuffled by doc_id.
+    Decisions that are made about `row` hold for single rows, whatever doc_id they carry.
     """
-    ids = materialize(dropped.select("doc_id").distinct(), "dropped")
-    return docs.join(broadcast_if_small(ids, 16), "doc_id", "left_anti").select(*docs.columns)
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")), "numbered")
+
+
+def fields(rows: DataFrame) -> DataFrame:
+    """row, doc_id and text of a table made by `numbered`."""
+    return rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
+
+
+def unnumbered(docs: DataFrame) -> DataFrame:
+    """The same of plain documents; the numbers hold only within what is written at once."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents of a `numbered` table whose row isn't in `dropped`, columns as they were.
+
+    The rows to drop are written and counted first: while they are few they are
+    broadcast and no text is shuffled, otherwise both sides are shuffled by row.
+    """
+    ids = materialize(dropped.select("row").distinct(), "dropped")
+    return rows.join(broadcast_if_small(ids, 16), "row", "left_anti").select("doc.*")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Everything `materialize` writes inside is deleted at the end; write what is to last elsewhere."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            discard(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import broadcast_if_small, materialize, without
+from .store import broadcast_if_small, fields, materialize, numbered, unnumbered, without
 
 #: What normalisation deletes: the characters of [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -20,36 +20,52 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def _decided(rows: DataFrame, hashed) -> DataFrame:
+    """The columns of exact_dedup, with the row number, for rows (row, doc_id, text)."""
+    raw = F.coalesce("text", F.lit(""))
+    base = rows.select("row", "doc_id", normalized(F.col("text")).alias("norm"), F.char_length(raw).alias("points"), F.xxhash64(raw).alias("raw"))
+    keyed = base.select("*", hashed(F.col("norm")).alias("h"))
+    digest = F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
+    digests = materialize(keyed.select("row", "doc_id", "points", "raw", "h", digest), "digests")
+
+    repeated = materialize(digests.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
+    repeated = broadcast_if_small(repeated, 16)
+    # Whole texts of repeated hashes are the grouping key: their bytes are compared.
+    sized = keyed.join(repeated, "h", "left_semi").groupBy("h", "norm").agg(F.count("*").alias("group_size")).select("h", digest, "group_size")
+    first = F.struct("points", F.col("doc_id").isNotNull(), F.bitwise_not("doc_id"), "raw", F.bitwise_not("row"))
+    best = digests.join(repeated, "h", "left_semi").groupBy("h", "text_sha256").agg(F.max_by(F.struct("doc_id", "row"), first).alias("keep"))
+    groups = materialize(sized.join(best, ["h", "text_sha256"]), "groups")
+    # Texts that differ in their bytes but share the hash are separate rows of
+    # `groups`; the digest that each row carries anyway tells its own apart.
+    joined = digests.join(broadcast_if_small(groups, 160), ["h", "text_sha256"], "left")
+    alone = F.col("group_size").isNull()
+    return joined.select(
+        "row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("keep.row") == F.col("row"))).alias("kept"), "text_sha256",
+    )
+
+
 def exact_dedup(docs: DataFrame, hashed=content_hash) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting space characters; null counts
     as empty, and all empty texts are one group.  Of a group the row with the
-    most code points stays, of those the smallest doc_id.  If rows repeat a
-    doc_id, every row that carries the winning doc_id is marked kept, so that
-    repeated input rows are never lost by this operator.  A null doc_id loses
-    against any other.  Other columns are ignored.
+    most code points stays, of those the smallest doc_id (null loses against any
+    other); rows that tie in both are told apart by a hash of the original text
+    and then by their place in the input, so that just one row of a group is kept.
+    Other columns are ignored; an empty table gives none.
 
     Whole texts are shuffled only for documents whose hash occurs twice; there
     the text itself is the grouping key, so Spark compares its bytes, and
     map-side combining keeps one text per group and task.
     """
-    text = normalized(F.col("text"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("norm"), F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("points"))
-    keyed = base.select("doc_id", "norm", "points", hashed(F.col("norm")).alias("h"))
-    digests = materialize(keyed.select("doc_id", "points", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "digests")
-
-    repeated = materialize(digests.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
-    winner = F.max_by(F.struct("doc_id"), F.struct("points", (-F.coalesce("doc_id", F.lit(2**62))).alias("order")))
-    twice = keyed.join(broadcast_if_small(repeated, 16), "h", "left_semi")
-    groups = materialize(twice.groupBy("h", "norm").agg(F.count("*").alias("group_size"), winner["doc_id"].alias("keep_id")).withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)).drop("norm"), "groups")
-    # Texts that differ in their bytes but share the hash are separate rows of
-    # `groups`; the digest that each row carries anyway tells its own apart.
-    joined = digests.join(groups, ["h", "text_sha256"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
+    return _decided(unnumbered(docs), hashed).drop("row")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that exact_dedup keeps, columns unchanged."""
-    return without(docs, exact_dedup(docs).where("not kept"))
+    """The rows of `docs` that exact_dedup keeps, columns unchanged.
+
+    Decided row by row: repeated or null doc_ids neither save a copy nor take other rows along.
+    """
+    rows = numbered(docs)
+    return without(rows, _decided(fields(rows), content_hash).where("not kept"))

@@ -17,14 +17,14 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs
 from .components import connected_components, spanning
 from .hashing import mix, shingle_sets
 from .runs import keyed_runs
-from .store import broadcast_if_small, materialize, partitions, without
+from .store import broadcast_if_small, fields, materialize, numbered, partitions, unnumbered, without
 
 HASHES, ROWS = 128, 4  # 32 bands of 4: a pair at 0.8 shares none with probability 5e-8
 STEPS = (16, 32, 64, 96, 128)
@@ -81,23 +81,23 @@ def survivors(one: np.ndarray, many: np.ndarray, least: dict[int, int]) -> np.nd
 
 def _signatures(batches):
     for batch in batches:
-        sets = list(shingle_sets(batch.column(1)))
+        sets = list(shingle_sets(batch.column("text")))
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
+                *[batch.column(c) for c in ("row", "doc_id", "content")],
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                 pa.array([minhash(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
             ],
-            ["doc_id", "n_shingles", "same", "signature"],
+            ["row", "doc_id", "content", "n_shingles", "same", "signature"],
         )
 
 
 def _bands(batches):
     for batch in batches:
         ids = batch.column(0).to_numpy()
-        keys = bands(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), HASHES))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, keys.shape[1]))], ["bucket", "doc_id"])
+        keys = bands(_matrix(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, keys.shape[1]))], ["bucket", "node"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -109,7 +109,7 @@ def _forest(least: dict[int, int]):
 
     def task(batches):
         for table, bounds in keyed_runs(batches, ["bucket", "i", "j"]):
-            ids, sig = table.column("doc_id").to_numpy(), _matrix(table.column("signature"))
+            ids, sig = table.column("node").to_numpy(), _matrix(table.column("signature"))
             u: list[int] = []
             v: list[int] = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -132,7 +132,7 @@ def _forest(least: dict[int, int]):
 
 def _sets(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], ["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], ["node", "shingles"])
 
 
 def links_in_block(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, cross: bool, threshold: float, least: dict[int, int]):
@@ -168,7 +168,7 @@ def _verify(threshold: float, least: dict[int, int]):
             out: tuple[list, list, list] = ([], [], [])
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 part = table.slice(a, b - a)
-                ids = part.column("doc_id").to_pylist()
+                ids = part.column("node").to_pylist()
                 if len(ids) < 2:
                     continue
                 cross = part.column("i")[0].as_py() != part.column("j")[0].as_py()
@@ -185,55 +185,85 @@ def _verify(threshold: float, least: dict[int, int]):
     return task
 
 
-def ngram_join(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, class_id, n_links, n_copies.
+def content(text: str = "text") -> Column:
+    """128 bits of the text as it is."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
-    Two documents are linked when the Jaccard similarity of their sets of
-    five-word shingles is at least `threshold`; a text of one to four words is
-    one shingle.  Copies (equal sets) are joined once: n_copies counts the
-    documents with the same set, n_links the *different* sets linked to it.
-    class_id is the smallest doc_id of the connected class.  A null, empty or
-    wordless text is a class of its own, without links.  Shingles are compared
-    by 64-bit hashes.  Rows that repeat a doc_id each give a row; other columns
-    are ignored, and rows whose doc_id is null are returned in classes of null.
+
+def _classified(rows: DataFrame, threshold: float) -> DataFrame:
+    """row, doc_id, content, n_copies, n_links, node, component, class_id and class_key of rows (row, doc_id, text).
+
+    A set of shingles is one node, whatever rows hold it; `node` is the least of
+    those rows and `component` null where nothing is linked.
     """
-    spark, n = docs.sparkSession, partitions(docs.sparkSession)
+    n = partitions(rows.sparkSession)
     least = least_matches(threshold)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(text.mapInArrow(_signatures, "doc_id long, n_shingles long, same binary, signature binary"), "signatures")
-    groups = materialize(signed.where("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "copies")
-    reps = materialize(signed.where("n_shingles > 0 and doc_id is not null").join(groups, (signed.same == groups.same) & (signed.doc_id == groups.rep), "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "signature"), "representatives")
-
-    rows = reps.mapInArrow(_bands, "bucket long, doc_id long")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = block_pairs(rows.join(sizes, "bucket"), "doc_id", F.ceil(F.col("size") / BUCKET_ROWS)).drop("size", "side")
-    buckets = buckets.join(reps, "doc_id").repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    candidates = connected_components(buckets.mapInArrow(_forest(least), "u long, v long"))
-    candidates = materialize(candidates.withColumnRenamed("node", "doc_id"), "candidates")
-
-    near = broadcast_if_small(candidates, 16)
-    sets = text.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles binary")
-    members = materialize(sets.join(candidates, "doc_id").join(reps, "doc_id"), "members")
+    text = rows.withColumn("content", content())
+    signed = text.mapInArrow(_signatures, "row long, doc_id long, content binary, n_shingles long, same binary, signature binary")
+    signed = materialize(signed, "signatures")
+    groups = materialize(signed.where("n_shingles > 0").groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "copies")
+    reps = signed.withColumnRenamed("row", "node").join(groups.select("node"), "node", "left_semi").select("node", "content", "signature")
+    reps = materialize(reps, "representatives")
+
+    buckets = reps.select("node", "signature").mapInArrow(_bands, "bucket long, node long")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = block_pairs(buckets.join(sizes, "bucket"), "node", F.ceil(F.col("size") / BUCKET_ROWS)).drop("size", "side")
+    buckets = buckets.join(reps.select("node", "signature"), "node").repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    candidates = materialize(connected_components(buckets.mapInArrow(_forest(least), "u long, v long")), "candidates")
+
+    # one text of each candidate set: those with the same content are one row each after the join
+    near = materialize(candidates.join(reps.select("node", "content"), "node"), "near")
+    sets = text.select("content", "text").join(broadcast_if_small(near.select("content", "node"), 48), "content").dropDuplicates(["node"])
+    sets = sets.select("node", "text").mapInArrow(_sets, "node long, shingles binary")
+    members = materialize(sets.join(candidates, "node").join(reps.select("node", "signature"), "node"), "members")
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).alias("chunks"))
-    chunked = block_pairs(members.join(sizes, "component"), "doc_id", F.col("chunks")).drop("chunks")
+    chunked = block_pairs(members.join(sizes, "component"), "node", F.col("chunks")).drop("chunks")
     chunked = chunked.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
     links = materialize(chunked.mapInArrow(_verify(threshold, least), "u long, v long, n long"), "links")
 
-    classes = connected_components(links.where("u <> v").select("u", "v")).withColumnRenamed("node", "rep")
-    counts = links.where("u = v").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n_links"))
-    known = groups.join(classes, "rep", "left").join(counts, "rep", "left")
-    return signed.select("doc_id", "n_shingles", "same").join(known, "same", "left").select(
-        "doc_id",
-        F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(F.col("n_shingles") > 0, F.col("n_copies")).otherwise(F.lit(1)).alias("n_copies"),
-    )
+    classes = materialize(connected_components(links.where("u <> v").select("u", "v")), "classes")
+    counts = links.where("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n_links"))
+    heads = groups.join(classes, "node").groupBy("component").agg(F.min("least").alias("class_id"), F.min("same").alias("class_key"))
+    linked = classes.join(heads, "component").join(counts, "node", "left")
+    known = groups.join(linked, "node", "left").withColumnRenamed("same", "_same")
+    # wordless rows are alone, so their common empty set is no key of the join
+    out = signed.select("row", "doc_id", "content", F.when(F.col("n_shingles") > 0, F.col("same")).alias("same")).join(known, F.col("same") == F.col("_same"), "left")
+    alone = F.col("node").isNull()
+    return out.select(
+        "row", "doc_id", "content", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node", "component",
+        F.when(alone, F.col("doc_id")).when(F.col("component").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id"),
+        F.lower(F.hex(F.coalesce("class_key", "same"))).alias("class_key"),
+    )
+
 
+def ngram_join(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): doc_id, class_id, n_links, n_copies, class_key.
+
+    Two documents are linked when the Jaccard similarity of their sets of
+    five-word shingles is at least `threshold`; a text of one to four words is
+    one shingle.  Copies (equal sets) are joined once: n_copies counts the
+    rows with the same set, n_links the *different* sets linked to it.
+    class_id is the smallest doc_id of the connected class (null when none of its
+    rows has one), class_key the smallest set hash of the class in hex: it tells
+    classes apart where doc_ids repeat or are null.  A null, empty or wordless text
+    is a class of its own, without links and with a null class_key.  Shingles are
+    compared by 64-bit hashes, sets by 128-bit ones, never by doc_id.  Every row
+    gives a row; other columns are ignored; the result doesn't depend on the
+    order or partitioning of the rows.
+    """
+    return _classified(unnumbered(docs), threshold).select("doc_id", "class_id", "n_links", "n_copies", "class_key")
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of `docs` without those that are near copies of one with a smaller doc_id.
+    """The rows of `docs` without those that are near copies of another that stays.
 
-    Of every class the document with the smallest doc_id stays; columns are unchanged.
+    Of every class of ngram_join the row with the smallest doc_id stays (null
+    loses; ties by a hash of the text), and just one of rows that repeat each
+    other whole.  Wordless rows all stay; columns are unchanged.
     """
-    return without(docs, ngram_join(docs, threshold).where("class_id <> doc_id"))
+    rows = numbered(docs)
+    found = _classified(fields(rows), threshold).where("n_copies > 1 or component is not null")
+    found = materialize(found.select("row", "doc_id", "content", F.coalesce("component", "node").alias("class")), "classified")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "content", "row")
+    kept = found.groupBy("class").agg(F.min_by("row", first).alias("row"))
+    return without(rows, found.select("row").join(kept.select("row"), "row", "left_anti"))

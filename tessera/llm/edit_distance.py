@@ -16,31 +16,78 @@ def segments(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def probes(length: int, edits: int) -> list[tuple[int, int, int, int]]:
+def allowed(length: int, edits: int, per: int) -> int:
+    """Edits allowed when the shorter line has `length` characters: one for each `per`, `edits` at most."""
+    return min(edits, length // per)
+
+
+def probes(length: int, edits: int, per: int = 1) -> list[tuple[int, int, int, int]]:
     """(other length, segment, start, size) of the substrings of a line of `length` that a
-    partner no longer than it, within `edits`, can have as its segment.
+    partner no longer than it, within the allowed edits k, can have as its segment.
 
-    If two lines are within `edits`, some segment of the shorter one matches at a
-    place that both a count of edits from the left and one from the right allow.
+    A line is cut into k + 1 segments.  If two lines are within k edits, some segment
+    of the shorter one matches at a place that both a count of edits from the left
+    and one from the right allow.
     """
     out = []
-    for other in range(max(edits + 1, length - edits), length + 1):
-        shift = length - other
-        for i, (start, size) in enumerate(segments(other, edits + 1)):
-            low = max(0, start - i, start + shift - (edits - i))
-            high = min(length - size, start + i, start + shift + (edits - i))
+    for other in range(max(1, length - edits), length + 1):
+        k, shift = allowed(other, edits, per), length - other
+        if not shift <= k < other or not k:
+            continue
+        for i, (start, size) in enumerate(segments(other, k + 1)):
+            low = max(0, start - i, start + shift - (k - i))
+            high = min(length - size, start + i, start + shift + (k - i))
             out += [(other, i, at, size) for at in range(low, high + 1)]
     return out
 
 
+def rest_pieces(length: int, start: int, size: int, k: int) -> list[tuple[int, int]]:
+    """(start, size) of k + 1 pieces of a line outside of one segment: of lines within k
+    edits that share the segment, one piece at least is whole in both."""
+    right = length - start - size
+    left_parts = min(start, max(k + 1 - right, round((k + 1) * start / (start + right))))
+    out = segments(start, left_parts) if left_parts else []
+    if k + 1 > left_parts:
+        out += [(start + size + at, n) for at, n in segments(right, k + 1 - left_parts)]
+    return out
+
+
+def rest_probes(length: int, other: int, start: int, size: int, at: int, k: int) -> list[tuple[int, int, int]]:
+    """(piece, start, size) of the substrings of a line of `length` that a partner of length
+    `other` can have as its rest_pieces, when the partner's segment (start, size) is at `at` here."""
+    out, shift, total = [], at - start, length - other
+    for j, (begin, n) in enumerate(rest_pieces(other, start, size, k)):
+        near, low, high = (0, 0, at - n) if begin < start else (total, at + size, length - n)
+        for d in range(max(shift, near) - k, min(shift, near) + k + 1):
+            if low <= begin + d <= high:
+                out.append((j, begin + d, n))
+    return out
+
+
+LONG = 512  # characters from which the common start and end of two lines are cut off first
+
+
+def _trimmed(a: str, b: str, edits: int) -> tuple[str, str]:
+    """The lines without their common start and end, which no edit needs, but for a few characters."""
+    n = min(len(a), len(b))
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    differs = np.flatnonzero(x[:n] != y[:n])
+    start = max(0, (int(differs[0]) if len(differs) else n) - edits - 1)
+    x, y, n = x[start:], y[start:], n - start
+    differs = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
+    end = max(0, min(n - edits - 1, int(differs[0]) if len(differs) else n))
+    return a[start : len(a) - end], b[start : len(b) - end]
+
+
 def within(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
-    """Edit distance of each pair, or edits + 1 when it is larger; lines of at least edits + 1 characters.
+    """Edit distance of each pair, or edits + 1 when it is larger; lines of at least edits + 1 characters each.
 
     A column of the edit table is a word of vertical differences around the
     diagonal; all pairs take a step together.  Bit 63 is the row `edits` below
     the diagonal, bits outside the band never match.
     """
     out = np.full(len(pairs), edits + 1, np.int64)
+    pairs = [_trimmed(a, b, edits) if len(a) > LONG else (a, b) for a, b in pairs]
     order = sorted(range(len(pairs)), key=lambda p: len(pairs[p][0]) + len(pairs[p][1]))
     at = 0
     while at < len(order):

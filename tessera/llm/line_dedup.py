@@ -1,11 +1,11 @@
 """Line dedup by a segment-partition edit join.
 
-Every line is cut into edits + 1 segments, of which a line within `edits` keeps
-one whole; lines are joined on hashes of (length, segment number, segment), the
-longer line probing with its substrings of fitting place and length.  Lines of
-one connected group of candidates meet in blocks of bounded size, where the
-segments are matched again as text and each candidate pair is verified by banded
-bit-parallel edit distance.  No pair is ever a row.
+A line that may have k edits is cut into k + 1 segments, of which any line within
+k edits keeps one whole.  Lines meet in buckets of equal (length, segment number,
+segment), the longer line probing with its substrings of fitting place and
+length, and are verified there by banded bit-parallel edit distance.  Buckets of
+many lines are split by a second round of segments over the rest of the lines.
+Only verified links make classes; no candidate pair is ever a row.
 """
 
 from __future__ import annotations
@@ -16,19 +16,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs
-from .components import connected_components, spanning
-from .edit_distance import probes, segments, within
-from .hashing import mix, powers, prefix_sums
+from .components import connected_components
+from .edit_distance import allowed, probes, rest_pieces, rest_probes, segments, within
+from .hashing import mix, powers
 from .runs import keyed_runs
-from .store import broadcast_if_small, materialize, partitions
+from .store import broadcast_if_small, fields, materialize, numbered, partitions, unnumbered
 
 SPACES = " \t\n\x0b\x0c\r"
-EDITS, LEAST = 2, 20  # edits allowed, and the fewest characters of a line for which any are
-BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
+#: Edits allowed at most, and the characters of the shorter line that allow one edit.
+EDITS, PER_EDIT = 2, 10
+#: Lines of a bucket that are compared at once; bins of the character counts that sift pairs first; pairs verified at once.
+BUCKET_ROWS, BINS, WAVE = 512, 32, 8192
+SLICE_CHARS = 1 << 20
 
 
 def _lines(text: str | None):
@@ -38,144 +42,247 @@ def _lines(text: str | None):
             yield i, line
 
 
-def _digest(line: str) -> bytes:
-    return hashlib.md5(line.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
-
-
 def _list(batches):
     for batch in batches:
-        rows: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = [(doc_id, i, _digest(line), len(line)) for i, line in _lines(text)]
-            rows += found or [(doc_id, -1, None, 0)]
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int32()), strict=True)], ["doc_id", "line", "digest", "n_chars"])
+        row, doc, raw, line, digest = [], [], [], [], []
+        for r, d, h, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            found = [(i, hashlib.md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()) for i, x in _lines(text)] or [(-1, None)]
+            row += [r] * len(found)
+            doc += [d] * len(found)
+            raw += [h] * len(found)
+            line += [x[0] for x in found]
+            digest += [x[1] for x in found]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((row, pa.int64()), (doc, pa.int64()), (raw, pa.int64()), (line, pa.int32()), (digest, pa.binary()))], ["row", "doc_id", "raw", "line", "digest"])
 
 
 @lru_cache(maxsize=20_000)
-def _places(length: int, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and a code of (length, segment) of all substrings a line is joined on:
-    its own segments, and what it probes shorter and equally long lines with."""
-    own = [(length, i, a, n) for i, (a, n) in enumerate(segments(length, edits + 1))]
-    every = sorted(set(own) | set(probes(length, edits)))
-    code = np.array([other * 64 + i + 1 for other, i, _, _ in every], np.uint64)
-    return np.array([a for _, _, a, _ in every]), np.array([a + n for _, _, a, n in every]), mix(code)
+def _places(length: int, edits: int, per: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The substrings a line is joined on, as (other length, segment, its start, size, place here);
+    their starts, ends and codes of (length, segment), and which are the line's own segments."""
+    every = []
+    for other, i, at, size in sorted(set(probes(length, edits, per))):
+        every.append((other, i, segments(other, allowed(other, edits, per) + 1)[i][0], size, at))
+    code = mix(np.array([other * 64 + i + 1 for other, i, *_ in every], np.uint64))
+    own = np.array([other == length and start == at for other, _, start, _, at in every], bool)
+    return every, np.array([p[4] for p in every], int), np.array([p[4] + p[3] for p in every], int), code, own
+
+
+def _sums(lines: list[str]) -> np.ndarray:
+    """A row of hash prefix sums for each of some lines of equal length."""
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(lines), -1)
+    out = np.zeros((len(lines), chars.shape[1] + 1), np.uint64)
+    np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * powers(chars.shape[1])[0], axis=1, out=out[:, 1:])
+    return out
+
 
+def _cut(sums: np.ndarray, start, end) -> np.ndarray:
+    return mix((sums[:, end] - sums[:, start]) * powers(sums.shape[1])[1][start])
+
+
+def _by_length(lines: list[str], edits: int, per: int):
+    """(length, positions) of lines of equal length that may have edits, a slice at a time."""
+    groups: dict[int, list[int]] = defaultdict(list)
+    for p, line in enumerate(lines):
+        if allowed(len(line), edits, per):
+            groups[len(line)].append(p)
+    for length, at in groups.items():
+        step = max(1, SLICE_CHARS // length)
+        for k in range(0, len(at), step):
+            yield length, at[k : k + step]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _keys(edits: int, per: int):
+    """(near, own, probes): the 64-bit hash of a line, the keys of its segments and of its other substrings."""
 
-def _keys(edits: int, least: int):
     def task(batches):
         seen: set[int] = set()
         for batch in batches:
-            keys: list[np.ndarray] = []
-            lines: list[int] = []
+            lines: list[str] = []
+            names: list[int] = []
             for text in batch.column(0).to_pylist():
                 for _, line in _lines(text):
-                    if len(line) < least:
-                        continue
-                    h = int.from_bytes(_digest(line)[:8], "big", signed=True)
+                    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
                     if h in seen:  # copies within a task would only give the same rows again
                         continue
                     seen.add(h)
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    sums = prefix_sums(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32))
-                    start, end, code = _places(len(line), edits)
-                    keys.append(mix((sums[end] - sums[start]) * powers(len(sums))[1][start]) ^ code)
-                    lines.append(h)
-            ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
-            flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["near", "keys"])
+                    lines.append(line)
+                    names.append(_signed(h))
+            if len(seen) > 500_000:
+                seen.clear()
+            for length, at in _by_length(lines, edits, per):
+                _, start, end, code, own = _places(length, edits, per)
+                keys = (_cut(_sums([lines[p] for p in at]), start, end) ^ code).view(np.int64)
+                parts = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * k.shape[1]), pa.array(np.ascontiguousarray(k).ravel())) for k in (keys[:, own], keys[:, ~own])]
+                yield pa.RecordBatch.from_arrays([pa.array([names[p] for p in at], pa.int64()), *parts], ["near", "own", "probes"])
 
     return task
 
 
-def candidate_pairs(lines: list[str], edits: int) -> set[tuple[int, int]]:
-    """Positions of lines that share a segment at a fitting place, the smaller position first."""
-    index: dict[tuple, list[int]] = defaultdict(list)
-    for p, line in enumerate(lines):
-        for i, (a, n) in enumerate(segments(len(line), edits + 1)):
-            index[len(line), i, line[a : a + n]].append(p)
-    out = set()
-    for p, line in enumerate(lines):
-        for other, i, a, n in probes(len(line), edits):
-            for q in index.get((other, i, line[a : a + n]), ()):
-                if q != p:
-                    out.add((min(p, q), max(p, q)))
-    return out
+def _split(edits: int, per: int):
+    """For lines (key, id, text) of large buckets: keys of the pieces of their rest."""
+
+    def task(batches):
+        for batch in batches:
+            key, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+            lines = batch.column("text").to_pylist()
+            out: list[tuple[np.ndarray, np.ndarray, bool]] = []
+            for length, at in _by_length(lines, edits, per):
+                places, start, end, code, own = _places(length, edits, per)
+                sums, at = _sums([lines[p] for p in at]), np.array(at)
+                hit = (_cut(sums, start, end) ^ code).view(np.int64) == key[at][:, None]
+                for c in np.flatnonzero(hit.any(axis=0)):
+                    other, _, begin, size, here = places[c]
+                    rows = np.flatnonzero(hit[:, c])
+                    k = allowed(other, edits, per)
+                    mine = {(j, a, n) for j, (a, n) in enumerate(rest_pieces(other, begin, size, k))} if own[c] else set()
+                    for j, a, n in mine | set(rest_probes(length, other, begin, size, here, k)):
+                        new = _cut(sums[rows], a, a + n) ^ mix(key[at[rows]].view(np.uint64) + np.uint64(j + 1))
+                        out.append((new.view(np.int64), ids[at[rows]], (j, a, n) in mine))
+            if out:
+                columns = np.concatenate([x for x, _, _ in out]), np.concatenate([x for _, x, _ in out]), np.repeat([x for _, _, x in out], [len(x) for x, _, _ in out])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "own"])
+
+    return task
 
 
-def _verify(edits: int):
+def _bins(lines: list[str]) -> np.ndarray:
+    """How many characters of each line fall in each bin; an edit changes two counts at most, by one each."""
+    sizes = np.array([len(x) for x in lines])
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    bin_ = (chars * np.uint32(2654435761)) >> np.uint32(27)
+    return np.bincount(np.repeat(np.arange(len(lines)) * BINS, sizes) + bin_, minlength=len(lines) * BINS).reshape(-1, BINS).astype(np.int32)
+
+
+def _sifted(bounds: np.ndarray, own: np.ndarray, side: np.ndarray, lines: list[str], edits: int, per: int):
+    """Pairs of rows of one run that may be within the allowed edits, by lengths and character counts."""
+    size, counts = np.array([len(x) for x in lines]), _bins(lines)
+    end = np.repeat(bounds[1:], np.diff(bounds))
+    left = np.arange(len(lines))
+    step = 1
+    while len(left := left[end[left] - left > step]):
+        right = left + step
+        k = np.minimum(edits, np.minimum(size[left], size[right]) // per)
+        # side: -1 in a block of one chunk, else the chunk of a block of two
+        ok = (own[left] | own[right]) & (np.abs(size[left] - size[right]) <= k) & (k > 0) & ((side[left] < 0) | (side[left] != side[right]))
+        l, r, k = left[ok], right[ok], k[ok]
+        near = np.abs(counts[l] - counts[r]).sum(axis=1) <= 2 * k
+        if near.any():
+            yield l[near], r[near], k[near]
+        step += 1
+
+
+def _verify(edits: int, per: int):
+    """A spanning forest of the links that the runs of (key, i, j) hold."""
+
     def task(batches):
-        for table, bounds in keyed_runs(batches, ["component", "i", "j"]):
-            lines, ids = table.column("text").to_pylist(), table.column("id").to_pylist()
-            blocks, pairs = [], []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                near = sorted(candidate_pairs(lines[a:b], edits))
-                blocks.append((a, b, near))
-                pairs += [(lines[a + x], lines[a + y]) for x, y in near]
-            close = within(pairs, edits) <= edits
-            u, v, at = [], [], 0
-            for a, b, near in blocks:
-                linked = [p for p, ok in zip(near, close[at : at + len(near)], strict=True) if ok]
-                at += len(near)
-                for x, y in spanning(b - a, [p[0] for p in linked], [p[1] for p in linked]):
-                    u.append(ids[a + x])
-                    v.append(ids[a + y])
+        for table, bounds in keyed_runs(batches, ["key", "i", "j"]):
+            lines = table.column("text").to_pylist()
+            ids, node = np.unique(table.column("id").to_numpy(), return_inverse=True)
+            cross = table.column("i").to_numpy() != table.column("j").to_numpy()
+            side = np.where(cross, table.column("side").to_numpy(), -1)
+            found = list(_sifted(np.asarray(bounds), table.column("own").to_numpy(zero_copy_only=False), side, lines, edits, per))
+            left, right, most = (np.concatenate([f[x] for f in found]) if found else np.empty(0, int) for x in range(3))
+            pair = np.minimum(node[left], node[right]) * len(ids) + np.maximum(node[left], node[right])
+            _, once = np.unique(pair, return_index=True)
+            once = once[node[left[once]] != node[right[once]]]
+            left, right, most = left[once], right[once], most[once]
+            root = np.arange(len(ids))
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            u, v = [], []
+            while len(left):
+                l, r, k = left[:WAVE], right[:WAVE], most[:WAVE]
+                close = within([(lines[a], lines[b]) for a, b in zip(l.tolist(), r.tolist(), strict=True)], edits) <= k
+                for a, b in zip(node[l[close]].tolist(), node[r[close]].tolist(), strict=True):
+                    x, y = find(a), find(b)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        u.append(ids[a])
+                        v.append(ids[b])
+                left, right, most = left[WAVE:], right[WAVE:], most[WAVE:]
+                if len(left):  # what is linked already needn't be compared
+                    while not (flat := root[root]).tolist() == root.tolist():
+                        root[:] = flat
+                    open_ = root[node[left]] != root[node[right]]
+                    left, right, most = left[open_], right[open_], most[open_]
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return task
 
 
-def find_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, n_lines, n_dropped, n_near, dropped.
-
-    A line is a \\n-separated part of a text without the space characters around
-    it, if anything is left.  Lines of `least` characters or more are linked when
-    their edit distance is at most `edits` (code points), shorter ones only when
-    equal.  Of each connected class of lines the first by (doc_id, line number)
-    stays; every other occurrence is dropped.  `dropped` lists (line, keep_doc,
-    keep_line) by line number, where keep_doc and keep_line name the occurrence
-    that stays and so the class; n_near counts the dropped lines that differ
-    from it.  Null, empty and wordless texts have no lines.  Rows that repeat a
-    doc_id are merged into one row; other columns are ignored.
-    """
-    spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = materialize(own.mapInArrow(_list, "doc_id long, line int, digest binary, n_chars int"), "lines")
-
-    keyed = materialize(own.select("text").mapInArrow(_keys(edits, least), "near long, keys array<long>"), "keys")
-    keys = keyed.select("near", F.explode("keys").alias("key"))
-    shared = materialize(keys.groupBy("key").agg(F.min("near").alias("v"), F.max("near").alias("u")).where("v < u"), "shared")
-    stars = keys.join(broadcast_if_small(shared.select("key", "v"), 16), "key").where("near > v").select(F.col("near").alias("u"), "v")
-    groups = materialize(connected_components(stars).withColumnRenamed("node", "near"), "groups")
-
-    where = F.struct(F.col("doc_id"), F.col("line"))
-    first = lines.where("line >= 0").groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.min("n_chars").alias("n_chars"))
-    first = materialize(first.withColumn("near", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")), "first")
-    candidates = first.where(F.col("n_chars") >= least).join(broadcast_if_small(groups, 16), "near").select("digest", "first", "component").withColumn("id", F.monotonically_increasing_id())
-    candidates = materialize(candidates, "candidates")
-
-    wanted = candidates.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.line", "digest", "component", "id")).alias("wanted"))
-    wanted = materialize(wanted, "wanted")
-    texts = own.join(broadcast_if_small(wanted, 128, "wanted", 96), "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
-    texts = texts.select(F.btrim(F.get("all", F.col("w.line")), F.lit(SPACES)).alias("text"), "w.digest", "w.component", "w.id").where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("digest"))
-    members = materialize(texts.dropDuplicates(["id"]).drop("digest"), "members")
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("chunks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    blocks = block_pairs(members.join(sizes, "component"), "id", F.col("chunks")).drop("chunks", "side")
-    blocks = blocks.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    classes = connected_components(blocks.mapInArrow(_verify(edits), "u long, v long")).withColumnRenamed("node", "id")
-
-    classed = candidates.drop("component").join(classes, "id").withColumnRenamed("component", "class")
-    classed = materialize(classed, "classed")
+def _line_column(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACES))
+
+
+def _verified(entries: DataFrame, sizes: DataFrame | None, members: DataFrame, edits: int, per: int) -> DataFrame:
+    """Links of the entries (key, id, own); `sizes` (key, n) cuts large buckets into blocks of pairs."""
+    n = partitions(entries.sparkSession)
+    texts = members.select("id", "text")
+    if sizes is None:
+        rows = entries.select("key", "id", "own", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    else:
+        rows = block_pairs(entries.join(sizes, "key"), "id", F.ceil(F.col("n") / BUCKET_ROWS)).select("key", "id", "own", "i", "j", "side")
+    rows = rows.join(texts, "id").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(_verify(edits, per), "u long, v long")
+
+
+def _candidates(docs: DataFrame, edits: int, per: int) -> tuple[DataFrame, DataFrame]:
+    """Lines that share a key with another, (id, near, digest, text), and their (key, id, own)."""
+    keyed = materialize(docs.select("text").mapInArrow(_keys(edits, per), "near long, own array<long>, probes array<long>"), "keys")
+    keys = keyed.select("near", F.explode("own").alias("key"), F.lit(True).alias("own")).unionByName(keyed.select("near", F.explode("probes").alias("key"), F.lit(False).alias("own")))
+    shared = keys.groupBy("key").agg(F.min("near").alias("a"), F.max("near").alias("b"), F.max(F.col("own").cast("int")).alias("o")).where("a < b and o = 1")
+    shared = materialize(shared.select("key"), "shared")
+    met = materialize(keys.join(broadcast_if_small(shared, 16), "key").groupBy("key", "near").agg(F.max(F.col("own").cast("int")).alias("own")), "met")
+    nears = materialize(met.select("near").distinct(), "nears")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("text")).select(_line_column(F.col("text")).alias("text")).where(F.char_length("text") >= per)
+    lines = lines.select("text", F.xxhash64("text").alias("near")).join(broadcast_if_small(nears, 16), "near")
+    lines = lines.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary")))).dropDuplicates(["digest"])
+    members = materialize(lines.select(F.monotonically_increasing_id().alias("id"), "near", "digest", "text"), "members")
+    entries = met.join(members.select("near", "id"), "near").select("key", "id", (F.col("own") == 1).alias("own"))
+    return members, materialize(entries, "entries")
+
+
+def _links(members: DataFrame, entries: DataFrame, edits: int, per: int) -> DataFrame:
+    over = materialize(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS).select("key"), "over")
+    if over.isEmpty():
+        return _verified(entries, None, members, edits, per)
+    large = broadcast_if_small(over, 16)
+    small = _verified(entries.join(large, "key", "left_anti"), None, members, edits, per)
+    pieces = entries.join(large, "key").join(members.select("id", "text"), "id").select("key", "id", "text").mapInArrow(_split(edits, per), "key long, id long, own boolean")
+    pieces = materialize(pieces.groupBy("key", "id").agg(F.max(F.col("own").cast("int")).alias("own")), "pieces")
+    sizes = pieces.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("o")).where("n > 1 and o = 1").select("key", "n")
+    return small.unionByName(_verified(pieces.withColumn("own", F.col("own") == 1), sizes, members, edits, per))
+
+
+def _found(rows: DataFrame, edits: int, per: int) -> DataFrame:
+    """The columns of find_repeated_lines, with the row number, for rows (row, doc_id, text)."""
+    own = rows.withColumn("raw", F.xxhash64(F.coalesce("text", F.lit("")))).select("row", "doc_id", "raw", "text")
+    lines = materialize(own.mapInArrow(_list, "row long, doc_id long, raw long, line int, digest binary"), "lines")
+    members, entries = _candidates(own, edits, per)
+    classes = connected_components(materialize(_links(members, entries, edits, per), "links")).withColumnsRenamed({"node": "id", "component": "class"})
+    classes = materialize(classes.join(members.select("id", "digest"), "id").select("digest", "class"), "classes")
+
+    where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw", "row", "line")
+    first = materialize(lines.where("line >= 0").groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("n")), "first")
+    classed = materialize(first.join(broadcast_if_small(classes, 48), "digest"), "classed")
     heads = classed.groupBy("class").agg(F.min(F.struct("first", "digest")).alias("head"))
     kept = classed.join(heads, "class").select("digest", F.col("head.first").alias("keep"), (F.col("head.digest") != F.col("digest")).alias("near"))
-    plain = first.where("n > 1").join(kept.select("digest"), "digest", "left_anti").select("digest", F.col("first").alias("keep"), F.lit(False).alias("near"))
+    plain = first.where("n > 1").join(broadcast_if_small(classes.select("digest"), 32), "digest", "left_anti").select("digest", F.col("first").alias("keep"), F.lit(False).alias("near"))
     keepers = materialize(kept.unionByName(plain), "keepers")
 
-    placed = lines.join(broadcast_if_small(keepers, 64), "digest", "left")
-    dropped = F.col("keep").isNotNull() & (where != F.col("keep"))
+    placed = lines.join(broadcast_if_small(keepers, 160), "digest", "left")
+    dropped = F.col("keep").isNotNull() & ~((F.col("keep.row") == F.col("row")) & (F.col("keep.line") == F.col("line")))
     entry = F.struct(F.col("line"), F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"))
-    return placed.groupBy("doc_id").agg(
+    return placed.groupBy("row", "doc_id").agg(
         F.sum((F.col("line") >= 0).cast("long")).alias("n_lines"),
         F.sum(F.coalesce(dropped, F.lit(False)).cast("long")).alias("n_dropped"),
         F.sum(F.coalesce(dropped & F.col("near"), F.lit(False)).cast("long")).alias("n_near"),
@@ -183,9 +290,45 @@ def find_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST)
     )
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """`docs` with the lines that find_repeated_lines drops taken out of the texts."""
-    found = find_repeated_lines(docs, edits, least).where("n_dropped > 0").select("doc_id", F.transform("dropped", lambda d: d["line"]).alias("_lines"))
-    left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_lines", i))
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return docs.join(found, "doc_id", "left").withColumn("text", text).select(*docs.columns)
+def find_repeated_lines(docs: DataFrame, edits: int = EDITS, per: int = PER_EDIT) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): doc_id, n_lines, n_dropped, n_near, dropped.
+
+    A line is a \\n-separated part of a text without the space characters around
+    it, if anything is left.  Two lines are linked when their edit distance (code
+    points) is at most `edits` and at most one for every `per` characters of the
+    shorter one; lines of fewer than `per` characters therefore only when equal.
+    Of each connected class of lines the first stays, by doc_id (null last), then
+    a hash of the text, the row and the line number; every other occurrence is
+    dropped.  `dropped` lists (line, keep_doc, keep_line) by line number, where
+    keep_doc and keep_line name the occurrence that stays and so the class; n_near
+    counts the dropped lines that differ from it.  Null, empty and wordless texts
+    have no lines.  Rows are told apart by themselves, so a doc_id may repeat or be
+    null; other columns are ignored.
+    """
+    return _found(unnumbered(docs), edits, per).drop("row")
+
+
+def dedup_lines(docs: DataFrame, edits: int = EDITS, per: int = PER_EDIT) -> DataFrame:
+    """`docs` with the lines that find_repeated_lines drops taken out of the texts, row by row; columns as they were."""
+    rows = numbered(docs)
+    found = materialize(_found(fields(rows), edits, per).where("n_dropped > 0").select("row", F.transform("dropped", lambda d: d["line"]).alias("gone")), "found")
+    parts = fields(rows).join(broadcast_if_small(found.select("row"), 16), "row").select("row", F.posexplode(F.split("text", "\n")).alias("line", "part"))
+    left = parts.join(found.select("row", F.explode("gone").alias("line")), ["row", "line"], "left_anti")
+    joined = left.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("line", "part"))).alias("parts"))  # the lines of one document
+    texts = found.select("row").join(joined, "row", "left").select("row", F.coalesce(F.array_join(F.transform("parts", lambda x: x["part"]), "\n"), F.lit("")).alias("new"))
+    return rows.join(texts, "row", "left").select(F.col("doc").withField("text", F.coalesce("new", F.col("doc.text"))).alias("doc")).select("doc.*")
+
+
+def candidate_pairs(lines: list[str], edits: int, per: int = 1) -> set[tuple[int, int]]:
+    """Positions of lines that share a segment at a fitting place, the smaller first: what the buckets bring together."""
+    index: dict[tuple, list[int]] = defaultdict(list)
+    for p, line in enumerate(lines):
+        for i, (a, n) in enumerate(segments(len(line), allowed(len(line), edits, per) + 1)):
+            index[len(line), i, line[a : a + n]].append(p)
+    out = set()
+    for p, line in enumerate(lines):
+        for other, i, a, n in probes(len(line), edits, per):
+            for q in index.get((other, i, line[a : a + n]), ()):
+                if q != p:
+                    out.add((min(p, q), max(p, q)))
+    return out

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import prefix_sums, spans, text_slices, words
+from .hashing import SLICE, hashed_words
 from .store import broadcast_if_small, materialize
 
 FEATURES = ("length", "word_length", "symbols", "capitals", "marks", "bars", "digits", "ends", "distinct", "adjacent", "lines", "accents")
@@ -25,31 +25,36 @@ _TABLES = {
     "lines": b"\n",
     "accents": bytes(range(0xC0, 0x100)),
 }
-_LUT = np.zeros((256, len(_TABLES)), np.float32)
+_CLASS = np.full(256, len(_TABLES), np.uint8)
 for _k, _c in enumerate(_TABLES.values()):
-    _LUT[list(_c), _k] = 1
+    _CLASS[list(_c)] = _k
+
+
+def _class_counts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Bytes of each class in each row, counted a slice at a time."""
+    width = len(_TABLES) + 1
+    out = np.zeros((len(offsets) - 1) * width, np.int64)
+    for at in range(0, len(data), SLICE):
+        part = _CLASS[data[at : at + SLICE]]
+        row = np.searchsorted(offsets, np.arange(at, at + len(part)), side="right") - 1
+        out += np.bincount(row * width + part, minlength=len(out))
+    return out.reshape(-1, width)[:, :-1].astype(float)
 
 
 def document_statistics(column: pa.Array) -> np.ndarray:
     """A row of FEATURES for each text: logs of counts and square roots of shares, 0 without words."""
     out = []
-    for _, offsets, data in text_slices(column):
-        start, end, first = words(offsets, data)
-        hashes = spans(prefix_sums(data), start, end)
-        sums = np.zeros((len(data) + 1, len(_TABLES)), np.float32 if len(data) < 1 << 24 else np.float64)
-        np.cumsum(_LUT[data], axis=0, out=sums[1:])
-        counts = (sums[offsets[1:]] - sums[offsets[:-1]]).astype(float)
-        chars = np.diff(offsets)[:, None]
+    for offsets, data, hashes, sizes, first in hashed_words(column):
+        shares = np.sqrt(_class_counts(offsets, data) / np.maximum(np.diff(offsets)[:, None], 1))
         same = np.concatenate([[False], hashes[1:] == hashes[:-1]])
         n = np.diff(first)
-        shares = np.sqrt(counts / np.maximum(chars, 1))
         part = np.zeros((len(n), len(FEATURES)))
         part[:, 2:8] = shares[:, :6]
         part[:, 10:12] = shares[:, 6:8]
         for i in np.flatnonzero(n):
             a, b = first[i], first[i + 1]
             part[i, 0] = np.log1p(n[i])
-            part[i, 1] = np.log((end[a:b] - start[a:b]).mean())
+            part[i, 1] = np.log(sizes[a:b].mean())
             # the share of distinct words falls with length, so it is set against what its logarithm allows
             part[i, 8] = np.log1p(len(np.unique(hashes[a:b]))) / np.log1p(n[i])
             part[i, 9] = np.sqrt(same[a + 1 : b].sum() / n[i])

@@ -101,10 +101,38 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
+def _pieces(data: np.ndarray):
+    """`data` in parts of about SLICE bytes that end at a space; a longer word stays whole."""
+    at = 0
+    while at < len(data):
+        to = at + SLICE
+        while to < len(data) and not (found := np.flatnonzero(IS_SPACE[data[to : to + SLICE]])).size:
+            to += SLICE
+        to = min(len(data), to + int(found[0]) if to < len(data) else to)
+        yield data[at:to]
+        at = to
+
+
+def hashed_words(column: pa.Array):
+    """For runs of rows: offsets, bytes, hash and byte length of every word, first word of each row.
+
+    A text of more than two slices is a run of its own and is hashed part by part.
+    """
+    for _, offsets, data in text_slices(column):
+        if len(offsets) == 2 and len(data) > 2 * SLICE:
+            parts = []
+            for piece in _pieces(data):
+                start, end, _ = words(np.array([0, len(piece)]), piece)
+                parts.append((spans(prefix_sums(piece), start, end), end - start))
+            hashes, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield offsets, data, hashes, sizes, np.array([0, len(hashes)])
+        else:
+            start, end, first = words(offsets, data)
+            yield offsets, data, spans(prefix_sums(data), start, end), end - start, first
+
+
 def shingle_sets(column: pa.Array, size: int = 5):
     """The sorted distinct shingle hashes of each row, in order; empty without words."""
-    for _, offsets, data in text_slices(column):
-        start, end, first = words(offsets, data)
-        hashes = spans(prefix_sums(data), start, end)
+    for _, _, hashes, _, first in hashed_words(column):
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             yield np.unique(windows(hashes[a:b], size)) if b > a else np.empty(0, np.uint64)

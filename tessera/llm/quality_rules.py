@@ -6,7 +6,7 @@ how often each rule casts each vote on good and on bad documents; the posterior
 probability of the good class then replaces a demand that all rules pass.
 
 The estimation needs only how often each combination of votes occurs: a table
-of at most 3 ** len(RULES) rows, counted by Spark over all documents, whatever
+of at most 3 ** (number of rules) rows, counted by Spark over all documents, whatever
 their number.
 """
 
@@ -17,33 +17,41 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize, without
+from .store import materialize
 
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 WINDOW = 5
+#: Common function words of English, German, French and Spanish.
+FUNCTION_WORDS = (
+    "the of and in to is that it for was on are as with by at from or an be this which "
+    "der die und den von zu das mit sich des auf für ist im dem nicht ein eine auch "
+    "de la le et les un du une que est pour qui dans par sur au pas il elle "
+    "el en los se del las por con no su para es al lo como"
+).split()
 
 
 def _without(text: Column, characters: str) -> Column:
     return F.char_length(F.translate(text, characters, ""))
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that the rules use, one row per row; null text has no words.
+def text_statistics(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, the columns `more` and the counts that the rules use, one row per row; null text has no words.
 
     n_repeat_words counts the words inside five-word windows that occur twice or
     more in the text; windows are compared by 64-bit hashes within one text.
     """
     text = F.col("text")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = out.select("doc_id", "text", F.filter(F.split(text, SPACE), lambda w: w != "").alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("lines"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    kept = [c for c in out.columns if c != "text"]
+    out = out.select(*kept, "text", F.filter(F.split(text, SPACE), lambda w: w != "").alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("lines"))
     out = out.select(
-        "doc_id",
+        *kept,
         F.size("words").cast("long").alias("n_words"),
         _without(text, " \t\n\x0b\x0c\r").cast("long").alias("word_chars"),
         (F.char_length(text) - _without(text, "#*$%&|<>")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
-        (F.char_length(text) - _without(text, "|")).cast("long").alias("n_bars"),
+        F.size(F.filter("words", lambda w: w.isin(FUNCTION_WORDS))).cast("long").alias("n_function"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count(text, F.lit(r"[.!?](?=\s|$)")).cast("long").alias("n_ends"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
@@ -63,34 +71,39 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     return out.select(*counts, F.when(F.col("at").isNotNull(), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def _bands(value: Column, bad: Column, good: Column) -> Column:
-    return F.when(value.isNull(), 0).when(bad, -1).when(good, 1).otherwise(0)
+def _votes(value: Column, keep: Column, drop: Column) -> Column:
+    return F.when(value.isNull(), 0).when(drop, -1).when(keep, 1).otherwise(0).cast("int")
 
 
 def rule_votes() -> dict[str, Column]:
-    """The rules: a name and a vote of -1, 0 or 1 from the columns of text_statistics."""
+    """The rules: a name and a vote of 1 (keep), -1 (drop) or 0 from the columns of text_statistics.
+
+    Each looks at one property of its own and votes both ways; values between its
+    bands, and texts too short to tell, make it abstain.
+    """
     share = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))
-    symbols, upper, bars = share("n_symbols", "word_chars"), share("n_upper", "word_chars"), share("n_bars", "n_words")
-    stutter = share("n_stutter", "n_words")
-    repeats, distinct, length = share("n_repeat_words", "n_words"), share("n_distinct", "n_words"), share("word_chars", "n_words")
-    prose = (symbols < 0.02) & (upper < 0.15) & (bars < 0.1) & (repeats < 0.2) & (stutter < 0.1)
-    rules = {
-        "symbols": _bands(symbols, symbols > 0.06, F.lit(False)),
-        "shouting": _bands(upper, upper > 0.35, F.lit(False)),
-        "table": _bands(bars, bars > 0.25, F.lit(False)),
-        "repetition": _bands(repeats, repeats > 0.2, F.lit(False)),
-        "stutter": _bands(stutter, stutter > 0.15, F.lit(False)),
-        "vocabulary": _bands(distinct, (F.col("n_words") >= 30) & (distinct < 0.15), F.lit(False)),
-        "lines": _bands(share("n_dup_lines", "n_lines"), share("n_dup_lines", "n_lines") > 0.3, F.lit(False)),
-        "word_length": _bands(length, (length > 16) | (length < 2), F.lit(False)),
-        "prose": _bands(symbols, ~prose, prose),
+    enough = F.col("n_words") >= 30
+    function, symbols, upper = share("n_function", "n_words"), share("n_symbols", "word_chars"), share("n_upper", "word_chars")
+    sentence, length, line = share("n_words", "n_ends"), share("word_chars", "n_words"), share("n_words", "n_lines")
+    repeats, lines, stutter, distinct = share("n_repeat_words", "n_words"), share("n_dup_lines", "n_lines"), share("n_stutter", "n_words"), share("n_distinct", "n_words")
+    return {
+        "function_words": _votes(function, function >= 0.12, (enough & (function < 0.05)) | ((F.col("n_words") >= 12) & (function < 0.03))),
+        "symbols": _votes(symbols, symbols < 0.01, symbols > 0.2),
+        "capitals": _votes(upper, upper.between(0.003, 0.08), upper > 0.3),
+        "sentences": _votes(F.col("n_words"), sentence.between(3, 30), enough & (F.coalesce(sentence, F.lit(1e9)) > 60)),
+        "word_length": _votes(length, length.between(3.5, 6.5), (length > 9) | (length < 2.5)),
+        "line_length": _votes(line, line.between(6, 200), enough & (line < 3)),
+        "repetition": _votes(repeats, repeats < 0.05, repeats > 0.15),
+        "repeated_lines": _votes(lines, (F.col("n_lines") > 1) & (lines < 0.1), lines > 0.3),
+        "stutter": _votes(stutter, enough & (stutter < 0.05), stutter > 0.15),
+        "vocabulary": _votes(distinct, enough & (distinct > 0.4), enough & (distinct < 0.15)),
     }
-    return {k: v.cast("int") for k, v in rules.items()}
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[dict[int, float]]]:
     """EM over counted vote patterns: the log-odds of good a priori, and for each
-    rule the log-likelihood ratio of good against bad for each vote.
+    rule the log-likelihood ratio of good against bad for each vote (0 for abstaining,
+    which says nothing about the class).
 
     Starts from the majority of the votes; add-one smoothing keeps every
     probability inside (0, 1), and tables without rows or with one pattern too.
@@ -102,35 +115,51 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> t
         n1, n0 = (sum(g * n for g, (_, n) in zip(good, patterns, strict=True)), sum((1 - g) * n for g, (_, n) in zip(good, patterns, strict=True)))
         prior = math.log((n1 + 1) / (n0 + 1))
         for j in range(rules):
-            for vote in (-1, 0, 1):
-                a = sum(g * n for g, (v, n) in zip(good, patterns, strict=True) if v[j] == vote)
-                b = sum((1 - g) * n for g, (v, n) in zip(good, patterns, strict=True) if v[j] == vote)
-                ratios[j][vote] = math.log((a + 1) / (n1 + 3)) - math.log((b + 1) / (n0 + 3))
+            a, b = ({x: sum((g if side else 1 - g) * n for g, (v, n) in zip(good, patterns, strict=True) if v[j] == x) for x in (-1, 1)} for side in (1, 0))
+            for vote in (-1, 1):
+                ratios[j][vote] = math.log((a[vote] + 1) / (a[-1] + a[1] + 2)) - math.log((b[vote] + 1) / (b[-1] + b[1] + 2))
         good = [1 / (1 + math.exp(-max(-60.0, min(60.0, prior + sum(r[x] for r, x in zip(ratios, v, strict=True)))))) for v, _ in patterns]
     return prior, ratios
 
 
+def _posterior(voted: DataFrame) -> Column:
+    """Probability of the good class from the vote columns, estimated on all rows of `voted` that pass the base rules."""
+    names = [f"vote_{k}" for k in rule_votes()]
+    counted = voted.where(~F.col("base_failed")).groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(names) rows
+    prior, ratios = estimate(sorted((tuple(r[:-1]), r["n"]) for r in counted))
+    odds = F.lit(prior)
+    for name, ratio in zip(names, ratios, strict=True):
+        odds = odds + F.when(F.col(name) == -1, ratio[-1]).when(F.col(name) == 0, ratio[0]).otherwise(ratio[1])
+    return 1 / (1 + F.exp(-odds))
+
+
+def _voted(docs: DataFrame, *more: Column) -> DataFrame:
+    """The counts, base_failed and the votes for rows (doc_id, text), with the columns `more`; written once."""
+    stats = text_statistics(docs, *more)
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return materialize(stats.select("*", failed.alias("base_failed"), *[v.alias(f"vote_{k}") for k, v in rule_votes().items()]), "votes")
+
+
 def quality_rules(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): the counts, base_failed, quality, kept.
+    """One row per row of `docs` (doc_id, text): the counts, base_failed, quality, kept, the votes.
 
     base_failed: fewer than 10 words, or more than 20 % of the words repeat in
     five-word windows.  Otherwise a document is kept when its posterior quality
-    reaches `least`.  Null, empty and wordless texts fail the base rules; repeated
-    rows each get a row; other columns are ignored; an empty table gives none.
+    reaches `least`; the estimation uses the documents that pass the base rules.  Null, empty and wordless texts fail the base rules; repeated
+    rows each get a row, null doc_ids too; other columns are ignored; an empty
+    table gives none.
     """
-    rules = rule_votes()
-    stats = text_statistics(docs).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    voted = materialize(stats.select("*", *[v.alias(f"vote_{k}") for k, v in rules.items()]), "votes")
-    names = [f"vote_{k}" for k in rules]
-    counted = voted.groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(rules) rows
-    prior, ratios = estimate(sorted((tuple(r[:-1]), r["n"]) for r in counted))
-    odds = F.lit(prior)
-    for name, ratio in zip(names, ratios, strict=True):
-        odds = odds + F.when(F.col(name) == -1, ratio[-1]).when(F.col(name) == 0, ratio[0]).otherwise(ratio[1])
-    quality = 1 / (1 + F.exp(-odds))
-    return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (quality >= least)).alias("kept"), quality.alias("quality"), *names)
+    voted = _voted(docs)
+    quality = _posterior(voted)
+    votes = [f"vote_{k}" for k in rule_votes()]
+    return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (quality >= least)).alias("kept"), quality.alias("quality"), *votes)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that quality_rules keeps, columns unchanged."""
-    return without(docs, quality_rules(docs).where("not kept"))
+def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of `docs` that quality_rules keeps, columns unchanged.
+
+    The rows travel with their votes, so each is judged by its own text, whatever
+    doc_ids repeat or are null, and no join is needed.
+    """
+    voted = _voted(docs, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
+    return voted.where(~F.col("base_failed") & (_posterior(voted) >= least)).select("doc.*")

@@ -8,13 +8,15 @@ redacted besides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import boosting
-from .store import materialize
+from .store import fields, materialize, numbered, unnumbered
 
-SPAN = "array<struct<start:int,end:int,value:string>>"
+SPAN = "array<struct<start:int,end:int,context:string,value:string>>"
+CHUNK = 256  # matches whose places are summed up at once
+CONTEXT = 24  # characters before a match that are looked at, back to the match before
 
 #: Base kinds in order.  The patterns match what the plain ones match
 #: (`[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+` and so on), but are
@@ -73,17 +75,36 @@ _LOCAL_NUMBER = r"^[2-9][0-9]{2}(?![0-9]11)[2-9][0-9]{6}$"
 
 
 def _found(text: Column, pattern: str, needs: Column) -> Column:
-    """Leftmost non-overlapping matches as (start, end, value), in code points, end exclusive."""
-    pieces = F.zip_with(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda a, b: F.struct(F.char_length(a).alias("gap"), b.alias("value")))
-    matches = F.filter(pieces, lambda x: x["value"].isNotNull())
+    """Leftmost non-overlapping matches as (start, end, context, value), in code points, end exclusive.
+
+    Places are running sums of lengths, over chunks of CHUNK matches and then over
+    the chunks, so that a text with many matches isn't slower by their square.
+    """
+    piece = lambda a, b: F.struct(F.char_length(a).cast("int").alias("gap"), F.right(a, F.lit(CONTEXT)).alias("context"), b.alias("value"))
+    matches = F.filter(F.zip_with(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), piece), lambda x: x["value"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(s, x):
         first = s["at"] + x["gap"]
         end = first + F.char_length(x["value"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(first.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+        span = F.struct(first.alias("start"), end.alias("end"), x["context"].alias("context"), x["value"].alias("value"))
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(span)).alias("out"))
+
+    def placed(m):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(m, c * CHUNK + 1, F.lit(CHUNK)), start, step))
+
+    def moved(chunks):
+        bases = F.aggregate(chunks, F.array(F.lit(0)), lambda at, c: F.concat(at, F.array(F.element_at(at, -1) + c["at"])))
+        shift = lambda c, base: F.transform(c["out"], lambda s: F.struct((s["start"] + base).alias("start"), (s["end"] + base).alias("end"), s["context"].alias("context"), s["value"].alias("value")))
+        return F.flatten(F.zip_with(chunks, F.slice(bases, F.lit(1), F.size(chunks)), shift))
+
+    some = lambda m: F.when(F.size(m) > 0, _let(placed(m), moved)).otherwise(F.array().cast(SPAN))
+    return F.when(needs, _let(matches, some)).otherwise(F.array().cast(SPAN))
 
-    return F.when(needs, F.aggregate(matches, start, step, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _digits(value: Column) -> Column:
@@ -152,7 +173,7 @@ def _candidates(text: Column) -> Column:
     def described(kind: str) -> Column:
         def one(s):
             value, size = s["value"], s["end"] - s["start"]
-            before = F.substring(text, F.greatest(F.lit(1), s["start"] - 23), F.least(F.lit(24), s["start"]))
+            before = s["context"]
             digits = F.length(_digits(value))
             letters = F.when(value.rlike("[a-z]"), 1).otherwise(0) + F.when(value.rlike("[A-Z]"), 2).otherwise(0)
             feature = {
@@ -172,22 +193,87 @@ def _candidates(text: Column) -> Column:
     return F.concat(*[described(k) for k in KINDS])
 
 
-def _meets(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def spans_of(docs: DataFrame) -> DataFrame:
+    """row, doc_id, the arrays of valid base spans by kind, and the candidates, for rows (row, doc_id, text)."""
+    own = docs.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.col("text")
+    found = own.select("row", "doc_id", "text", *[_found(text, p, text.rlike(_NEEDS[k])).alias(k) for k, p in BASE.items()])
+    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+    keep = lambda kind: lambda s: _valid(kind, s["value"])
+    valid = [F.transform(F.filter(k, keep(k)), place).alias(k) for k in BASE]
+    return found.select("row", "doc_id", *valid, _candidates(text).alias("candidates"))
 
 
-def _exceeds(a: Column, b: Column) -> Column:
-    return (a["start"] <= b["start"]) & (a["end"] >= b["end"]) & (a["end"] - a["start"] > b["end"] - b["start"])
+BUCKET = 64  # characters of the stretches in which spans are matched with each other
 
 
-def spans_of(docs: DataFrame) -> DataFrame:
-    """doc_id, the arrays of valid base spans by kind, and the candidates, one row per row."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    text = F.col("text")
-    found = own.select("doc_id", "text", *[_found(text, p, text.rlike(_NEEDS[k])).alias(k) for k, p in BASE.items()])
-    keep = lambda kind: lambda s: _valid(kind, s["value"])
-    valid = [F.filter(k, keep(k)).alias(k) for k in BASE]
-    return found.select("doc_id", *valid, _candidates(text).alias("candidates"))
+def _buckets(span: Column) -> Column:
+    return F.explode(F.sequence(F.floor(span["start"] / BUCKET), F.floor((span["end"] - 1) / BUCKET)))
+
+
+def _compared(kept: DataFrame) -> DataFrame:
+    """The candidates, a row each (row, c), with what base spans say: `backed` (a base phone
+    meets a local number, a base card digits) and `blocked` (one is met but not held whole
+    and exceeded).
+
+    Spans meet in stretches of BUCKET characters, so work grows with the text, not
+    with pairs of spans.
+    """
+    one = kept.select("row", F.explode("candidates").alias("c"))
+    base = [kept.select("row", F.lit(k).alias("kind"), F.explode(k).alias("b")) for k in BASE]
+    base = base[0].unionByName(base[1]).unionByName(base[2]).unionByName(base[3])
+    near = one.withColumn("at", _buckets(F.col("c"))).join(base.withColumn("at", _buckets(F.col("b"))), ["row", "at"])
+    near = near.where((F.col("c.start") < F.col("b.end")) & (F.col("b.start") < F.col("c.end")))
+    holds = (F.col("c.start") <= F.col("b.start")) & (F.col("c.end") >= F.col("b.end")) & (F.col("c.end") - F.col("c.start") > F.col("b.end") - F.col("b.start"))
+    backs = ((F.col("c.kind") == KINDS.index("local")) & (F.col("kind") == "phone")) | ((F.col("c.kind") == KINDS.index("digits")) & (F.col("kind") == "card"))
+    flags = near.groupBy("row", "c.kind", "c.start").agg(F.max(backs.cast("int")).alias("backed"), F.max((~holds).cast("int")).alias("blocked"))
+    flags = flags.withColumnsRenamed({"row": "_row", "kind": "_kind", "start": "_start"})
+    joined = one.join(flags, (F.col("row") == F.col("_row")) & (F.col("c.kind") == F.col("_kind")) & (F.col("c.start") == F.col("_start")), "left")
+    return joined.select("row", "c", F.coalesce("backed", F.lit(0)).alias("backed"), F.coalesce("blocked", F.lit(0)).alias("blocked"))
+
+
+def _islands(spans: DataFrame, *more: Column) -> DataFrame:
+    """(row, start, end, more) of each union of overlapping spans (row, start, end) of a row."""
+    order = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.col("start") >= F.max("end").over(order), F.lit(True)).cast("long")
+    marked = spans.withColumn("_begins", begins)
+    upto = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("_island", F.sum("_begins").over(upto))
+    return marked.groupBy("row", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *more).drop("_island")
+
+
+def learn(compared: DataFrame, precision: float) -> tuple[tuple[float, list], list[float]]:
+    """The trees and the threshold of each kind, from counts of equal feature combinations."""
+    positive = F.greatest(F.col("c.evidence"), F.col("backed"))
+    counted = compared.groupBy(*[F.col(f"c.{f}").alias(f) for f in (*FEATURES, "held")]).agg(F.count("*").alias("n"), F.sum(positive).alias("p")).collect()
+    patterns = sorted((tuple(r[:-3]), r["held"], float(r["n"]), float(r["p"])) for r in counted)
+    split = {k for k in range(len(KINDS)) if sum(n for x, held, n, _ in patterns if held and x[0] == k) >= LEAST_HELD}
+    model = boosting.fit([(x, n, p) for x, held, n, p in patterns if not held or x[0] not in split], nominal=frozenset([0, 3]))
+    least = [boosting.threshold([(boosting.predict(model, x), n, p) for x, held, n, p in patterns if x[0] == k and (held or k not in split)], precision) for k in range(len(KINDS))]
+    return model, least
+
+
+def _find(docs: DataFrame, precision: float) -> DataFrame:
+    """row, doc_id, base and added of find_personal_data for rows (row, doc_id, text)."""
+    kept = materialize(spans_of(docs), "spans")
+    compared = materialize(_compared(kept), "candidates")
+    model, least = learn(compared, precision)
+
+    proved = (F.col("c.kind") == KINDS.index("iban")) & (F.col("c.evidence") == 1)
+    score = F.when(proved, 2.0).otherwise(boosting.expression(model, [F.col(f"c.{f}") for f in FEATURES]))
+    bar = F.element_at(F.array(*[F.lit(float(t) - 1e-9) for t in least]), F.col("c.kind") + 1)
+    passed = compared.withColumn("score", score).where((F.col("score") >= bar) & (F.col("blocked") == 0))
+    passed = passed.select("row", "c.start", "c.end", "c.kind", "score")
+    best = F.max_by("kind", F.struct("score", F.col("end") - F.col("start"), -F.col("start"), -F.col("kind"))).alias("kind")
+    names = F.array(*[F.lit({"hex": "secret", "local": "phone", "digits": "card"}.get(k, k)) for k in KINDS])
+    entry = F.struct("start", "end", F.element_at(names, F.col("kind") + 1).alias("kind"))
+    added = _islands(passed, best).groupBy("row").agg(F.sort_array(F.collect_list(entry)).alias("added"))
+    added = added.select("row", F.transform("added", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("added"))
+
+    named = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    merged = F.concat(*[F.transform(k, named(k)) for k in BASE])
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    return kept.join(added, "row", "left").select("row", "doc_id", merged.alias("base"), F.coalesce("added", none).alias("added"))
 
 
 def find_personal_data(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
@@ -199,57 +285,45 @@ def find_personal_data(docs: DataFrame, precision: float = PRECISION) -> DataFra
     account number by its country's length and check digits, a social security number
     by the rules for area and group, a card by the Luhn check, a local number by the
     numbering plan or as part of a base phone, a secret by the entropy and the mixture of
-    its characters.  Cue words such as "token =" are a feature only.  Candidates whose
-    value falls in the held-out part by its hash set the thresholds and aren't learned
-    from; a kind with few of them uses all its candidates for both.  An account number
-    that passes its check is selected in any case.  A candidate that overlaps a base span
-    is selected only when it holds all of that span and more.  Counts of equal feature
+    its characters.  Cue words such as "token =" before it are a feature only.  Candidates
+    whose value falls in the held-out part by its hash set the thresholds and aren't
+    learned from; a kind with few of them uses all its candidates for both.  An account
+    number that passes its check is selected in any case.  A candidate that overlaps a base
+    span is selected only when it holds all of that span and more.  Selected candidates that
+    overlap become one span, with the kind of the best.  Counts of equal feature
     combinations are enough for the trees, so the driver sees a table that is bounded by
-    the features' levels.  Null and empty texts have no spans, repeated
-    rows each get a row, other columns are ignored.
+    the features' levels.  Null and empty texts have no spans; every row gets its own
+    result, whatever doc_ids repeat or are null; other columns are ignored.
     """
-    kept = materialize(spans_of(docs), "spans")
-    named = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    merged = F.concat(*[F.transform(k, named(k)) for k in BASE])
-    rows = kept.select("doc_id", merged.alias("base"), "candidates")
+    return _find(unnumbered(docs), precision).drop("row")
 
-    one = rows.select("base", F.explode("candidates").alias("c"))
-    met = lambda kind, base: (F.col("c.kind") == KINDS.index(kind)) & F.exists("base", lambda b: (b["kind"] == base) & _meets(b, F.col("c")))
-    positive = (F.col("c.evidence") == 1) | met("local", "phone") | met("digits", "card")
-    counted = one.groupBy(*[F.col(f"c.{f}").alias(f) for f in (*FEATURES, "held")]).agg(F.count("*").alias("n"), F.sum(positive.cast("int")).alias("p")).collect()
-    patterns = sorted((tuple(r[:-3]), r["held"], float(r["n"]), float(r["p"])) for r in counted)
-    split = {k for k in range(len(KINDS)) if sum(n for x, held, n, _ in patterns if held and x[0] == k) >= LEAST_HELD}
-    model = boosting.fit([(x, n, p) for x, held, n, p in patterns if not held or x[0] not in split], nominal=frozenset([0, 3]))
-    least = [boosting.threshold([(boosting.predict(model, x), n, p) for x, held, n, p in patterns if x[0] == k and (held or k not in split)], precision) for k in range(len(KINDS))]
 
-    proved = lambda c: (c["kind"] == KINDS.index("iban")) & (c["evidence"] == 1)
-    score = lambda c: F.when(proved(c), 2.0).otherwise(boosting.expression(model, [c[f] for f in FEATURES]))
-    bar = lambda c: F.element_at(F.array(*[F.lit(float(t) - 1e-9) for t in least]), c["kind"] + 1)
-    scored = F.transform("candidates", lambda c: F.struct(score(c).alias("score"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), bar(c).alias("bar")))
-    rows = rows.select("doc_id", "base", scored.alias("scored"))
-    passed = F.filter("scored", lambda c: (c["score"] >= c["bar"]) & ~F.exists("base", lambda b: _meets(b, c) & ~_exceeds(c, b)))
-    # the best of overlapping candidates: by score, then the longer, then the earlier
-    ranked = F.array_sort(F.transform(passed, lambda c: F.struct((-c["score"]).alias("a"), (c["start"] - c["end"]).alias("b"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
-    rows = rows.select("doc_id", "base", ranked.alias("ranked"))
-    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    chosen = F.aggregate("ranked", none, lambda out, c: F.when(F.exists(out, lambda o: _meets(o, c)), out).otherwise(F.concat(out, F.array(F.struct(c["start"], c["end"], c["kind"])))))
-    names = F.array(*[F.lit({"hex": "secret", "local": "phone", "digits": "card"}.get(k, k)) for k in KINDS])
-    added = F.transform(F.array_sort(chosen), lambda s: F.struct(F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return rows.select("doc_id", "base", added.alias("added"))
+PART = 4096  # characters of the parts in which texts are redacted
 
 
 def redact(docs: DataFrame, mask: str = "[redacted]") -> DataFrame:
-    """`docs` with every span in its text replaced by `mask`; doc_id must be unique."""
-    spans = find_personal_data(docs).select("doc_id", F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"], s["end"]))).alias("spans"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """`docs` with every span in its text replaced by `mask`, overlapping ones by a single one; columns as they were.
+
+    Texts with spans are cut into parts, each of which is redacted by itself, so
+    long texts with many spans take no more than in proportion.
+    """
+    rows = numbered(docs)
+    spans = _find(fields(rows), PRECISION).select("row", F.explode(F.concat("base", "added")).alias("s")).select("row", "s.start", "s.end")
+    spans = materialize(_islands(spans), "redacted")
+    at = F.explode(F.sequence(F.floor(F.col("start") / PART), F.floor((F.col("end") - 1) / PART))).alias("at")
+    low, high = F.col("start") - F.col("at") * PART, F.col("end") - F.col("at") * PART
+    cuts = spans.select("*", at).groupBy("row", "at").agg(F.sort_array(F.collect_list(F.struct(F.greatest(low, F.lit(0)).cast("int").alias("a"), F.least(high, F.lit(PART)).cast("int").alias("b"), (low >= 0).alias("begins")))).alias("cuts"))
+    parts = fields(rows).join(spans.select("row").distinct(), "row").select("row", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))).alias("at", "part"))
 
     def step(s, x):
-        gap = F.greatest(x["start"] - s["at"], F.lit(0))
-        kept = F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, gap), F.when(x["end"] > s["at"], mask).otherwise(""))
-        return F.struct(F.greatest(x["end"], s["at"]).alias("at"), kept.alias("out"))
+        kept = F.concat(s["out"], F.substring(F.col("part"), s["at"] + 1, x["a"] - s["at"]), F.when(x["begins"], mask).otherwise(""))
+        return F.struct(x["b"].alias("at"), kept.alias("out"))
 
-    whole = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length("text"))))
-    return docs.join(spans, "doc_id").withColumn("text", F.coalesce(whole, F.col("text"))).select(*docs.columns)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    new = F.aggregate("cuts", start, step, lambda s: F.concat(s["out"], F.substring(F.col("part"), s["at"] + 1, F.lit(PART))))
+    joined = parts.join(cuts, ["row", "at"], "left").select("row", "at", F.coalesce(new, "part").alias("part"))
+    texts = joined.groupBy("row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "").alias("new"))
+    return rows.join(texts, "row", "left").select(F.col("doc").withField("text", F.coalesce("new", F.col("doc.text"))).alias("doc")).select("doc.*")
 
 
 def _listed(spans: Column) -> Column:
@@ -257,9 +331,12 @@ def _listed(spans: Column) -> Column:
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """The counts and digests of find_personal_data's result."""
+    """The counts and digests of find_personal_data's result; n_spans counts all spans, n_added those the method adds."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     kinds = [*BASE, "secret", "ssn", "iban"]
     rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in kinds]), s["kind"])
     everything = F.transform(F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(rank(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"], s["start"], s["end"]))
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(everything).alias("spans"))
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(everything).alias("spans"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"), F.size("added").cast("long").alias("n_added"),
+    )

@@ -66,17 +66,34 @@ def shard(docs: DataFrame, limit: int = 256 << 20) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = 256 << 20) -> None:
-    """Write the rows of `docs` as Parquet, one folder per shard; doc_id must be unique."""
-    placed = docs.join(shard(docs, limit).select("doc_id", "shard"), "doc_id")
-    placed.withColumn("shard", F.concat(F.lit("s"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write the rows of `docs` as Parquet, one folder `shard=s<bits>` per shard.
+
+    Rows that repeat a doc_id, or have none, go to one shard.  Where `docs` has a
+    column of that name, underscores are put before the folder's.
+    """
+    name = "shard"
+    while name in docs.columns:
+        name = "_" + name
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
+    placed = shard(docs, limit).select(F.col("doc_id").alias("_id"), F.concat(F.lit("s"), "shard").alias("_place")).dropDuplicates(["_id"])
+    placed = rows.join(placed, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("_id"))).select("doc.*", F.col("_place").alias(name))
+    placed.repartition(name).write.partitionBy(name).parquet(path)
 
 
 def oracle_sql(table: str = "documents", limit: int = 256 << 20, deepest: int = 24) -> str:
-    """The same rows as shard, for DuckDB, as long as no bucket needs more than `deepest` bits."""
+    """The same rows as shard, for DuckDB.  Keys whose bucket doesn't fit at `deepest` bits are looked at again at every depth."""
+
+    def sums(n: str, keys: str, depths: str) -> str:
+        return f"""a{n} as (select key, d, (key >> ({BITS} - d)) as bucket, bytes, n from {keys}, range({depths}) t(d)),
+s{n} as (select d, bucket, sum(bytes)::bigint as shard_bytes, sum(n)::bigint as shard_docs from a{n} group by d, bucket),
+f{n} as (select a.key, min(a.d) as d from a{n} a join s{n} using (d, bucket) where shard_bytes <= {limit} group by a.key)"""
+
     return f"""with w as (select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as key, strlen(coalesce(text, '')) as bytes from {table}),
 c as (select key, sum(bytes) as bytes, count(*) as n from w group by key),
-a as (select key, d, (key >> ({BITS} - d)) as bucket, bytes, n from c, range(0, {deepest + 1}) t(d)),
-s as (select d, bucket, sum(bytes)::bigint as shard_bytes, sum(n)::bigint as shard_docs from a group by d, bucket),
-f as (select a.key, min(a.d) as d from a join s using (d, bucket) where shard_bytes <= {limit} group by a.key)
-select w.doc_id, case when f.d = 0 then '' else lpad(bin(s.bucket), f.d::int, '0') end as shard, f.d::int as depth, shard_bytes, shard_docs
-from w join f using (key) join s on s.d = f.d and s.bucket = (w.key >> ({BITS} - f.d))"""
+{sums("1", "c", f"0, {deepest + 1}")},
+r as (select * from c where key not in (select key from f1)),
+{sums("2", "r", f"{deepest + 1}, {BITS + 1}")},
+k as (select key, coalesce(f1.d, f2.d, {BITS}) as d from c left join f1 using (key) left join f2 using (key)),
+s as (select * from s1 union all select * from s2)
+select w.doc_id, case when k.d = 0 then '' else lpad(bin(s.bucket), k.d::int, '0') end as shard, k.d::int as depth, shard_bytes, shard_docs
+from w join k using (key) join s on s.d = k.d and s.bucket = (w.key >> ({BITS} - k.d))"""

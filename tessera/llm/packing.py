@@ -150,8 +150,10 @@ def pack(docs: DataFrame, size: int = 1024, path: str | None = None) -> DataFram
 
     Documents follow each other by doc_id; each is its token ids and the end id
     0.  Windows are cut at document or sentence ends so that padding plus cut
-    penalties are least; only where neither comes within a quarter of a window
-    may they be cut elsewhere.  Null and empty texts are their end id alone;
+    penalties are least among these cuts; only where neither comes within a quarter
+    of a window are cuts elsewhere considered, at every quarter, and of windows that
+    need no padding because their length is a power of two only those of at least
+    size / 16.  Null and empty texts are their end id alone;
     repeated rows are separate documents; a null doc_id comes first.
 
     Ranges of doc_id are packed independently, each in one streaming task that

@@ -38,6 +38,10 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or fresh_path(df.sparkSession, name)
     for made in _scopes[-1:]:
         made.append(path)
+    return written(df, path)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

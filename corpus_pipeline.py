@@ -1,7 +1,8 @@
 """A corpus pipeline from five operators: quality rules, exact dedup, near-duplicate
 dedup, mixing sources to target weights, packing.
 
-Each stage is written as Parquet and read again as the next one's documents.
+Each stage is written as Parquet and read again as the next one's documents; what a
+stage wrote on its way is deleted then.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from tessera.llm.mixing import take_mixture
 from tessera.llm.ngram_join import keep_one_of_each
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import keep_good
-from tessera.llm.store import materialize
+from tessera.llm.store import fresh_path, scratch, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -33,8 +34,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, f"stage{i}")
-    return docs
+    *first, (_, last) = STAGES
+    for i, (_, stage) in enumerate(first):
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), fresh_path(spark, f"stage{i}"))
+    return last(spark, docs, sf_dir)

@@ -11,9 +11,14 @@ are assigned only when a file format wants them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import algebra, incidence, summary
+from .sinks.ec import write_tables
+from .sources.text import check_groups
 
 
 @dataclass(frozen=True)
@@ -28,9 +33,59 @@ class Profile:
     lengths: DataFrame | None = None  # target, hap, length
     groups: DataFrame | None = None  # gene, target
 
+    @classmethod
+    def of_classes(cls, tables: dict[str, DataFrame]) -> Profile:
+        """From the tables of a class file (see sources.ec): numbers become names, masks become rows."""
+        named = tables["a"].join(tables["targets"], "target_idx").select("ec_id", "target", "mask")
+        n = tables["n"].join(tables["samples"], "sample_idx").select("ec_id", "sample", "n")
+        lengths = tables["lengths"].join(tables["targets"], "target_idx").join(tables["haplotypes"], "hap_idx").select("target", "hap", "length")
+        return cls(incidence.from_mask(named, tables["haplotypes"]), n, tables["targets"], tables["haplotypes"], tables["samples"], lengths).checked()
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, names: list[str] | None = None) -> Profile:
+        """From a folder that `save` wrote."""
+        return cls(**{k: spark.read.parquet(f"{path}/{k}") for k in names or ["a", "n", "targets", "haplotypes", "samples"]}).checked()
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {f.name: t for f in fields(self) if (t := getattr(self, f.name)) is not None}
+
+    def save(self, path: str) -> None:
+        write_tables(self.tables(), path)
+
+    def checked(self) -> Profile:
+        """This profile, or an error when a dimension is empty, a name is twice in its
+        dimension, or incidence or counts use a name that its dimension lacks."""
+        for table, key, used in (("targets", "target", self.a), ("haplotypes", "hap", self.a), ("samples", "sample", self.n)):
+            names = getattr(self, table)
+            if names is None:
+                continue
+            count, distinct = names.agg(F.count("*"), F.count_distinct(key)).first()
+            if not count or distinct < count:
+                raise ValueError(f"{table}: {count} rows with {distinct} names")
+            if missing := used.join(names, key, "left_anti").select(key).take(1):
+                raise KeyError(f"{table} lack {missing[0][0]}")
+        return self
+
+    def with_groups(self, groups: DataFrame) -> Profile:
+        """With genes, all of whose isoforms must be targets."""
+        return self.copy(groups=check_groups(groups, self.targets))
+
     def copy(self, **changes) -> Profile:
         return replace(self, **changes)
 
+    def pull(self, reads: DataFrame) -> Profile:
+        """Only the classes in `reads` (ec_id)."""
+        a, n = summary.pull(self.a, self.n, reads)
+        return self.copy(a=a, n=n)
+
+    def combine(self, other: Profile, offset: int) -> Profile:
+        """The classes and counts of both; those of the other are renumbered from `offset`, none are merged."""
+        return self.copy(a=algebra.combine(self.a, other.a, offset), n=algebra.combine_rows(self.n, other.n, offset))
+
     def finalize(self) -> Profile:
-        """Keep the incidence for repeated use."""
+        """Without zeros, kept for repeated use until `release`."""
         return self.copy(a=self.a.where("v <> 0").persist(), n=self.n.where("n <> 0").persist())
+
+    def release(self) -> None:
+        self.a.unpersist()
+        self.n.unpersist()

@@ -18,8 +18,8 @@ def _spread(b: DataFrame, haplotypes: DataFrame | None) -> DataFrame:
         return b.select(*AXES, "v")
     if haplotypes is None:
         raise ValueError("a two-dimensional operand needs the haplotypes")
-    names = F.array(*[F.lit(r.hap) for r in haplotypes.select("hap").distinct().orderBy("hap").collect()])  # a handful by definition
-    return b.select("ec_id", "target", F.explode(names).alias("hap"), "v")
+    names = haplotypes.agg(F.collect_set("hap").alias("haps"))  # one row of a handful
+    return b.select("ec_id", "target", "v").join(F.broadcast(names)).select("ec_id", "target", F.explode("haps").alias("hap"), "v")
 
 
 def add(a: DataFrame, b: DataFrame, haplotypes: DataFrame | None = None) -> DataFrame:
@@ -70,6 +70,11 @@ def combine(a: DataFrame, b: DataFrame, offset: int) -> DataFrame:
     return a.select(*AXES, "v").unionByName(b.select((F.col("ec_id") + offset).alias("ec_id"), "target", "hap", "v"))
 
 
+def combine_rows(first: DataFrame, second: DataFrame, offset: int) -> DataFrame:
+    """Counts or names by class of both, as `combine` numbers the classes; columns that one lacks are null."""
+    return first.unionByName(second.withColumn("ec_id", F.col("ec_id") + offset), allowMissingColumns=True)
+
+
 def merge_counts(*counts: DataFrame) -> DataFrame:
     """Counts (ec_key, sample, n) of several files by class key and sample."""
     out = counts[0]

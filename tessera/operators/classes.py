@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..functions.bits import mask_of
 
 
 def valid_alignments(alignments: DataFrame) -> DataFrame:
@@ -20,6 +23,25 @@ def number_runs(rows: DataFrame, key: str, order: str, group: list[str]) -> Data
     return rows.withColumn("_c", change).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
 
 
+def number_long_runs(rows: DataFrame, key: str, order: str, group: list[str], span: int) -> DataFrame:
+    """As number_runs, for groups of any size and a whole-number `order`.
+
+    The order is cut into stretches of `span`; runs are numbered inside stretches by
+    a window each, and a small table of the stretches (first and last key, changes)
+    says how many runs there were before and whether one goes on over a border.
+    """
+    part = rows.withColumn("_s", F.floor(F.col(order) / span))
+    w = Window.partitionBy(*group, "_s").orderBy(order)
+    change = F.coalesce(F.col(key) != F.lag(key).over(w), F.lit(False)).cast("long")
+    part = part.withColumn("_c", change).withColumn("_in", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = part.groupBy(*group, "_s").agg(F.min_by(key, order).alias("_a"), F.max_by(key, order).alias("_z"), F.sum("_c").alias("_n"))
+    v = Window.partitionBy(*group).orderBy("_s")
+    begins = F.coalesce(F.col("_a") != F.lag("_z").over(v), F.lit(False)).cast("long")
+    before = F.coalesce(F.sum("_n").over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.withColumn("_b", begins).withColumn("_base", before + F.sum("_b").over(v.rowsBetween(Window.unboundedPreceding, 0)))
+    return part.join(ends.select(*group, "_s", "_base"), [*group, "_s"]).withColumn("run", F.col("_base") + F.col("_in")).drop("_s", "_c", "_in", "_base")
+
+
 def read_sets(alignments: DataFrame, read: list[str], locus: str = "tid") -> DataFrame:
     """One row per read: `ec_key`, its distinct loci as text in string order, joined by commas.
 
@@ -29,9 +51,30 @@ def read_sets(alignments: DataFrame, read: list[str], locus: str = "tid") -> Dat
     return alignments.groupBy(*read).agg(F.array_join(F.sort_array(F.collect_set(F.col(locus).cast("string"))), ",").alias("ec_key"))
 
 
-def count_classes(sets: DataFrame, by: list[str] = ()) -> DataFrame:
+def read_masks(alignments: DataFrame, read: list[str], index: Column) -> DataFrame:
+    """One row per read: `mask`, a bit per locus by its `index` (0 to 62).
+
+    For at most 63 loci a number takes the place of the set, so that the
+    aggregation stays in fixed-size buffers; name_masks gives the text keys.
+    """
+    return alignments.groupBy(*read).agg(F.bit_or(mask_of(index)).alias("mask"))
+
+
+def name_masks(counts: DataFrame, loci: list[str]) -> DataFrame:
+    """Counted masks with `ec_key` in place of the mask; loci by index, their names ordered as text in the key."""
+    order = sorted(range(len(loci)), key=lambda i: loci[i].encode())
+    names = F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(loci[i])) for i in order])
+    return counts.select(F.array_join(F.array_compact(names), ",").alias("ec_key"), *[c for c in counts.columns if c != "mask"])
+
+
+def total_count(counts: DataFrame) -> DataFrame:
+    """All reads that were counted, one row."""
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def count_classes(sets: DataFrame, by: list[str] = (), key: str = "ec_key") -> DataFrame:
     """Reads per class, and per `by` (cell, sample) if given; `n`."""
-    return sets.groupBy("ec_key", *by).agg(F.count("*").alias("n"))
+    return sets.groupBy(key, *by).agg(F.count("*").alias("n"))
 
 
 def keep_cells(counts: DataFrame, minimum: int, cell: str = "cell") -> DataFrame:
@@ -49,10 +92,16 @@ def drop_trailing_read(alignments: DataFrame) -> DataFrame:
 def dense_index(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
     """Ordinals from 0 of the keys by their smallest `order`: first seen first.
 
-    Ranges of the order are numbered in parallel: a count per partition of a range
-    sort gives each its start, so no single task sees all keys.
+    The order is sorted in ranges, and one numbering of the sorted rows gives each
+    its place: no task sees all keys, and nothing relies on two sorts agreeing.
     """
-    first = rows.groupBy(key).agg(F.min(order).alias("_o")).repartitionByRange("_o", key).sortWithinPartitions("_o", key)
-    placed = first.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
-    starts = placed.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_s", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-    return placed.join(F.broadcast(starts), "_p").select(key, (F.coalesce("_s", F.lit(0)) + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+    first = rows.groupBy(key).agg(F.min(order).alias("_o")).orderBy("_o", key).select(key)
+    kind = first.schema[key].dataType
+    numbered = first.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
+    return rows.sparkSession.createDataFrame(numbered, StructType([StructField(key, kind), StructField(name, LongType(), False)]))
+
+
+def renumbered(counts: DataFrame, key: str = "ec_key", name: str = "ec_id") -> DataFrame:
+    """Counts with dense class numbers in the order of the keys, as after cells were dropped."""
+    index = dense_index(counts.select(key, F.col(key).alias("_k")), key, "_k", name)
+    return counts.join(index, key)

@@ -19,6 +19,37 @@ def shared_reads(b: DataFrame, n: DataFrame) -> DataFrame:
     return pairs.groupBy("gene_id_1", "gene_id_2").agg(F.sum("n").alias("read_count"))
 
 
+def shared_reads_by(b: DataFrame, n: DataFrame, sample: str = "sample") -> DataFrame:
+    """(sample, gene_id_1, gene_id_2, read_count): shared_reads for every sample.
+
+    Classes with the same genes count together per sample before any pair is made.
+    """
+    sets = b.groupBy("ec_id").agg(F.sort_array(F.collect_set("gene")).alias("g"))
+    sets = sets.join(n, "ec_id").groupBy("g", sample).agg(F.sum("n").alias("n"))
+    pairs = sets.select(sample, "n", "g", F.explode("g").alias("gene_id_1")).select(sample, "n", "gene_id_1", F.explode("g").alias("gene_id_2"))
+    return pairs.groupBy(sample, "gene_id_1", "gene_id_2").agg(F.sum("n").alias("read_count"))
+
+
+def as_json(rows: DataFrame, name: str = "json") -> DataFrame:
+    """Each row as one JSON object, as the lookups answer."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias(name))
+
+
+def check_keys(rows: DataFrame, key: list[str]) -> DataFrame:
+    """`rows`, or an error naming a key that occurs twice."""
+    if twice := rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").take(1):
+        raise ValueError(f"{key} {tuple(twice[0])[:-1]} occurs {twice[0]._n} times")
+    return rows
+
+
+def exactly_one(rows: DataFrame):
+    """The only row; an error when there is none or another."""
+    found = rows.take(2)
+    if len(found) != 1:
+        raise LookupError(f"{len(found) or 'no'} rows instead of one")
+    return found[0]
+
+
 def gene_totals(shared: DataFrame) -> DataFrame:
     return shared.where("gene_id_1 = gene_id_2").select(F.col("gene_id_1").alias("gene_id"), "read_count")
 
@@ -37,12 +68,12 @@ def neighbors(edges: DataFrame, gene_info: DataFrame, sample_id: str, gene_id: s
 
 
 def gene_pairs(edges: DataFrame, gene_info: DataFrame, sample_id: str) -> DataFrame:
-    """Every edge with both genes' columns, prefixed g1_ and g2_."""
+    """Every edge with both genes' columns, prefixed g1_ and g2_, in the order of both ids."""
     out = edges.where(F.col("sample_id") == sample_id)
     for k in ("1", "2"):
         side = gene_info.select(*[F.col(c).alias(f"g{k}_{c}") for c in gene_info.columns])
         out = out.join(side, F.col(f"gene_id_{k}") == F.col(f"g{k}_gene_id"))
-    return out.drop("gene_id_1", "gene_id_2")
+    return out.drop("gene_id_1", "gene_id_2").orderBy("g1_gene_id", "g2_gene_id")
 
 
 def lookup_gene(gene_info: DataFrame, gene_id: str) -> DataFrame:
@@ -75,6 +106,11 @@ def dense_bins(bins: DataFrame) -> DataFrame:
     return every.join(bins, ["chr", "bin"], "left").select("chr", "bin", F.coalesce("max_expr", F.lit(0.0)).alias("value"))
 
 
+def largest_bins(bins: DataFrame) -> DataFrame:
+    """(chr, max_expr): the largest value of a chromosome's bins, at least 0."""
+    return bins.groupBy("chr").agg(F.greatest(F.lit(0.0), F.max("max_expr")).alias("max_expr"))
+
+
 def plotted(genes: DataFrame) -> DataFrame:
     """Genes on valid chromosomes but M, with the colour scale's value and the middle of the gene."""
     ok = genes.where(F.col("chr").isNotNull() & ~F.col("chr").isin("M", "MT"))

@@ -52,14 +52,45 @@ def normalize(a: DataFrame, axis: str, groups: DataFrame | None = None) -> DataF
 
 
 def alignment_report(a: DataFrame, n: DataFrame, haplotypes: list[str], targets: DataFrame) -> DataFrame:
-    """locus, aln_<hap>..., uniq_<hap>..., locus_uniq for every target."""
-    total = alignment_counts(a, n).groupBy("target").pivot("hap", haplotypes).agg(F.sum("reads"))
-    alone = unique_allelic(a, n).groupBy("target").pivot("hap", haplotypes).agg(F.sum("reads"))
-    total = total.select("target", *[F.col(f"`{h}`").alias(f"aln_{h}") for h in haplotypes])
-    alone = alone.select("target", *[F.col(f"`{h}`").alias(f"uniq_{h}") for h in haplotypes])
-    locus = unique_locus(a, n).withColumnRenamed("reads", "locus_uniq")
-    out = targets.select("target").join(total, "target", "left").join(alone, "target", "left").join(locus, "target", "left")
-    return out.na.fill(0).withColumnRenamed("target", "locus")
+    """locus, aln_<hap>..., uniq_<hap>..., locus_uniq for every target.
+
+    Each class is brought together once with its counts: whether it hits one
+    target, or one target and haplotype, is told by smallest and largest
+    coordinates beside its rows, so incidence and counts are read once.
+    """
+    total = n.groupBy("ec_id").agg(F.sum("n").alias("n"))
+    classes = a.where("v <> 0").groupBy("ec_id").agg(F.min("target").alias("t"), F.max("target").alias("u"), F.min("hap").alias("h"), F.max("hap").alias("i"), F.collect_list(F.struct("target", "hap", "v")).alias("hits"))
+    classes = classes.join(total, "ec_id").withColumn("one", F.col("t") == F.col("u")).withColumn("alone", F.col("one") & (F.col("h") == F.col("i")))
+    hits = classes.select("n", "one", "alone", F.posexplode("hits").alias("k", "x"))
+    weight = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("x.v") * F.col("n"))), F.lit(0.0))
+    columns = [weight(F.col("x.hap") == h).alias(f"aln_{h}") for h in haplotypes] + [weight((F.col("x.hap") == h) & F.col("alone")).alias(f"uniq_{h}") for h in haplotypes]
+    # a class of one target counts once for it, at its first row
+    locus = F.coalesce(F.sum(F.when(F.col("one") & (F.col("k") == 0), F.col("n"))), F.lit(0)).alias("locus_uniq")
+    found = hits.groupBy(F.col("x.target").alias("target")).agg(*columns, locus)
+    return targets.select("target").join(found, "target", "left").na.fill(0).withColumnRenamed("target", "locus")
+
+
+def print_read(a: DataFrame, ec_id, haplotypes: list[str]) -> DataFrame:
+    """The loci of one class by name, a column per haplotype, 0 where it isn't hit."""
+    values = [F.coalesce(F.sum(F.when(F.col("hap") == h, F.col("v"))), F.lit(0.0)).alias(h) for h in haplotypes]
+    return a.where(F.col("ec_id") == F.lit(ec_id)).groupBy("target").agg(*values).orderBy("target")
+
+
+def reads_of_locus(a: DataFrame, target: str, hap: str | None = None) -> DataFrame:
+    """The classes that hit a locus, under one haplotype or any, once each and in order."""
+    hit = a.where((F.col("target") == target) & (F.col("v") != 0))
+    return (hit if hap is None else hit.where(F.col("hap") == hap)).select("ec_id").distinct().orderBy("ec_id")
+
+
+def pull(a: DataFrame, n: DataFrame, reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Incidence and counts of the classes in `reads` (ec_id) only."""
+    some = reads.select("ec_id").distinct()
+    return a.join(some, "ec_id", "left_semi"), n.join(some, "ec_id", "left_semi")
+
+
+def sorted_haplotypes(a: DataFrame) -> DataFrame:
+    """(hap_idx, hap): the haplotypes in text order; a handful, so one window numbers them."""
+    return a.select("hap").distinct().select((F.row_number().over(Window.orderBy("hap")) - 1).cast("long").alias("hap_idx"), "hap")
 
 
 def genotype_mask(a: DataFrame, groups: DataFrame, genotypes: DataFrame) -> DataFrame:
@@ -81,6 +112,11 @@ def target_span(alignments: DataFrame, refs: DataFrame) -> DataFrame:
     return refs.join(found, "tid", "left").groupBy("target", "hap").agg(F.coalesce(F.max("hi") - F.min("lo") + 1, F.lit(0)).alias("span"))
 
 
+def span_table(spans: DataFrame, haplotypes: list[str]) -> DataFrame:
+    """target_span as a table: a row per target by name, a column per haplotype, 0 where nothing aligns."""
+    return spans.groupBy("target").pivot("hap", haplotypes).agg(F.first("span")).na.fill(0).orderBy("target")
+
+
 def shape(a: DataFrame, n: DataFrame) -> DataFrame:
     left = a.agg(F.count_distinct("target").alias("num_loci"), F.count_distinct("hap").alias("num_haplotypes"), F.count("*").alias("nnz"))
     right = n.agg(F.count_distinct("sample").alias("num_samples"), F.count_distinct("ec_id").alias("num_ecs"))

@@ -10,20 +10,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def line_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as alignments: read = order, locus = brand, haplotype = return flag, cell = nation."""
+def line_alignments(spark: SparkSession, sf_dir: str, cell: bool = True) -> DataFrame:
+    """Order lines as alignments: read = order, locus = brand, haplotype = return flag, cell = nation.
+
+    Without `cell` the orders and customers aren't joined: every line has both.
+    """
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    joined = line.join(part, line.l_partkey == part.p_partkey)
+    columns = [F.col("l_orderkey").alias("read_id"), F.col("p_brand").alias("target"), F.col("l_returnflag").alias("hap"), "l_partkey", "l_suppkey", "l_shipdate", "l_linestatus", "p_type"]
+    if not cell:
+        return joined.select(*columns)
     orders, customer = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    joined = line.join(part, line.l_partkey == part.p_partkey).join(orders, line.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.select(F.col("l_orderkey").alias("read_id"), F.col("p_brand").alias("target"), F.col("l_returnflag").alias("hap"), "l_partkey", "l_suppkey", "l_shipdate", F.col("c_nationkey").alias("cell"), "l_linestatus", "p_type")
+    return joined.join(orders, line.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey")).select(*columns, F.col("c_nationkey").alias("cell"))
+
+
+def line_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidence (ec_id = read, target, hap, v) of valid lines."""
+    lines = line_alignments(spark, sf_dir, cell=False).where("l_linestatus = 'F'")
+    return lines.select(F.col("read_id").alias("ec_id"), "target", "hap").distinct().withColumn("v", F.lit(1.0))
 
 
 def read_incidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Incidence (ec_id = read, target, hap, v) and counts (ec_id, sample = cell, n) of valid lines."""
-    lines = line_alignments(spark, sf_dir).where("l_linestatus = 'F'")
-    a = lines.select(F.col("read_id").alias("ec_id"), "target", "hap").distinct().withColumn("v", F.lit(1.0))
-    n = lines.select(F.col("read_id").alias("ec_id"), F.col("cell").alias("sample")).distinct().withColumn("n", F.lit(1).cast("long"))
-    return a, n
+    """Incidence and counts (ec_id, sample = cell, n) of valid lines."""
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    reads = line.where("l_linestatus = 'F'").select("l_orderkey").distinct()
+    n = reads.join(orders, reads.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return line_incidence(spark, sf_dir), n.select(F.col("l_orderkey").alias("ec_id"), F.col("c_nationkey").alias("sample")).distinct().withColumn("n", F.lit(1).cast("long"))
 
 
 def part_genes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import bits
 from .operators import algebra, classes, incidence, network, summary
-from .plans.adapters import line_alignments, part_genes, read_incidence, table
+from .plans.adapters import line_alignments, line_incidence, part_genes, read_incidence, table
+from .sources.text import name_differences
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -16,6 +17,7 @@ HAPS = ["A", "N", "R"]
 #: Parameters of the registered queries: genotypes by gene, reads that a cell needs, bin size, the gene looked up.
 GENOTYPES = [("Brand#1", "A"), ("Brand#1", "N"), ("Brand#2", "R")]
 MINIMUM, BIN, GENE = 500, 100_000, 7
+RUN_SPAN = 1 << 20  # order numbers in which runs are numbered by one task
 
 _LINES = """al as (select l_orderkey as read_id, p_brand as target, l_returnflag as hap, l_partkey, l_suppkey, l_shipdate, c_nationkey as cell, l_linestatus, p_type
   from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey),
@@ -37,12 +39,26 @@ def query(sql: str, *ctes: str):
     return register
 
 
-def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_alignments(spark, sf_dir).where("l_linestatus = 'F'")
+def _valid(spark: SparkSession, sf_dir: str, cell: bool = False) -> DataFrame:
+    return line_alignments(spark, sf_dir, cell).where("l_linestatus = 'F'")
 
 
-def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes.read_sets(_valid(spark, sf_dir), ["read_id", "cell"], "target")
+def _cells(spark: SparkSession, sf_dir: str, reads: DataFrame) -> DataFrame:
+    """Reads with their cell: joined after lines have become reads."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), "o_custkey")
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("cell"))
+    return reads.join(orders, "read_id").join(customer, "o_custkey").drop("o_custkey")
+
+
+def _counted(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
+    """Reads per class, and per cell if asked: by masks while the loci fit into 63 bits, else by sets."""
+    loci = sorted(r[0] for r in table(spark, sf_dir, "part").select("p_brand").distinct().take(64))
+    if len(loci) > 63:
+        sets = classes.read_sets(_valid(spark, sf_dir), ["read_id"], "target")
+        return classes.count_classes(_cells(spark, sf_dir, sets) if by else sets, by)
+    index = F.array_position(F.array(*[F.lit(x) for x in loci]), F.col("target")) - 1
+    masks = classes.read_masks(_valid(spark, sf_dir), ["read_id"], index)
+    return classes.name_masks(classes.count_classes(_cells(spark, sf_dir, masks) if by else masks, by, "mask"), loci)
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,33 +74,33 @@ def _haplotypes(spark: SparkSession) -> DataFrame:
 
 @query("select ec_key, count(*) as n from s group by ec_key", _LINES, _SETS)
 def ec_counts(spark, sf_dir):
-    return classes.count_classes(_sets(spark, sf_dir))
+    return _counted(spark, sf_dir, [])
 
 
 @query("select ec_key, cell, count(*) as n from s group by ec_key, cell", _LINES, _SETS)
 def ec_cell_counts(spark, sf_dir):
-    return classes.count_classes(_sets(spark, sf_dir), ["cell"])
+    return _counted(spark, sf_dir, ["cell"])
 
 
 @query("select cell, count(*) as total from s group by cell", _LINES, _SETS)
 def cell_totals(spark, sf_dir):
-    return classes.count_classes(_sets(spark, sf_dir), ["cell"]).groupBy("cell").agg(F.sum("n").alias("total"))
+    return _counted(spark, sf_dir, ["cell"]).groupBy("cell").agg(F.sum("n").alias("total"))
 
 
 @query("select ec_key, count(*) as total from s group by ec_key", _LINES, _SETS)
 def ec_totals(spark, sf_dir):
-    return classes.count_classes(_sets(spark, sf_dir), ["cell"]).groupBy("ec_key").agg(F.sum("n").alias("total"))
+    return _counted(spark, sf_dir, ["cell"]).groupBy("ec_key").agg(F.sum("n").alias("total"))
 
 
 @query(f"select ec_key, cell, count(*) as n from s where cell in (select cell from s group by cell having count(*) >= {MINIMUM}) group by ec_key, cell", _LINES, _SETS)
 def cells_min_count(spark, sf_dir):
-    return classes.keep_cells(classes.count_classes(_sets(spark, sf_dir), ["cell"]), MINIMUM)
+    return classes.keep_cells(_counted(spark, sf_dir, ["cell"]), MINIMUM)
 
 
 @query("select count(*) as all_alignments, count_if(l_linestatus = 'F')::bigint as valid_alignments, count(distinct case when l_linestatus = 'F' then read_id end) as unique_reads from al", _LINES)
 def total_counts(spark, sf_dir):
     ok = F.col("l_linestatus") == "F"
-    return line_alignments(spark, sf_dir).agg(F.count("*").alias("all_alignments"), F.count_if(ok).alias("valid_alignments"), F.count_distinct(F.when(ok, F.col("read_id"))).alias("unique_reads"))
+    return line_alignments(spark, sf_dir, cell=False).agg(F.count("*").alias("all_alignments"), F.count_if(ok).alias("valid_alignments"), F.count_distinct(F.when(ok, F.col("read_id"))).alias("unique_reads"))
 
 
 @query(
@@ -93,13 +109,13 @@ def total_counts(spark, sf_dir):
     select *, (coalesce(user_id <> lag(user_id) over (partition by event_type order by event_id), false))::int as c from events)) group by user_id, run"""
 )
 def read_runs(spark, sf_dir):
-    runs = classes.number_runs(table(spark, sf_dir, "events"), "user_id", "event_id", ["event_type"])
+    runs = classes.number_long_runs(table(spark, sf_dir, "events"), "user_id", "event_id", ["event_type"], RUN_SPAN)
     return classes.read_sets(runs, ["user_id", "run"], "event_type")
 
 
 @query("select ec_key, (row_number() over (order by first, ec_key) - 1)::bigint as idx from (select ec_key, min(read_id) as first from s group by ec_key)", _LINES, _SETS)
 def ec_ordinals(spark, sf_dir):
-    return classes.dense_index(_sets(spark, sf_dir), "ec_key", "read_id", "idx")
+    return classes.dense_index(classes.read_sets(_valid(spark, sf_dir), ["read_id"], "target"), "ec_key", "read_id", "idx")
 
 
 # incidence
@@ -107,13 +123,13 @@ def ec_ordinals(spark, sf_dir):
 
 @query("select ec_id, target, sum(1 << list_position(['A', 'N', 'R'], hap)::int - 1)::bigint as mask from a group by ec_id, target", _LINES)
 def incidence_mask(spark, sf_dir):
-    return incidence.to_mask(read_incidence(spark, sf_dir)[0], _haplotypes(spark))
+    return incidence.to_mask(line_incidence(spark, sf_dir), _haplotypes(spark))
 
 
 @query("select ec_id, target, hap, v from a", _LINES)
 def mask_decode(spark, sf_dir):
     haps = _haplotypes(spark)
-    return incidence.from_mask(incidence.to_mask(read_incidence(spark, sf_dir)[0], haps), haps)
+    return incidence.from_mask(incidence.to_mask(line_incidence(spark, sf_dir), haps), haps)
 
 
 @query("select target, hap, (coalesce(max(l_suppkey) - min(l_suppkey) + 1, 0))::bigint as span from v group by target, hap", _LINES)
@@ -128,12 +144,12 @@ def target_span(spark, sf_dir):
 
 @query("select ec_id, hap, sum(v) as v from a group by ec_id, hap", _LINES)
 def sum_locus(spark, sf_dir):
-    return summary.sum_locus(read_incidence(spark, sf_dir)[0])
+    return summary.sum_locus(line_incidence(spark, sf_dir))
 
 
 @query("select ec_id, target, sum(v) as v from a group by ec_id, target", _LINES)
 def sum_haplotype(spark, sf_dir):
-    return summary.sum_haplotype(read_incidence(spark, sf_dir)[0])
+    return summary.sum_haplotype(line_incidence(spark, sf_dir))
 
 
 @query("select hap, target, sample, sum(v * n) as reads from a join n using (ec_id) group by hap, target, sample", _LINES)
@@ -175,7 +191,7 @@ def _normalized(axis: str, keys: str):
     gene = ", gene" if grouped else ""
 
     def run(spark, sf_dir):
-        a, _ = read_incidence(spark, sf_dir)
+        a = line_incidence(spark, sf_dir)
         out = summary.normalize(a, axis, _groups(spark, sf_dir) if grouped else None)
         return out.select("ec_id", "target", "hap", *["gene"] * grouped, F.round("v", 6).alias("v"))
 
@@ -207,7 +223,7 @@ def bundle_reset(spark, sf_dir):
 
 @query("select ec_id, target, hap, v from a join g using (target) where (gene, hap) in (" + ", ".join(f"('{g}', '{h}')" for g, h in GENOTYPES) + ")", _LINES, _GROUPS)
 def genotype_mask(spark, sf_dir):
-    return summary.genotype_mask(read_incidence(spark, sf_dir)[0], _groups(spark, sf_dir), spark.createDataFrame(GENOTYPES, "gene string, hap string"))
+    return summary.genotype_mask(line_incidence(spark, sf_dir), _groups(spark, sf_dir), spark.createDataFrame(GENOTYPES, "gene string, hap string"))
 
 
 # matrix algebra: b is the incidence of the other lines, w a weight for each coordinate
@@ -216,40 +232,40 @@ _B = "b as (select distinct read_id as ec_id, target, hap, 2.0::double as v from
 
 
 def _other(spark, sf_dir):
-    return line_alignments(spark, sf_dir).where("l_linestatus = 'O'").select(F.col("read_id").alias("ec_id"), "target", "hap").distinct().withColumn("v", F.lit(2.0))
+    return line_alignments(spark, sf_dir, cell=False).where("l_linestatus = 'O'").select(F.col("read_id").alias("ec_id"), "target", "hap").distinct().withColumn("v", F.lit(2.0))
 
 
 @query("select ec_id, target, hap, sum(v) as v from (select * from a union all select * from b) group by all", _LINES, _B)
 def mat_add(spark, sf_dir):
-    return algebra.add(read_incidence(spark, sf_dir)[0], _other(spark, sf_dir))
+    return algebra.add(line_incidence(spark, sf_dir), _other(spark, sf_dir))
 
 
 @query("select ec_id, target, hap, sum(v) as v from (select * from a union all select ec_id, target, hap, -v from b) group by all having sum(v) <> 0", _LINES, _B)
 def mat_sub(spark, sf_dir):
-    return algebra.subtract(read_incidence(spark, sf_dir)[0], _other(spark, sf_dir))
+    return algebra.subtract(line_incidence(spark, sf_dir), _other(spark, sf_dir))
 
 
 @query("select ec_id, target, hap, a.v * b.v as v from a join b using (ec_id, target, hap)", _LINES, _B)
 def mat_mul_elem(spark, sf_dir):
-    return algebra.multiply(read_incidence(spark, sf_dir)[0], _other(spark, sf_dir))
+    return algebra.multiply(line_incidence(spark, sf_dir), _other(spark, sf_dir))
 
 
 @query("select ec_id, target, hap, v * 2.5 as v from a", _LINES)
 def mat_scale(spark, sf_dir):
-    return algebra.scale(read_incidence(spark, sf_dir)[0], 2.5)
+    return algebra.scale(line_incidence(spark, sf_dir), 2.5)
 
 
 @query("select ec_id, gene as target, hap, sum(v * length(target)) as v from a join g using (target) group by all", _LINES, _GROUPS)
 def mat_mul_matrix(spark, sf_dir):
     m = _groups(spark, sf_dir).select("target", F.col("gene").alias("to"), F.length("target").cast("double").alias("v"))
-    return algebra.matmul(read_incidence(spark, sf_dir)[0], m)
+    return algebra.matmul(line_incidence(spark, sf_dir), m)
 
 
 def _multiplied(name: str, axes: list[str]):
     on = ", ".join(axes)
 
     def run(spark, sf_dir):
-        return algebra.multiply(read_incidence(spark, sf_dir)[0], _other(spark, sf_dir).groupBy(*axes).agg(F.sum("v").alias("v")))
+        return algebra.multiply(line_incidence(spark, sf_dir), _other(spark, sf_dir).groupBy(*axes).agg(F.sum("v").alias("v")))
 
     run.__name__ = name
     query(f"select ec_id, target, hap, a.v * w.v as v from a join (select {on}, sum(v) as v from b group by all) w using ({on})", _LINES, _B)(run)
@@ -261,22 +277,22 @@ for _name, _axes in {"locus": ["target"], "read": ["ec_id"], "read_hap": ["ec_id
 
 @query("select ec_id, hap, v from a where target = 'Brand#11'", _LINES)
 def cross_section_locus(spark, sf_dir):
-    return algebra.cross_section(read_incidence(spark, sf_dir)[0], "target", "Brand#11")
+    return algebra.cross_section(line_incidence(spark, sf_dir), "target", "Brand#11")
 
 
 @query("select ec_id, target, v from a where hap = 'N'", _LINES)
 def cross_section_hap(spark, sf_dir):
-    return algebra.cross_section(read_incidence(spark, sf_dir)[0], "hap", "N")
+    return algebra.cross_section(line_incidence(spark, sf_dir), "hap", "N")
 
 
 @query("select target, hap, v from a where ec_id = 7", _LINES)
 def cross_section_read(spark, sf_dir):
-    return algebra.cross_section(read_incidence(spark, sf_dir)[0], "ec_id", 7)
+    return algebra.cross_section(line_incidence(spark, sf_dir), "ec_id", 7)
 
 
 @query("select ec_id, target, hap, v from a union all select ec_id + 10000000, target, hap, v from b", _LINES, _B)
 def combine(spark, sf_dir):
-    return algebra.combine(read_incidence(spark, sf_dir)[0], _other(spark, sf_dir), 10_000_000)
+    return algebra.combine(line_incidence(spark, sf_dir), _other(spark, sf_dir), 10_000_000)
 
 
 @query("select ec_id, target, hap, 1.0::double as v from b", _LINES, _B)
@@ -286,7 +302,7 @@ def reset(spark, sf_dir):
 
 @query("select ec_id, target, hap, 2.0::double as v from b union all select ec_id, target, hap, v from a where not exists (select 1 from b where b.ec_id = a.ec_id and b.target = a.target and b.hap = a.hap)", _LINES, _B)
 def set_value(spark, sf_dir):
-    return algebra.set_value(read_incidence(spark, sf_dir)[0], _other(spark, sf_dir))
+    return algebra.set_value(line_incidence(spark, sf_dir), _other(spark, sf_dir))
 
 
 @query("select count(distinct target) as num_loci, count(distinct hap) as num_haplotypes, count(*) as nnz, (select count(distinct sample) from n) as num_samples, (select count(distinct ec_id) from n) as num_ecs from a", _LINES)
@@ -299,13 +315,93 @@ def profile_shape(spark, sf_dir):
     _LINES,
 )
 def ec_merge(spark, sf_dir):
-    lines = line_alignments(spark, sf_dir).withColumn("sample", F.concat(F.lit("s"), (F.col("read_id") % 2).cast("string")))
-    parts = [classes.count_classes(classes.read_sets(lines.where(F.col("read_id") % 4 == k), ["read_id", "sample"], "target"), ["sample"]) for k in range(4)]
-    return algebra.merge_counts(*parts)
+    lines = line_alignments(spark, sf_dir, cell=False).withColumn("sample", F.concat(F.lit("s"), (F.col("read_id") % 2).cast("string"))).withColumn("file", F.col("read_id") % 4)
+    per_file = classes.count_classes(classes.read_sets(lines, ["read_id", "sample", "file"], "target"), ["sample", "file"])
+    return algebra.merge_counts(per_file)
+
+
+@query("select ec_id, target, hap, v from a where ec_id in (select ec_id from n where sample < 5)", _LINES)
+def pull_alignments(spark, sf_dir):
+    a, n = read_incidence(spark, sf_dir)
+    return summary.pull(a, n, n.where("sample < 5"))[0]
+
+
+@query("select ec_id, sample, n from n where ec_id in (select ec_id from a where hap = 'R')", _LINES)
+def pull_counts(spark, sf_dir):
+    a, n = read_incidence(spark, sf_dir)
+    return summary.pull(a, n, a.where("hap = 'R'"))[1]
+
+
+@query("select ec_id, sample, n from n union all select ec_id + 10000000, sample, n from n where sample < 5", _LINES)
+def combine_counts(spark, sf_dir):
+    n = read_incidence(spark, sf_dir)[1]
+    return algebra.combine_rows(n, n.where("sample < 5"), 10_000_000)
+
+
+@query("select sum(n)::bigint as n from (select count(*) as n from s)", _LINES, _SETS)
+def total_reads(spark, sf_dir):
+    return classes.total_count(_counted(spark, sf_dir, []))
+
+
+@query("select (row_number() over (order by hap) - 1)::bigint as hap_idx, hap from (select distinct hap from a)", _LINES)
+def haplotype_order(spark, sf_dir):
+    return summary.sorted_haplotypes(line_incidence(spark, sf_dir))
+
+
+@query("select target, " + ", ".join(f"sum(case when hap = '{h}' then v else 0 end)::double as {h}" for h in HAPS) + " from a where ec_id = 7 group by target", _LINES)
+def print_read(spark, sf_dir):
+    return summary.print_read(line_incidence(spark, sf_dir), 7, HAPS)
+
+
+@query("select distinct ec_id from a where target = 'Brand#11' and hap = 'N'", _LINES)
+def reads_of_locus(spark, sf_dir):
+    return summary.reads_of_locus(line_incidence(spark, sf_dir), "Brand#11", "N")
+
+
+@query("select distinct ec_id from a where target = 'Brand#11'", _LINES)
+def reads_of_any_haplotype(spark, sf_dir):
+    return summary.reads_of_locus(line_incidence(spark, sf_dir), "Brand#11")
+
+
+@query(
+    "select target, " + ", ".join(f"coalesce(max(case when hap = '{h}' then l_suppkey end) - min(case when hap = '{h}' then l_suppkey end) + 1, 0)::bigint as {h}" for h in HAPS) + " from v group by target",
+    _LINES,
+)
+def range_report(spark, sf_dir):
+    return summary.span_table(target_span(spark, sf_dir), HAPS)
+
+
+@query(
+    "select 'first' as side, target as name from (select distinct target from al where hap = 'R' and l_shipdate < '1993-01-01') where target not in (select target from al where hap = 'N' and l_partkey < 200) "
+    "union all select 'second', target from (select distinct target from al where hap = 'N' and l_partkey < 200) where target not in (select target from al where hap = 'R' and l_shipdate < '1993-01-01')",
+    _LINES,
+)
+def name_check(spark, sf_dir):
+    lines = line_alignments(spark, sf_dir, cell=False)
+    return name_differences(lines.where("hap = 'R' and l_shipdate < '1993-01-01'"), lines.where("hap = 'N' and l_partkey < 200"), "target")
 
 
 # network, lookups, bins
 
+_BY_SAMPLE = """sb as (select sample, x.target as gene_id_1, y.target as gene_id_2, count(*) as read_count
+  from (select distinct ec_id, target from a) x join (select distinct ec_id, target from a) y using (ec_id) join n using (ec_id) group by all)"""
+
+
+def _shared_by_cell(spark, sf_dir):
+    a, n = read_incidence(spark, sf_dir)
+    return network.shared_reads_by(a.select("ec_id", F.col("target").alias("gene")), n)
+
+
+@query("select sample, gene_id_1 as gene_id, read_count from sb where gene_id_1 = gene_id_2", _LINES, _BY_SAMPLE)
+def sample_totals(spark, sf_dir):
+    return _shared_by_cell(spark, sf_dir).where("gene_id_1 = gene_id_2").select("sample", F.col("gene_id_1").alias("gene_id"), "read_count")
+
+
+@query("select * from sb where gene_id_1 <> gene_id_2", _LINES, _BY_SAMPLE)
+def sample_edges(spark, sf_dir):
+    return network.gene_edges(_shared_by_cell(spark, sf_dir))
+
+
 _SHARED = "sh as (select x.target as gene_id_1, y.target as gene_id_2, count(*) as read_count from (select distinct ec_id, target from a) x join (select distinct ec_id, target from a) y using (ec_id) group by all)"
 _INFO = "info as (select p_brand as gene_id, min(p_name) as symbol, count(*) as parts from part group by p_brand)"
 
@@ -353,6 +449,18 @@ def gene_pairs(spark, sf_dir):
     return network.gene_pairs(edges, _info(spark, sf_dir), "all")
 
 
+@query("select to_json({gene_id: gene_id, symbol: symbol, parts: parts, read_count: read_count, sample_id: 'all'})::varchar as json from sh join info on gene_id = gene_id_1 where gene_id_1 = gene_id_2", _LINES, _SHARED, _INFO)
+def expression_json(spark, sf_dir):
+    totals = network.gene_totals(_shared(spark, sf_dir)).withColumn("sample_id", F.lit("all"))
+    return network.as_json(network.expression(_info(spark, sf_dir), totals, "all").select("gene_id", "symbol", "parts", "read_count", "sample_id"))
+
+
+@query("select to_json({gene_id: gene_id, symbol: symbol, parts: parts, read_count: read_count})::varchar as json from sh join info on gene_id = gene_id_2 where gene_id_1 = 'Brand#11' and gene_id_2 <> gene_id_1", _LINES, _SHARED, _INFO)
+def neighbors_json(spark, sf_dir):
+    edges = network.gene_edges(_shared(spark, sf_dir)).withColumn("sample_id", F.lit("all"))
+    return network.as_json(network.neighbors(edges, _info(spark, sf_dir), "all", "Brand#11").select("gene_id", "symbol", "parts", "read_count"))
+
+
 _GENES = """ge as (select p_partkey as gene_id, p_name as symbol, p_type as chr, floor(p_retailprice * 1000)::bigint as start_pos, floor(p_retailprice * 1000)::bigint + p_size * 10000 as end_pos, read_count
   from part join (select l_partkey, count(distinct l_orderkey) as read_count from lineitem group by l_partkey) on p_partkey = l_partkey)"""
 _BINS = f"bi as (select chr, bin, max(log2(read_count)) as max_expr from (select chr, read_count, unnest(range(start_pos // {BIN}, end_pos // {BIN} + 1)) as bin from ge) group by all)"
@@ -368,6 +476,11 @@ def chr_bin_counts(spark, sf_dir):
     return network.dense_bins(network.expression_bins(part_genes(spark, sf_dir), BIN)).withColumn("value", F.round("value", 6))
 
 
+@query("select chr, round(greatest(0, max(max_expr)), 6)::double as max_expr from bi group by chr", _GENES, _BINS)
+def chr_largest(spark, sf_dir):
+    return network.largest_bins(network.expression_bins(part_genes(spark, sf_dir), BIN)).withColumn("max_expr", F.round("max_expr", 6))
+
+
 @query(f"select * from ge where gene_id = {GENE}", _GENES)
 def gene_lookup(spark, sf_dir):
     return network.lookup_gene(part_genes(spark, sf_dir), GENE)

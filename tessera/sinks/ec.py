@@ -7,6 +7,9 @@ import struct
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.network import check_keys
 
 
 def _section(out, rows: DataFrame, major: str, minor: str, value: str, size: int) -> None:
@@ -56,3 +59,22 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
 
 def write_tsv(report: DataFrame, path: str) -> None:
     report.write.csv(path, sep="\t", header=True)
+
+
+def write_samples(samples: DataFrame, path: str) -> None:
+    """A sample table (sample_id, file) as read_samples reads it."""
+    samples.select("sample_id", "file").coalesce(1).write.csv(path, sep="\t")  # a row per input file
+
+
+def write_viewer(path: str, totals: DataFrame, edges: DataFrame, genes: DataFrame, samples: DataFrame) -> None:
+    """The viewer's four tables, after a check that no key occurs twice."""
+    check_keys(totals, ["sample_id", "gene_id"])
+    check_keys(edges, ["sample_id", "gene_id_1", "gene_id_2"])
+    check_keys(genes, ["gene_id"])
+    check_keys(samples, ["sample_id"])
+    write_tables({"gene_count_totals": totals, "gene_edge": edges, "gene_info": genes, "sample": samples}, path)
+
+
+def write_read_samples(reads: DataFrame, sample_id: str, path: str) -> None:
+    """Append (read_id, sample_id) of one sample's reads (read_id, ...) to a table."""
+    reads.select("read_id", F.lit(sample_id).alias("sample_id")).write.mode("append").parquet(path)

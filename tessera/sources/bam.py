@@ -1,7 +1,10 @@
 """Alignment files as a data source: `spark.read.format("tessera_bam").load(path)`.
 
-A file, or every *.bam below a folder in sorted order, is read; each file is one
-partition, decoded block by block, so a task holds one block and one batch.
+A file, or every *.bam below a folder in sorted order, is read.  Each file is cut
+into ranges of about `split` compressed bytes at block starts, which are found by
+walking the block headers; a range begins at the first record that starts in it.
+A task holds the blocks of one batch.  `ord` is the virtual offset of the record:
+the block's place in the file and the record's within the block.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ import os
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +43,8 @@ def check_file(path: str) -> None:
         raise ValueError(f"{path} is no complete block-compressed file")
 
 
-def blocks(f):
-    """(offset, whole length, start of the data, length of the data) of each block, without inflating."""
-    at = 0
+def blocks(f, at: int = 0):
+    """(offset, whole length, start of the data, length of the data) of each block from `at` on, without inflating."""
     while head := f.read(12):
         extra = f.read(struct.unpack("<H", head[10:12])[0])
         size, k = None, 0
@@ -59,22 +62,39 @@ def blocks(f):
 
 
 class _Stream:
-    """The inflated bytes of a file, in order."""
+    """The inflated bytes of a file from some block on, with the virtual offset of the next."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, at: int = 0):
         self.f = open(path, "rb")  # noqa: SIM115
-        self.walk, self.data, self.at = blocks(self.f), b"", 0
+        self.f.seek(at)
+        self.walk, self.data, self.at = blocks(self.f, at), b"", 0
+        self.starts: list[tuple[int, int]] = []  # (place in data, block's offset) of the blocks held
+
+    def _more(self) -> bool:
+        block = next(self.walk, None)
+        if block is None:
+            return False
+        here = self.f.tell()
+        self.f.seek(block[2])
+        more = zlib.decompress(self.f.read(block[3]), -15)
+        self.f.seek(here)
+        cut = self.at
+        last = max((x for x in self.starts if x[0] <= cut), default=None)
+        self.starts = [(p - cut, o) for p, o in self.starts if p > cut or (p, o) == last] + [(len(self.data) - cut, block[0])]
+        self.data, self.at = self.data[cut:] + more, 0
+        return True
+
+    def offset(self) -> int | None:
+        """Virtual offset of the next byte; null at the end."""
+        while self.at >= len(self.data):
+            if not self._more():
+                return None
+        place, block = max(x for x in self.starts if x[0] <= self.at)
+        return block << 16 | self.at - place
 
     def take(self, n: int) -> bytes:
-        while len(self.data) - self.at < n:
-            block = next(self.walk, None)
-            if block is None:
-                break
-            here = self.f.tell()
-            self.f.seek(block[2])
-            more = zlib.decompress(self.f.read(block[3]), -15)
-            self.f.seek(here)
-            self.data, self.at = self.data[self.at :] + more, 0
+        while len(self.data) - self.at < n and self._more():
+            pass
         out = self.data[self.at : self.at + n]
         self.at += len(out)
         return out
@@ -91,34 +111,95 @@ def _header(stream: _Stream) -> list[tuple[str, int]]:
     return out
 
 
+def first_record(path: str, block: int, references: int) -> int | None:
+    """Virtual offset of the first record that starts at `block` or behind it.
+
+    A record may reach into the block, so places in it are tried in order: one is
+    right if a chain of plausible records leads from it for several records.
+    """
+    stream = _Stream(path, block)
+    while stream._more() and len(stream.data) < LOOK_AHEAD:
+        pass
+    data = stream.data
+    starts = list(stream.starts)
+    for at in range(len(data)):
+        if _chain(data, at, references):
+            place, own = max(x for x in starts if x[0] <= at)
+            return own << 16 | at - place
+    return None
+
+
+LOOK_AHEAD, CHAIN = 1 << 18, 8  # bytes looked at for a record's start, and records that must follow each other
+_RECORD = struct.Struct("<iiiBBHHHiiii")  # length, reference, place, length of name, ..., bases, mate's reference and place, span
+
+
+def _chain(data: bytes, at: int, references: int) -> bool:
+    for _ in range(CHAIN):
+        if at + _RECORD.size > len(data):
+            return at == len(data) or at + _RECORD.size > len(data) >= LOOK_AHEAD
+        size, tid, pos, name, _, _, ops, _, bases, mate, mate_pos, _ = _RECORD.unpack_from(data, at)
+        if not (-1 <= tid < references and -1 <= mate < references and pos >= -1 and mate_pos >= -1 and name and bases >= 0 and size >= 32 + name + 4 * ops + (bases + 1) // 2 + bases):
+            return False
+        end = at + 36 + name
+        if end <= len(data) and (data[end - 1] or b"\0" in data[at + 36 : end - 1]):
+            return False
+        at += 4 + size
+    return True
+
+
 class BamReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.rows = options["path"], int(options.get("batch", 10_000))
+        self.path, self.rows, self.split = options["path"], int(options.get("batch", 10_000)), int(options.get("split", 64 << 20))
 
     def partitions(self):
-        return [InputPartition(p) for p in files_in(self.path)]
+        """(file, first block, end block) of each range; only block headers are read."""
+        out = []
+        for path in files_in(self.path):
+            check_file(path)
+            cuts = [0]
+            with open(path, "rb") as f:
+                for at, *_ in blocks(f):
+                    if at - cuts[-1] >= self.split:
+                        cuts.append(at)
+            out += [InputPartition((path, a, b)) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
+        return out
 
     def read(self, partition):
-        check_file(partition.value)
-        stream = _Stream(partition.value)
-        _header(stream)
-        rows: list[tuple] = []
-        ord_ = 0
-        while size := stream.take(4):
-            body = stream.take(struct.unpack("<i", size)[0])
-            tid, pos, name_len, _, _, _, flag, _, mate_tid, mate_pos, _ = struct.unpack_from("<iiBBHHHiiii", body)
-            rows.append((partition.value, ord_, body[32 : 32 + name_len - 1].decode(), flag, tid, pos, mate_tid, mate_pos))
-            ord_ += 1
-            if len(rows) == self.rows:
-                yield self._batch(rows)
-                rows = []
-        if rows:
-            yield self._batch(rows)
+        path, begin, end = partition.value
+        head = _Stream(path)
+        references = len(_header(head))
+        stop = None if end is None else first_record(path, end, references)
+        start = head.offset() if not begin else first_record(path, begin, references)
+        if start is None:
+            return
+        stream = head if not begin else _Stream(path, start >> 16)
+        if begin:
+            stream.take(start & 0xFFFF)
+        while batch := self._records(stream, stop):
+            yield self._batch(path, *batch)
+
+    def _records(self, stream: _Stream, stop: int | None):
+        """Up to `rows` records before `stop`: their bytes, places in them, and virtual offsets."""
+        bodies, ords, places, at = [], [], [], 0
+        while len(ords) < self.rows and (here := stream.offset()) is not None and (stop is None or here < stop):
+            body = stream.take(struct.unpack("<i", stream.take(4))[0])
+            bodies.append(body)
+            ords.append(here)
+            places.append(at)
+            at += len(body)
+        return (b"".join(bodies), places, ords) if ords else None
 
     @staticmethod
-    def _batch(rows):
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
+    def _batch(path, data, places, ords):
+        """Fixed fields are gathered at all records' places at once; names are cut out of the same bytes."""
+        raw, at = np.frombuffer(data, np.uint8), np.array(places)
+        field = lambda offset, kind: raw[(at + offset)[:, None] + np.arange(np.dtype(kind).itemsize)].copy().view(kind).ravel()
+        size = raw[at + 8].astype(np.int64) - 1
+        ends = np.concatenate([[0], np.cumsum(size)])
+        index = np.arange(ends[-1]) + np.repeat(at + 32 - ends[:-1], size)
+        names = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw[index].tobytes()))
+        columns = [pa.array([path] * len(at)), pa.array(ords, pa.int64()), names, pa.array(field(14, "<u2").astype(np.int32)), *[pa.array(field(k, "<i4")) for k in (0, 4, 20, 24)]]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
 
 class BamSource(DataSource):
@@ -133,9 +214,9 @@ class BamSource(DataSource):
         return BamReader(self.options)
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFrame:
     spark.dataSource.register(BamSource)
-    return spark.read.format("tessera_bam").load(path)
+    return spark.read.format("tessera_bam").option("split", split).load(path)
 
 
 def read_refs(spark: SparkSession, path: str) -> DataFrame:

@@ -61,7 +61,7 @@ def read_gene_info(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     raw = spark.read.csv(path, sep="\t", schema=", ".join(f"{c} string" for c in GENE_COLUMNS))
     genes = raw.select(*[F.trim(c).alias(c) for c in GENE_COLUMNS]).withColumn("chromosome", chromosome(F.col("chromosome"))).where("chromosome is not null")
     genes = genes.withColumns({c: F.col(c).cast("bigint") for c in ("start_pos_bp", "end_pos_bp")})
-    return genes.drop("transcripts"), genes.select(F.col("gene_id").alias("gene"), F.explode(F.split("transcripts", ",")).alias("target"))
+    return genes.drop("transcripts"), genes.select(F.col("gene_id").alias("gene"), F.explode(F.transform(F.split("transcripts", ","), lambda t: F.trim(t))).alias("target")).where("target <> ''")
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -77,6 +77,12 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.substring_index(F.expr("substring(n, 2)"), " ", 1).alias("read_id"), "sequence")
 
 
+def split_fastq(spark: SparkSession, path: str, parts: int, out: str) -> None:
+    """Write a FASTQ file as `parts` files of whole records, in their order."""
+    lines = numbered_lines(spark, path).withColumn("record", F.expr("line div 4"))
+    lines.repartitionByRange(parts, "record").sortWithinPartitions("line").select("value").write.text(out)
+
+
 def read_salmon(spark: SparkSession, classes: str, quant: str) -> tuple[DataFrame, DataFrame]:
     """Classes (ec_id, target index, n) and targets (idx, name, length) of a quantifier's output.
 
@@ -89,5 +95,26 @@ def read_salmon(spark: SparkSession, classes: str, quant: str) -> tuple[DataFram
     k = F.col("p")[0].cast("int")
     rows = parts.select("ec_id", F.get("p", k + 1).cast("bigint").alias("n"), F.explode(F.slice("p", F.lit(2), k).cast("array<bigint>")).alias("idx"))
     lengths = spark.read.csv(quant, sep="\t", header=True)
-    lengths = lengths.select(F.col(lengths.columns[0]).alias("name"), F.col(lengths.columns[2]).cast("double").alias("length"))
-    return rows, names.join(lengths, "name", "left")
+    lengths = lengths.select(F.col(lengths.columns[0]).alias("name"), F.col(lengths.columns[2]).cast("double").alias("_length"))
+    length = F.coalesce("_length", F.raise_error(F.concat(F.lit("no effective length: "), F.col("name"))).cast("double"))
+    return rows, names.join(lengths, "name", "left").select("name", "idx", length.alias("length"))
+
+
+def read_salmon_targets(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """(idx, name): `known` targets of the class file, then the unseen ones of a target file (first column), in its order."""
+    listed = numbered_lines(spark, path).select(F.split("value", "\t")[0].alias("name"), F.col("line").alias("o"), F.lit(1).alias("k")).where("name <> ''")
+    both = known.select("name", F.col("idx").alias("o"), F.lit(0).alias("k")).unionByName(listed)
+    return dense_index(both.select("name", F.struct("k", "o").alias("o")), "name", "o", "idx")
+
+
+def name_differences(one: DataFrame, other: DataFrame, name: str) -> DataFrame:
+    """(side, name): names that only one of two tables has."""
+    only = lambda x, y, side: x.select(name).distinct().join(y, name, "left_anti").select(F.lit(side).alias("side"), F.col(name).alias("name"))
+    return only(one, other, "first").unionByName(only(other, one, "second"))
+
+
+def check_same(files: list[DataFrame], name: str) -> None:
+    """An error naming a target (or haplotype) that isn't in all of the files' tables."""
+    for other in files[1:]:
+        if found := name_differences(files[0], other, name).take(1):
+            raise ValueError(f"only one file has {name} {found[0].name}")

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import bits
-from tessera.operators import classes, incidence, network, summary
+from tessera.model import Profile
+from tessera.operators import algebra, classes, incidence, network, summary
 from tessera.queries import ORACLE, QUERIES
-from tessera.sinks.ec import write_ec
+from tessera.sinks.ec import write_ec, write_read_samples, write_samples, write_viewer
 from tessera.sources import bam, ec, text
 
 SF = "/root/testdata/sf0.001"
@@ -68,6 +69,130 @@ def test_single_sample(spark, bam_file):
     assert [r.v for r in one.collect()] == [0.5, 0.5]
 
 
+def bam_bytes(records, block_size):
+    data = b"BAM\1" + struct.pack("<ii", 0, len(REFS))
+    for _, name, size in REFS:
+        data += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", size)
+    for q, flag, tid, pos, mt, mp in records:
+        bases = 30
+        body = struct.pack("<iiBBHHHiiii", tid, pos, len(q) + 1, 9, 0, 1, flag, bases, mt, mp, 0) + q.encode() + b"\0" + struct.pack("<I", bases << 4) + bytes(15) + bytes(bases)
+        data += struct.pack("<i", len(body)) + body
+    return b"".join(block(data[k : k + block_size]) for k in range(0, len(data), block_size)) + bam.END_BLOCK
+
+
+@pytest.mark.parametrize("block_size", [150, 5000])
+def test_one_file_in_many_partitions(spark, tmp_path, block_size):
+    """Records straddle blocks and ranges; each is read once, in order, whatever the ranges."""
+    made = [(f"read{k:05}" + "x" * (k % 17), 0, k % 4, k, -1, -1) for k in range(400)]
+    (tmp_path / "a").mkdir()
+    for name, some in (("a/one.bam", made), ("two.BAM", made[:7]), ("none.bam", [])):
+        (tmp_path / name).write_bytes(bam_bytes(some, block_size))
+    whole = bam.read_bam(spark, str(tmp_path / "a" / "one.bam"))
+    assert whole.rdd.getNumPartitions() == 1
+    for split in (1_500, 9_000):
+        part = bam.read_bam(spark, str(tmp_path / "a"), split)
+        assert part.rdd.getNumPartitions() >= 2
+        assert [r.qname for r in part.orderBy("ord").collect()] == [q for q, *_ in made] == [r.qname for r in whole.orderBy("ord").collect()]
+        assert rows(part.select("ord", "qname", "tid", "pos", "mate_pos")) == rows(whole.select("ord", "qname", "tid", "pos", "mate_pos"))
+    assert bam.read_bam(spark, str(tmp_path), 9_000).count() == 407  # every file of the folder
+    (tmp_path / "cut.bam").write_bytes(bam_bytes(made[:3], 97)[:-5])
+    with pytest.raises(ValueError):
+        bam.check_file(str(tmp_path / "cut.bam"))
+
+
+def test_mate_rules(spark):
+    one = ("q", 0, 0, 0, 0, 0)
+    cases = [(1 | 2, 0, 0, True), (1, 0, 0, False), (1 | 2, 1, 0, False), (1 | 2, 0, -1, False), (1 | 2 | 128, 0, 0, False), (0, -1, -1, True), (4, 0, 0, False)]
+    for flag, mate, mate_pos, ok in cases:
+        df = spark.createDataFrame([(one[0], flag, 0, 5, mate, mate_pos)], "qname string, flag int, tid int, pos int, mate_tid int, mate_pos int")
+        assert (classes.valid_alignments(df).count() == 1) == ok
+    assert [spark.range(1).select(bits.read_name(F.lit(x))).first()[0] for x in ("a b c", " a", "ab")] == ["a", " a", "ab"]
+    assert bits.partition_bounds(7, 3) == [(0, 3), (3, 5), (5, 7)] and bits.partition_bounds(2, 5) == [(0, 1), (1, 2)]
+
+
+def test_masks_and_sets_agree(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (2, "a"), (3, "a"), (3, "b"), (3, "a")], "read int, target string")
+    loci = ["b", "a"]
+    masks = classes.read_masks(df, ["read"], F.array_position(F.array(*map(F.lit, loci)), F.col("target")) - 1)
+    named = classes.name_masks(classes.count_classes(masks, key="mask"), loci)
+    assert rows(named) == rows(classes.count_classes(classes.read_sets(df, ["read"], "target"))) == [("a", 1), ("a,b", 2)]
+    assert classes.total_count(named).first().n == 3
+    cells = spark.createDataFrame([("a", "c", 1), ("a,b", "c", 2)], "ec_key string, cell string, n long")
+    assert rows(classes.renumbered(cells).select("ec_id", "ec_key")) == [(0, "a"), (1, "a,b")]
+
+
+def test_long_runs_equal_runs(spark):
+    made = [("x" if k % 5 else "y", k, (k // 3) % 2) for k in range(200)] + [("z", 3, 1)]
+    df = spark.createDataFrame(made, "g string, o long, q int")
+    want = rows(classes.number_runs(df, "q", "o", ["g"]).select("g", "o", "run"))
+    assert all(rows(classes.number_long_runs(df, "q", "o", ["g"], span).select("g", "o", "run")) == want for span in (1, 7, 1000))
+
+
+def test_profile(spark, tmp_path):
+    names = {"haplotypes": [(0, "A"), (1, "B")], "targets": [(0, "T1"), (1, "T2")], "samples": [(0, "s")]}
+    tables = {k: spark.createDataFrame(v, f"{c}_idx long, {c} string") for (k, v), c in zip(names.items(), ("hap", "target", "sample"), strict=True)}
+    tables |= {"a": spark.createDataFrame([(0, 0, 3), (1, 1, 2)], "ec_id long, target_idx long, mask long"), "n": spark.createDataFrame([(0, 0, 4), (1, 0, 2)], "ec_id long, sample_idx long, n long")}
+    tables["lengths"] = spark.createDataFrame([(0, 0, 5), (0, 1, 6), (1, 0, 7), (1, 1, 8)], "target_idx long, hap_idx long, length long")
+    p = Profile.of_classes(tables)
+    assert rows(p.a) == [(0, "T1", "A", 1.0), (0, "T1", "B", 1.0), (1, "T2", "B", 1.0)] and rows(p.n) == [(0, "s", 4), (1, "s", 2)]
+    p.save(str(tmp_path / "p"))
+    back = Profile.load(spark, str(tmp_path / "p"))
+    assert rows(back.a) == rows(p.a) and rows(back.n) == rows(p.n)
+    both = p.combine(p, 2)
+    assert rows(both.n) == [(0, "s", 4), (1, "s", 2), (2, "s", 4), (3, "s", 2)] and both.a.count() == 6
+    assert rows(p.pull(spark.createDataFrame([(1,)], "ec_id long")).a) == [(1, "T2", "B", 1.0)]
+    kept = p.copy(a=p.a.unionByName(p.a.limit(1).withColumn("v", F.lit(0.0)))).finalize()
+    assert kept.a.count() == 3
+    kept.release()
+    with pytest.raises(KeyError):
+        p.with_groups(spark.createDataFrame([("g", "T9")], "gene string, target string"))
+    with pytest.raises(KeyError):
+        p.copy(targets=tables["targets"].limit(1)).checked()
+    with pytest.raises(ValueError):
+        p.copy(samples=tables["samples"].limit(0)).checked()
+    two = spark.createDataFrame([(0, "T1", 2.0)], "ec_id long, target string, v double")
+    assert rows(algebra.add(p.a, two, tables["haplotypes"])) == [(0, "T1", "A", 3.0), (0, "T1", "B", 3.0), (1, "T2", "B", 1.0)]
+    assert rows(algebra.add_value(p.a, p.a.where("ec_id = 1"))) == [(0, "T1", "A", 1.0), (0, "T1", "B", 1.0), (1, "T2", "B", 2.0)]
+
+
+def test_reports_and_keys(spark, tmp_path):
+    totals = spark.createDataFrame([("s", "g1", 2), ("s", "g2", 0)], "sample_id string, gene_id string, read_count long")
+    edges = spark.createDataFrame([("s", "g1", "g2", 1)], "sample_id string, gene_id_1 string, gene_id_2 string, read_count long")
+    genes = spark.createDataFrame([("g1", "x"), ("g2", "y")], "gene_id string, symbol string")
+    samples = spark.createDataFrame([("s", "f.bam")], "sample_id string, file string")
+    write_viewer(str(tmp_path / "v"), totals, edges, genes, samples)
+    assert rows(spark.read.parquet(str(tmp_path / "v" / "gene_edge"))) == rows(edges)
+    with pytest.raises(ValueError):
+        write_viewer(str(tmp_path / "w"), totals.union(totals), edges, genes, samples)
+    assert network.exactly_one(network.lookup_gene(genes, "g2")).symbol == "y"
+    with pytest.raises(LookupError):
+        network.exactly_one(network.lookup_gene(genes, "g3"))
+    assert rows(network.as_json(genes.limit(1))) == [('{"gene_id":"g1","symbol":"x"}',)]
+    write_samples(samples, str(tmp_path / "s"))
+    assert rows(text.read_samples(spark, str(tmp_path / "s"))) == [("s", "f.bam")]
+    write_read_samples(spark.createDataFrame([("r1",)], "read_id string"), "s", str(tmp_path / "m"))
+    write_read_samples(spark.createDataFrame([("r2",)], "read_id string"), "t", str(tmp_path / "m"))
+    assert rows(spark.read.parquet(str(tmp_path / "m"))) == [("r1", "s"), ("r2", "t")]
+    spans = spark.createDataFrame([("b", "A", 4), ("a", "B", 2)], "target string, hap string, span long")
+    assert [tuple(r) for r in summary.span_table(spans, ["A", "B"]).collect()] == [("a", 0, 2), ("b", 4, 0)]
+    names = lambda *x: spark.createDataFrame([(i,) for i in x], "target string")
+    text.check_same([names("a", "b"), names("b", "a")], "target")
+    with pytest.raises(ValueError):
+        text.check_same([names("a"), names("a", "c")], "target")
+    listed, header = spark.createDataFrame([("b", 0), ("a", 1)], "target string, target_idx long"), spark.createDataFrame([("a", 0), ("c", 1)], "target string, tid int")
+    assert rows(text.all_targets(listed, header)) == [("a", 1), ("b", 0), ("c", 2)]
+
+
+def test_stream_counts(spark, tmp_path):
+    from tessera.streaming.counts import windowed_counts
+
+    spark.sql("select timestamp'2024-01-01 00:01:00' as t, 'a' as k union all select timestamp'2024-01-01 00:02:00', 'a'").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("t timestamp, k string").parquet(str(tmp_path / "in"))
+    q = windowed_counts(stream, "t", ["k"]).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [r.n for r in spark.table("counted").collect()] == [2]
+
+
 def test_multisample(spark):
     reads = [("f1", 0, "q1", "c1", 0), ("f1", 1, "q2", "c1", 0), ("f1", 2, "q3", "c2", 0), ("f1", 3, "q3", "c2", 2), ("f2", 0, "q4", "c2", 0), ("f2", 1, "q4", "c2", 2), ("f2", 2, "q5", "c1", 2)]
     al = spark.createDataFrame(reads, "file string, ord int, qname string, cell string, tid int")
@@ -102,6 +227,11 @@ def test_text_sources(spark, tmp_path):
     assert rows(groups) == [("G", "t1"), ("G", "t2")] and genes.first().chromosome == "2"
     assert rows(text.read_fastq(spark, put("q", "@a 1\nAC\n+\n!!\n@b\nGT\n+\n@@\n"))) == [("a", "AC"), ("b", "GT")]
     ecs, targets = text.read_salmon(spark, put("e", "2\n2\nT_A\nT_B\n1\t0\t5\n2\t0\t1\t7\n"), put("u", "Name\tLength\tEffectiveLength\nT_A\t9\t8.5\nT_B\t7\t6.5\n"))
+    with pytest.raises(Exception, match="no effective length"):
+        text.read_salmon(spark, str(tmp_path / "e"), put("u2", "Name\tLength\tEffectiveLength\nT_A\t9\t8.5\n"))[1].collect()
+    assert rows(text.read_salmon_targets(spark, put("t2", "T_B\t7\nT_C\t5\n"), targets)) == [("T_A", 0), ("T_B", 1), ("T_C", 2)]
+    text.split_fastq(spark, str(tmp_path / "q"), 2, str(tmp_path / "parts"))
+    assert spark.read.text(str(tmp_path / "parts")).count() == 8
     assert rows(ecs.select("idx", "n")) == [(0, 5), (0, 7), (1, 7)] and rows(targets) == [("T_A", 0, 8.5), ("T_B", 1, 6.5)]
 
 

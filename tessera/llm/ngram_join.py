@@ -24,7 +24,7 @@ from .blocks import block_pairs
 from .components import connected_components, spanning
 from .hashing import mix, shingle_sets
 from .runs import keyed_runs
-from .store import broadcast_if_small, fields, materialize, numbered, partitions, unnumbered, without
+from .store import broadcast_if_small, distilled, fields, materialize, numbered, partitions, unnumbered, without
 
 HASHES, ROWS = 128, 4  # 32 bands of 4: a pair at 0.8 shares none with probability 5e-8
 STEPS = (16, 32, 64, 96, 128)
@@ -262,8 +262,12 @@ def keep_one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     other whole.  Wordless rows all stay; columns are unchanged.
     """
     rows = numbered(docs)
-    found = _classified(fields(rows), threshold).where("n_copies > 1 or component is not null")
-    found = materialize(found.select("row", "doc_id", "content", F.coalesce("component", "node").alias("class")), "classified")
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "content", "row")
-    kept = found.groupBy("class").agg(F.min_by("row", first).alias("row"))
-    return without(rows, found.select("row").join(kept.select("row"), "row", "left_anti"))
+
+    def dropped() -> DataFrame:
+        found = _classified(fields(rows), threshold).where("n_copies > 1 or component is not null")
+        found = materialize(found.select("row", "doc_id", "content", F.coalesce("component", "node").alias("class")), "classified")
+        first = F.struct(F.col("doc_id").isNull(), "doc_id", "content", "row")
+        kept = found.groupBy("class").agg(F.min_by("row", first).alias("row"))
+        return found.select("row").join(kept.select("row"), "row", "left_anti")
+
+    return without(rows, distilled(docs.sparkSession, dropped, "dropped"))

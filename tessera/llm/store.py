@@ -74,11 +74,10 @@ def unnumbered(docs: DataFrame) -> DataFrame:
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     """The documents of a `numbered` table whose row isn't in `dropped`, columns as they were.
 
-    The rows to drop are written and counted first: while they are few they are
-    broadcast and no text is shuffled, otherwise both sides are shuffled by row.
+    `dropped` is a written table: while its rows are few they are broadcast and no
+    text is shuffled, otherwise both sides are shuffled by row.
     """
-    ids = materialize(dropped.select("row").distinct(), "dropped")
-    return rows.join(broadcast_if_small(ids, 16), "row", "left_anti").select("doc.*")
+    return rows.join(broadcast_if_small(dropped.select("row"), 16), "row", "left_anti").select("doc.*")
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -100,5 +99,15 @@ def scratch(spark: SparkSession):
             discard(spark, path)
 
 
+def distilled(spark: SparkSession, build, name: str) -> DataFrame:
+    """The table that `build` describes, written; what it wrote on its way is deleted."""
+    path = fresh_path(spark, name)
+    with scratch(spark):
+        out = written(build(), path)
+    for made in _scopes[-1:]:
+        made.append(path)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

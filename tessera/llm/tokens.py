@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from array import array
@@ -15,7 +16,7 @@ _SPACE, _LETTER, _MARK = "\\t-\\r ", "A-Za-zÀ-ÖØ-öø-ſ", "!-/:-@\\[-`{-~‘
 _OTHER = re.compile(f"[^{_SPACE}0-9{_LETTER}{_MARK}]")
 #: Where the byte-level pre-tokeniser cuts a text without such characters.
 _PIECES = re.compile(f" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[{_MARK}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_KEPT = 250_000  # pieces whose ids a worker remembers; when as many are new, older ones not met since are forgotten
+_KEPT = 500_000  # pieces whose ids a worker remembers; when as many are new, older ones not met since are forgotten
 
 
 def default_path() -> str:
@@ -24,11 +25,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
+def _byte_letters() -> str:
+    """The printable characters that stand for the bytes 0 to 255 in a byte-level vocabulary."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = iter(range(256, 512))
-    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+    return "".join(chr(b if b in own else next(rest)) for b in range(256))
 
 
 class _Known(dict):
@@ -67,7 +68,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         model, letters = self.tokenizer.model.tokenize, _byte_letters()
-        self.pieces = _Known(lambda piece: [t.id for t in model(piece.encode().decode("latin-1").translate(letters))])
+        self.pieces = _Known(lambda piece: [t.id for t in model(codecs.charmap_decode(piece.encode(), "strict", letters)[0])])
         self.words = _Known(self._encode)
         with open(path, encoding="utf-8") as f:
             made = json.load(f)

@@ -487,6 +487,17 @@ def test_wavelet(values, token):
         assert [w.rank(t, k) for k in (0, len(values) // 2)] == [values[:k].count(t) for k in (0, len(values) // 2)]
 
 
+@pytest.mark.parametrize("size", [65_535, 65_536, 150_001])
+def test_wavelet_of_many_ids(size):
+    values = np.random.default_rng(size).zipf(1.3, size).clip(max=50_000).astype(np.uint32)
+    w = WaveletShard(encode(values, np.array([7]), np.array([size])))
+    assert np.array_equal(w.decode(), values)
+    at = [0, 4_095, 4_096, 65_534, size - 1]
+    assert [w.access(i) for i in at] == values[at].tolist()
+    token = int(values[-1])
+    assert w.count(token) == (values == token).sum() and w.select(token, w.count(token) - 1) == size - 1
+
+
 def test_sharding_limit(docs):
     got = shard(docs, 20_000).collect()
     sizes = {r.shard: r.shard_bytes for r in got}

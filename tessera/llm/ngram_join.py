@@ -271,3 +271,17 @@ def keep_one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         return found.select("row").join(kept.select("row"), "row", "left_anti")
 
     return without(rows, distilled(docs.sparkSession, dropped, "dropped"))
+
+
+def oracle_sql(threshold: float = 0.8) -> str:
+    """The same, all but class_key, of a table whose doc_ids are unique: exact Jaccard of every two sets that share a shingle."""
+    return rf"""with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) < 5 then [array_to_string(w, ' ')] else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) end as s from w where len(w) > 0),
+c as (select s, min(doc_id) as node, count(*) as n_copies, len(s) as n from s group by s),
+t as (select node, n, unnest(s) as shingle from c),
+l as (select a.node as u, b.node as v from t a join t b on a.shingle = b.shingle and a.node <> b.node group by a.node, b.node, a.n, b.n having count(*) >= {threshold} * (a.n + b.n - count(*)) - 1e-9),
+r(node, seen) as (select node, node from c union select r.node, l.v from r join l on r.seen = l.u),
+k as (select node, min(seen) as class_id from r group by node),
+d as (select u as node, count(*) as n_links from l group by u)
+select w.doc_id, coalesce(k.class_id, w.doc_id) as class_id, coalesce(d.n_links, 0) as n_links, coalesce(c.n_copies, 1) as n_copies
+from w left join s on w.doc_id = s.doc_id left join c on s.s = c.s left join k on c.node = k.node left join d on c.node = d.node"""

@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .packing import pack
 from .pii import find_personal_data, summary
 from .quality_rules import quality_rules
+from .resampling import resample
 from .sharding import shard
 from .token_files import round_trip
 
@@ -41,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": _on_documents(shard, limit=SHARD_BYTES),
         "op9_pii": _on_documents(lambda d: summary(find_personal_data(d))),
         "op10_quality_classifier": lambda spark, sf_dir: score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
+        "op13_importance_resampling": lambda spark, sf_dir: resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")),
     }
 
 

@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import find_repeated_lines
 from .mixing import mix_sources
 from .packing import pack
+from .passage_dedup import passage_dedup
 from .periodic_runs import periodic_runs, planted
 from .pii import find_personal_data, summary
 from .quality_rules import quality_rules
@@ -44,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": _on_documents(lambda d: summary(find_personal_data(d))),
         "op10_quality_classifier": lambda spark, sf_dir: score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
         "op11_periodic_runs": _on_documents(periodic_runs, change=planted),
+        "op12_suffix_array_dedup": _on_documents(passage_dedup),
         "op13_importance_resampling": lambda spark, sf_dir: resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")),
     }
 

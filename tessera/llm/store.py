@@ -32,17 +32,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None, codec: str | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: the lineage ends
-    there, and a lost executor costs no recomputation of what came before."""
+    there, and a lost executor costs no recomputation of what came before.  `codec`
+    compresses it otherwise than the session says."""
     path = path or fresh_path(df.sparkSession, name)
     for made in _scopes[-1:]:
         made.append(path)
-    return written(df, path)
+    return written(df, path, codec)
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def written(df: DataFrame, path: str, codec: str | None = None) -> DataFrame:
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

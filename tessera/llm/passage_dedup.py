@@ -16,7 +16,6 @@ import hashlib
 import os
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -323,10 +322,11 @@ def drop_passages(docs: DataFrame, least: int = LEAST, group: int = GROUP) -> Da
     goes, too.  Texts without such bytes and all other columns stay as they are."""
     rows = numbered(docs)
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series(["".join(k.decode(errors="ignore") for k in _without(t.encode(), s)[1]) for t, s in zip(texts, spans, strict=True)])
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        both = zip(texts.cast(pa.binary()).to_pylist(), spans.to_pylist(), strict=True)
+        return pa.array(["".join(k.decode(errors="ignore") for k in _without(t, s)[1]) for t, s in both], pa.string())
 
     joined = rows.join(_spans(fields(rows), least, group), "row", "left")
-    text = F.when(F.col("spans").isNull(), F.col("doc.text").cast("string")).otherwise(cut(F.coalesce(F.col("doc.text").cast("string"), F.lit("")), F.coalesce("spans", F.array().cast(SPANS.removeprefix("spans ")))))
+    text = F.when(F.col("spans").isNull(), F.col("doc.text").cast("string")).otherwise(cut(F.coalesce(F.col("doc.text").cast("string"), F.lit("")), F.col("spans")))
     return joined.select(*[text.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, sharding
+from . import mixing, ngram_join, oracles, sharding
 from .classifier import score_quality
 from .exact_dedup import exact_dedup
 from .line_dedup import find_repeated_lines
@@ -59,6 +59,9 @@ r as (select *, first_value(doc_id) over (partition by norm order by points desc
 select doc_id, keep_id, group_size, keep_id = doc_id as kept, sha256(norm) as text_sha256 from r""",
         "op5_mixing": mixing.oracle_sql(),
         "op8_sharding": sharding.oracle_sql(limit=SHARD_BYTES),
+        "op11_periodic_runs": oracles.PERIODIC_RUNS,
+        "op12_suffix_array_dedup": oracles.PASSAGES,
+        "op13_importance_resampling": oracles.RESAMPLING,
     }
 
 

@@ -11,6 +11,7 @@ from tessera.functions import bits
 from tessera.model import Profile
 from tessera.operators import algebra, classes, incidence, network, summary
 from tessera.queries import ORACLE, QUERIES
+from tessera.sinks.bam import block_of, split_bam
 from tessera.sinks.ec import write_ec, write_read_samples, write_samples, write_viewer
 from tessera.sources import bam, ec, text
 
@@ -100,6 +101,52 @@ def test_one_file_in_many_partitions(spark, tmp_path, block_size):
         bam.check_file(str(tmp_path / "cut.bam"))
 
 
+LONG_SIZES = [20] * 12 + [250_000] + [35] * 900 + [600_000] + [500] * 600 + [1_500_000, 10, 300_000] + [44] * 900 + [700_000]
+
+
+@pytest.fixture(scope="module")
+def long_file(tmp_path_factory):
+    """Records of up to 1.5 million bases among short ones; quality bytes look like records."""
+    data = b"BAM\1" + struct.pack("<ii", 0, len(REFS))
+    for _, name, size in REFS:
+        data += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", size)
+    out, fake = [data], struct.pack("<iiiBBHHHiiii", 60, 1, 5, 3, 9, 0, 1, 0, 10, -1, -1, 0) + b"no\0" + bytes(25)
+    for k, bases in enumerate(LONG_SIZES):
+        q = f"read{k // 2}".encode()
+        quality = (fake * (bases // len(fake) + 1))[:bases] if k % 2 else bytes((7 * i + k) % 41 for i in range(min(bases, 997))) * (bases // 997 + 1)
+        body = struct.pack("<iiBBHHHiiii", k % 4, k, len(q) + 3, 9, 0, 1, 0, bases, -1, -1, 0) + q + b" x\0" + struct.pack("<I", bases << 4) + bytes((bases + 1) // 2) + quality[:bases]
+        out.append(struct.pack("<i", len(body)) + body)
+    data, path = b"".join(out), tmp_path_factory.mktemp("long") / "long.bam"
+    path.write_bytes(b"".join(block_of(data[k : k + 60_000], 1) for k in range(0, len(data), 60_000)) + bam.END_BLOCK)
+    return str(path)
+
+
+@pytest.mark.parametrize("split", [3_000, 20_000, 100_000, 64 << 20])
+def test_splits_are_exact_whatever_the_records(spark, long_file, split):
+    """Wrong guesses inside long records, and ranges that one record fills, are put right."""
+    got = bam.read_bam(spark, long_file, split).orderBy("ord").select("qname", "tid", "pos").collect()
+    assert [tuple(r) for r in got] == [(f"read{k // 2}", k % 4, k) for k in range(len(LONG_SIZES))]
+
+
+def test_wrong_guesses_are_found(spark, long_file, monkeypatch):
+    """Even with a guess at every record-like place, and with none at all, the ranges agree."""
+    want = rows(bam.record_ranges(spark, long_file, 10_000).select("number", "start", "stop", "records"))
+    for guess in (lambda path, cut, n: None, lambda path, cut, n: (bam.first_block(bam.open_file(path), cut) or 0) << 16):
+        monkeypatch.setattr(bam, "guess_record", guess)
+        assert rows(bam.record_ranges(spark, long_file, 10_000).select("number", "start", "stop", "records")) == want
+    assert sum(r[3] for r in want) == len(LONG_SIZES)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_split_alignment_file(spark, long_file, tmp_path, parts):
+    made = split_bam(spark, long_file, parts, str(tmp_path)).collect()
+    assert len(made) == parts and sum(r.records for r in made) == len(LONG_SIZES)
+    whole, back = bam.read_bam(spark, long_file), bam.read_bam(spark, str(tmp_path))
+    assert rows(back.select("qname", "tid", "pos", "flag")) == rows(whole.select("qname", "tid", "pos", "flag"))
+    assert back.groupBy("qname").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0  # no read in two files
+    assert rows(bam.read_refs(spark, str(tmp_path / "part_0.bam"))) == rows(bam.read_refs(spark, long_file))
+
+
 def test_mate_rules(spark):
     one = ("q", 0, 0, 0, 0, 0)
     cases = [(1 | 2, 0, 0, True), (1, 0, 0, False), (1 | 2, 1, 0, False), (1 | 2, 0, -1, False), (1 | 2 | 128, 0, 0, False), (0, -1, -1, True), (4, 0, 0, False)]

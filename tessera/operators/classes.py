@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.bits import mask_of
+from ..tables import written
 
 
 def valid_alignments(alignments: DataFrame) -> DataFrame:
@@ -92,13 +92,14 @@ def drop_trailing_read(alignments: DataFrame) -> DataFrame:
 def dense_index(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
     """Ordinals from 0 of the keys by their smallest `order`: first seen first.
 
-    The order is sorted in ranges, and one numbering of the sorted rows gives each
-    its place: no task sees all keys, and nothing relies on two sorts agreeing.
+    The keys are sorted in ranges and written with their place: range and row in it.
+    A count per range says how many come before, so no task sees all keys.
     """
-    first = rows.groupBy(key).agg(F.min(order).alias("_o")).orderBy("_o", key).select(key)
-    kind = first.schema[key].dataType
-    numbered = first.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    return rows.sparkSession.createDataFrame(numbered, StructType([StructField(key, kind), StructField(name, LongType(), False)]))
+    first = rows.groupBy(key).agg(F.min(order).alias("_o")).orderBy("_o", key)
+    placed = written(first.select(key, F.monotonically_increasing_id().alias("_m")), "ordinals").withColumn("_r", F.shiftright("_m", 33))
+    sizes = placed.groupBy("_r").agg(F.count("*").alias("_n"))  # a row per range
+    before = sizes.select("_r", (F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_b"))
+    return placed.join(F.broadcast(before), "_r").select(key, (F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
 def renumbered(counts: DataFrame, key: str = "ec_key", name: str = "ec_id") -> DataFrame:

@@ -6,28 +6,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def shared_reads(b: DataFrame, n: DataFrame) -> DataFrame:
+#: Genes of a class whose pairs a task makes at once; larger classes are cut into blocks of so many.
+BLOCK = 512
+
+
+def _pairs(sets: DataFrame, keep: list[str], block: int) -> DataFrame:
+    """(keep..., gene_id_1, gene_id_2) of all ordered pairs of the distinct genes in `g`.
+
+    A set of up to `block` genes gives its pairs where it is.  A larger one is cut into
+    blocks, and pairs of blocks are dealt to tasks: each makes block x block pairs
+    a row, however large the class is.
+    """
+    pairs = lambda df: df.select(*keep, "h", F.explode("g").alias("gene_id_1")).select(*keep, "gene_id_1", F.explode("h").alias("gene_id_2"))
+    small = sets.where(F.size("g") <= block).withColumn("h", F.col("g"))
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(g) - 1) div {block} as int)")), lambda i: F.slice("g", i * block + 1, F.lit(block)))
+    large = sets.where(F.size("g") > block).select(*keep, cut.alias("_b")).select("*", F.explode("_b").alias("g")).select(*keep, "g", F.explode("_b").alias("h"))
+    return pairs(small.select(*keep, "g", "h")).unionByName(pairs(large.repartition(F.xxhash64("g", "h"))))
+
+
+def shared_reads(b: DataFrame, n: DataFrame, block: int = BLOCK) -> DataFrame:
     """(gene_id_1, gene_id_2, read_count): reads of the classes that hit both genes.
 
     `b` is (ec_id, gene), distinct.  Classes, not reads, are joined with
-    themselves; each class holds a bounded set of genes.
+    themselves; classes with the same genes count together before any pair is made.
     """
     sets = b.join(n.groupBy("ec_id").agg(F.sum("n").alias("n")), "ec_id").groupBy("ec_id").agg(F.collect_set("gene").alias("g"), F.first("n").alias("n"))
-    # classes with the same genes count together before any pair is made
     sets = sets.groupBy(F.sort_array("g").alias("g")).agg(F.sum("n").alias("n"))
-    pairs = sets.select("n", "g", F.explode("g").alias("gene_id_1")).select("n", "gene_id_1", F.explode("g").alias("gene_id_2"))
-    return pairs.groupBy("gene_id_1", "gene_id_2").agg(F.sum("n").alias("read_count"))
+    return _pairs(sets, ["n"], block).groupBy("gene_id_1", "gene_id_2").agg(F.sum("n").alias("read_count"))
 
 
-def shared_reads_by(b: DataFrame, n: DataFrame, sample: str = "sample") -> DataFrame:
+def shared_reads_by(b: DataFrame, n: DataFrame, sample: str = "sample", block: int = BLOCK) -> DataFrame:
     """(sample, gene_id_1, gene_id_2, read_count): shared_reads for every sample.
 
     Classes with the same genes count together per sample before any pair is made.
     """
     sets = b.groupBy("ec_id").agg(F.sort_array(F.collect_set("gene")).alias("g"))
     sets = sets.join(n, "ec_id").groupBy("g", sample).agg(F.sum("n").alias("n"))
-    pairs = sets.select(sample, "n", "g", F.explode("g").alias("gene_id_1")).select(sample, "n", "gene_id_1", F.explode("g").alias("gene_id_2"))
-    return pairs.groupBy(sample, "gene_id_1", "gene_id_2").agg(F.sum("n").alias("read_count"))
+    return _pairs(sets, [sample, "n"], block).groupBy(sample, "gene_id_1", "gene_id_2").agg(F.sum("n").alias("read_count"))
 
 
 def as_json(rows: DataFrame, name: str = "json") -> DataFrame:

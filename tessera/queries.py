@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bits
-from .operators import algebra, classes, incidence, network, summary
+from .model import Profile
+from .operators import algebra, classes, collapse, incidence, network, summary
 from .plans.adapters import line_alignments, line_incidence, part_genes, read_incidence, table
 from .sources.text import name_differences
 
@@ -52,12 +53,15 @@ def _cells(spark: SparkSession, sf_dir: str, reads: DataFrame) -> DataFrame:
 
 def _counted(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
     """Reads per class, and per cell if asked: by masks while the loci fit into 63 bits, else by sets."""
-    loci = sorted(r[0] for r in table(spark, sf_dir, "part").select("p_brand").distinct().take(64))
+    part = table(spark, sf_dir, "part")
+    loci = sorted(r[0] for r in part.select("p_brand").distinct().take(64))
     if len(loci) > 63:
-        sets = classes.read_sets(_valid(spark, sf_dir), ["read_id"], "target")
-        return classes.count_classes(_cells(spark, sf_dir, sets) if by else sets, by)
-    index = F.array_position(F.array(*[F.lit(x) for x in loci]), F.col("target")) - 1
-    masks = classes.read_masks(_valid(spark, sf_dir), ["read_id"], index)
+        lines = _valid(spark, sf_dir)
+        return collapse.count_by_prints(lines, ["read_id"], "target") if not by else collapse.count_by_prints(_cells(spark, sf_dir, lines), ["read_id", "cell"], "target", by)
+    # the bit of a brand comes with the join that brings the brand
+    bit = F.array_position(F.array(*[F.lit(x) for x in loci]), F.col("p_brand")) - 1
+    lines = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("read_id"), "l_partkey")
+    masks = lines.join(part.select("p_partkey", bits.mask_of(bit).alias("bit")), F.col("l_partkey") == F.col("p_partkey")).groupBy("read_id").agg(F.bit_or("bit").alias("mask"))
     return classes.name_masks(classes.count_classes(_cells(spark, sf_dir, masks) if by else masks, by, "mask"), loci)
 
 
@@ -226,6 +230,34 @@ def genotype_mask(spark, sf_dir):
     return summary.genotype_mask(line_incidence(spark, sf_dir), _groups(spark, sf_dir), spark.createDataFrame(GENOTYPES, "gene string, hap string"))
 
 
+_KEYED = """t as (select ec_id, string_agg(target || ':' || hap || ':' || v, ',' order by target, hap) as rows from m group by ec_id),
+k as (select ec_id, coalesce(rows, '') as rows from (select ec_id from n union select ec_id from m) left join t using (ec_id)),
+f as (select ec_id, min(ec_id) over (partition by rows) as first from k)"""
+_MASKED = "m as (select ec_id, target, hap, v from a join g using (target) where (gene, hap) in (" + ", ".join(f"('{g}', '{h}')" for g, h in GENOTYPES) + "))"
+_BUNDLED = "m as (select ec_id, gene as target, hap, 1.0::double as v from a join g using (target) group by ec_id, gene, hap)"
+
+
+def _masked_profile(spark, sf_dir):
+    a, n = read_incidence(spark, sf_dir)
+    return summary.genotype_mask(a, _groups(spark, sf_dir), spark.createDataFrame(GENOTYPES, "gene string, hap string")), n
+
+
+@query("select first as ec_id, sample, sum(n)::bigint as n from n join f using (ec_id) group by first, sample", _LINES, _GROUPS, _MASKED, _KEYED)
+def recollapse_masked_counts(spark, sf_dir):
+    return collapse.recollapse(*_masked_profile(spark, sf_dir))[1]
+
+
+@query("select m.* from m join f using (ec_id) where ec_id = first", _LINES, _GROUPS, _MASKED, _KEYED)
+def recollapse_masked_rows(spark, sf_dir):
+    return collapse.recollapse(*_masked_profile(spark, sf_dir))[0]
+
+
+@query("select first as ec_id, sample, sum(n)::bigint as n from n join f using (ec_id) group by first, sample", _LINES, _GROUPS, _BUNDLED, _KEYED)
+def recollapse_bundled_counts(spark, sf_dir):
+    a, n = read_incidence(spark, sf_dir)
+    return collapse.recollapse(summary.bundle(a, _groups(spark, sf_dir), reset=True), n)[1]
+
+
 # matrix algebra: b is the incidence of the other lines, w a weight for each coordinate
 
 _B = "b as (select distinct read_id as ec_id, target, hap, 2.0::double as v from al where l_linestatus = 'O')"
@@ -320,6 +352,38 @@ def ec_merge(spark, sf_dir):
     return algebra.merge_counts(per_file)
 
 
+def _class_file(spark, sf_dir, status: str, haps: list[str]) -> Profile:
+    """The lines of one status as the tables of a class file with its own order of haplotypes, read back by name."""
+    lines = line_alignments(spark, sf_dir, cell=False).where(F.col("l_linestatus") == status)
+    order = spark.createDataFrame(list(enumerate(haps)), "hap_idx long, hap string")
+    targets = table(spark, sf_dir, "part").select(F.col("p_brand").alias("target")).distinct()
+    targets = classes.dense_index(targets.withColumn("_o", F.col("target")), "target", "_o", "target_idx")
+    a = incidence.to_mask(lines.select(F.col("read_id").alias("ec_id"), "target", "hap").distinct().withColumn("v", F.lit(1.0)), order)
+    n = lines.groupBy(F.col("read_id").alias("ec_id")).agg(F.count("*").alias("n")).withColumn("sample_idx", F.col("ec_id") % 2)
+    names = spark.createDataFrame([(0, f"{status}0"), (1, "shared")], "sample_idx long, sample string")
+    named = a.join(targets, "target").select("ec_id", "target_idx", "mask")
+    return Profile.of_classes({"haplotypes": order, "targets": targets, "samples": names, "lengths": targets.select("target_idx", F.lit(0).cast("long").alias("hap_idx"), F.lit(1).cast("long").alias("length")), "a": named, "n": n})
+
+
+@query(
+    """select ec_key, sample, sum(n)::bigint as n from (
+  select l_linestatus, read_id, string_agg(distinct target || ':' || hap, ',' order by target || ':' || hap) as ec_key, case when read_id % 2 = 0 then l_linestatus || '0' else 'shared' end as sample, count(*) as n
+  from al group by l_linestatus, read_id) group by ec_key, sample""",
+    _LINES,
+)
+def ec_merge_files(spark, sf_dir):
+    """Two class files with haplotypes in opposite orders, merged by name."""
+    both = Profile.merge([_class_file(spark, sf_dir, "F", HAPS), _class_file(spark, sf_dir, "O", HAPS[::-1])])
+    return both.n.join(collapse.named_keys(both.a), "ec_id").select("ec_key", "sample", "n")
+
+
+@query("select ec_key, count(*) as n from (select l_orderkey, string_agg(distinct l_partkey::varchar, ',' order by l_partkey::varchar) as ec_key from lineitem where l_linestatus = 'F' group by l_orderkey) group by ec_key")
+def ec_counts_parts(spark, sf_dir):
+    """Classes over thousands of loci (parts), counted by fingerprints."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("read_id"), "l_partkey")
+    return collapse.count_by_prints(lines, ["read_id"], "l_partkey")
+
+
 @query("select ec_id, target, hap, v from a where ec_id in (select ec_id from n where sample < 5)", _LINES)
 def pull_alignments(spark, sf_dir):
     a, n = read_incidence(spark, sf_dir)

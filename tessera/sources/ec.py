@@ -14,7 +14,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMAS = {
@@ -100,9 +99,11 @@ class EcReader(DataSourceReader):
                 f.seek(offset + 4 * low)
                 ids, counts = np.arange(low, high), np.fromfile(f, "<i4", high - low)
                 return pa.RecordBatch.from_arrays([whole(ids), whole(np.zeros(high - low)), whole(counts)], ["ec_id", "sample_idx", "n"])
-            f.seek(offset)
-            indptr = np.fromfile(f, "<i4", size)
-            major = np.searchsorted(indptr, np.arange(low, high), side="right") - 1
+            # only the pages that the search meets are read
+            indptr = np.memmap(self.path, "<i4", "r", offset, (size,))
+            first = np.searchsorted(indptr, low, side="right") - 1
+            last = np.searchsorted(indptr, high - 1, side="right")
+            major = np.searchsorted(indptr[first : last + 1], np.arange(low, high), side="right") - 1 + first
             f.seek(offset + 4 * (size + low))
             minor = np.fromfile(f, "<i4", high - low)
             f.seek(offset + 4 * (size + nnz + low))
@@ -128,15 +129,3 @@ def read_ec(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """All tables of a class file."""
     spark.dataSource.register(EcSource)
     return {t: spark.read.format("tessera_ec").option("table", t).load(path) for t in SCHEMAS}
-
-
-def merge_ec(files: list[dict[str, DataFrame]]) -> DataFrame:
-    """(ec_key, sample, n) of several class files, matched by target, haplotype and sample names."""
-    parts = []
-    for t in files:
-        keyed = t["a"].join(t["targets"], "target_idx").groupBy("ec_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "target", F.col("mask").cast("string")))), ",").alias("ec_key"))
-        parts.append(keyed.join(t["n"], "ec_id").join(t["samples"], "sample_idx").select("ec_key", "sample", "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("ec_key", "sample").agg(F.sum("n").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import bits
 from tessera.model import Profile
-from tessera.operators import algebra, classes, incidence, network, summary
+from tessera.operators import algebra, classes, collapse, incidence, network, summary
 from tessera.queries import ORACLE, QUERIES
 from tessera.sinks.bam import block_of, split_bam
 from tessera.sinks.ec import write_ec, write_read_samples, write_samples, write_viewer
@@ -295,7 +295,9 @@ def test_class_file_round_trip(spark, tmp_path):
     write_ec(path, made, 3)
     back = ec.read_ec(spark, path)
     assert all(rows(back[t]) == rows(made[t]) for t in made)
-    assert rows(ec.merge_ec([back, back])) == [("T1:3,Tä:1", "s0", 8), ("Tä:2", "s2", 18)]
+    both = Profile.merge([Profile.of_classes(back)] * 2)
+    assert rows(both.n) == [(0, "s0", 8), (1, "s2", 18)] and rows(collapse.named_keys(both.a)) == [(0, "T1:A,T1:B,Tä:A"), (1, "Tä:B")]
+    assert rows(both.class_tables()["a"]) == [(0, 0, 3), (0, 1, 1), (1, 1, 2)]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

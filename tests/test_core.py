@@ -300,6 +300,127 @@ def test_class_file_round_trip(spark, tmp_path):
     assert rows(both.class_tables()["a"]) == [(0, 0, 3), (0, 1, 1), (1, 1, 2)]
 
 
+def test_profile_of_a_single_sample(spark, bam_file, tmp_path):
+    """Fixture A from the file to the reports, and through a class file and a folder of tables."""
+    al, refs = bam.read_bam(spark, bam_file), bam.read_refs(spark, bam_file)
+    p = Profile.of_alignments(al, refs, sample="s").checked()
+    keys = {r.ec_id: r.ec_key for r in collapse.named_keys(p.a).collect()}
+    assert keys == {0: "T1:A,T1:B", 1: "T2:A", 2: "T1:B"} and rows(p.n) == [(0, "s", 2), (1, "s", 1), (2, "s", 1)]  # first seen first
+    assert rows(p.targets) == [("T1", 0), ("T2", 1)] and rows(p.lengths) == [("T1", "A", 100), ("T1", "B", 101), ("T2", "A", 200), ("T2", "B", 201)]
+    tables = p.class_tables()
+    assert rows(tables["a"]) == [(0, 0, 3), (1, 1, 1), (2, 0, 2)]
+    write_ec(str(tmp_path / "a.ec"), tables, 3)
+    again = Profile.of_classes(ec.read_ec(spark, str(tmp_path / "a.ec")))
+    assert rows(again.a.select("ec_id", "target", "hap")) == rows(p.a.select("ec_id", "target", "hap")) and rows(again.n) == rows(p.n)
+    report = summary.alignment_report(p.a, p.n, ["A", "B"], p.targets)
+    assert rows(report) == [("T1", 2.0, 3.0, 0.0, 1.0, 3), ("T2", 1.0, 0.0, 1.0, 0.0, 1)]
+    assert {r.ec_key: r.n for r in Profile.of_alignments(al, refs, sample="s", adjacent=True).n.join(collapse.named_keys(p.a), "ec_id").collect()} == {"T1:A,T1:B": 2, "T2:A": 1, "T1:B": 1}
+    whole = p.with_groups(spark.createDataFrame([("g1", "T1"), ("g2", "T2")], "gene string, target string"))
+    whole.save(str(tmp_path / "p"))
+    back = Profile.load(spark, str(tmp_path / "p"))
+    assert set(back.tables()) == {"a", "n", "targets", "haplotypes", "samples", "lengths", "groups"}
+    assert all(rows(back.tables()[t]) == rows(df) for t, df in whole.tables().items())
+    assert rows(Profile.of_alignments(al, refs, sample="s", listed=spark.createDataFrame([("T2", 0)], "target string, target_idx long")).targets) == [("T1", 1), ("T2", 0)]
+
+
+def test_reads_may_come_back(spark):
+    """r1, r2, r1 are two reads by name and three by adjacency; names end at their first space."""
+    made = [("f", 0, "r1 x", 0), ("f", 1, "r1 y", 1), ("f", 2, "r2", 0), ("f", 3, "r1", 2)]
+    al = spark.createDataFrame([(f, o, q, 0, t, o, -1, -1) for f, o, q, t in made], bam.SCHEMA)
+    refs = spark.createDataFrame([(i, n, size, *n.split("_")) for i, n, size in REFS], "tid int, ref_name string, length int, target string, hap string")
+    counts = lambda **k: {r.ec_key: r.n for p in [Profile.of_alignments(al, refs, sample="s", **k)] for r in p.n.join(collapse.named_keys(p.a), "ec_id").collect()}
+    assert counts() == {"T1:A,T1:B,T2:A": 1, "T1:A": 1}
+    assert counts(adjacent=True) == {"T1:A,T1:B": 1, "T1:A": 1, "T2:A": 1}
+
+
+def test_profile_of_cells(spark):
+    """Fixture B: two files, cells in the names, a minimum count, and the compatible loss of the last reads."""
+    tag = "|||".join
+    reads = [("f1", "q1", "c1", [0]), ("f1", "q2", "c1", [0]), ("f1", "q3", "c2", [0, 2]), ("f2", "q4", "c2", [0, 2]), ("f2", "q5", "c1", [2])]
+    made = [(f, 10 * k + i, tag([q, *"abcdefghijklm", c]), 0, t, 1, -1, -1) for k, (f, q, c, tids) in enumerate(reads) for i, t in enumerate(tids)]
+    al = spark.createDataFrame(made, bam.SCHEMA)
+    refs = spark.createDataFrame([(i, n, size, *n.split("_")) for i, n, size in REFS], "tid int, ref_name string, length int, target string, hap string")
+
+    def counts(**k):
+        p = Profile.of_alignments(al, refs, **k)
+        return rows(p.n.join(collapse.named_keys(p.a), "ec_id").select("ec_key", "sample", "n"))
+
+    assert counts() == [("T1:A", "c1", 2), ("T1:A,T2:A", "c2", 2), ("T2:A", "c1", 1)]
+    assert counts(drop_trailing=True) == [("T1:A", "c1", 2), ("T1:A,T2:A", "c2", 1)]
+    assert counts(minimum=3) == [("T1:A", "c1", 2), ("T2:A", "c1", 1)]
+    assert counts(minimum=3, drop_trailing=True) == []
+    p = Profile.of_alignments(al, refs, minimum=3)
+    assert rows(p.n.select("ec_id").distinct()) == [(0,), (1,)] and rows(p.samples) == [("c1", 0)]
+    with pytest.raises(Exception, match="no cell in plain"):
+        Profile.of_alignments(al.withColumn("qname", F.lit("plain")), refs).n.count()
+
+
+def class_file(spark, haps, targets, samples, a, n):
+    frame = lambda kind, names: spark.createDataFrame(list(enumerate(names)), f"{kind}_idx long, {kind} string")
+    t = {"haplotypes": frame("hap", haps), "targets": frame("target", targets), "samples": frame("sample", samples)}
+    t["lengths"] = spark.createDataFrame([(i, j, 10 * i + j) for i in range(len(targets)) for j in range(len(haps))], "target_idx long, hap_idx long, length long")
+    return Profile.of_classes(t | {"a": spark.createDataFrame(a, "ec_id long, target_idx long, mask long"), "n": spark.createDataFrame(n, "ec_id long, sample_idx long, n long")})
+
+
+def test_merge_by_name(spark):
+    """Orders of names differ; the second file's class 2 and the first's class 3 have no rows."""
+    one = class_file(spark, ["A", "B"], ["T1", "T2"], ["s", "t"], [(0, 0, 1), (1, 1, 1), (2, 0, 3)], [(0, 0, 5), (1, 0, 6), (2, 1, 7), (3, 0, 8)])
+    two = class_file(spark, ["B", "A", "C"], ["T2", "T1", "a:b,c"], ["t"], [(0, 1, 2), (1, 1, 1), (3, 2, 4)], [(0, 0, 10), (1, 0, 20), (2, 0, 30), (3, 0, 40)])
+    p = Profile.merge([one, two]).checked()
+    named = p.n.join(collapse.named_keys(p.a), "ec_id", "left").select("ec_key", "sample", "n")
+    assert rows(named) == sorted([("T1:A", "s", 5), ("T1:A", "t", 10), ("T2:A", "s", 6), ("T1:A,T1:B", "t", 7), (None, "s", 8), (None, "t", 30), ("T1:B", "t", 20), (r"a\:b\,c:C", "t", 40)], key=str)
+    assert rows(p.haplotypes) == [("A", 0), ("B", 1), ("C", 2)] and rows(p.targets) == [("T1", 0), ("T2", 1), ("a:b,c", 2)] and rows(p.samples) == [("s", 0), ("t", 1)]
+    assert [r.ec_id for r in p.n.select("ec_id").distinct().orderBy("ec_id").collect()] == [0, 1, 2, 3, 4, 5]
+    assert rows(p.lengths.where("target = 'T1'")) == [("T1", "A", 0), ("T1", "B", 1), ("T1", "C", 12)]
+    back = Profile.of_classes(p.class_tables())
+    assert rows(back.a) == rows(p.a)
+
+
+@pytest.mark.parametrize("hashed", [collapse.lanes, lambda *c: [F.lit(1).cast("long")] * 2])
+def test_recollapse(spark, hashed):
+    """Also when all rows share one hash, so that only the comparison of rows tells classes apart."""
+    a = spark.createDataFrame([(1, "T", "A", 1.0), (2, "T", "A", 1.0), (3, "T", "B", 1.0), (4, "T", "A", 2.0), (5, "T", "A", 1.0), (5, "U", "A", 1.0), (6, "U", "A", 1.0), (6, "T", "A", 1.0), (9, "T", "A", 0.0)], "ec_id long, target string, hap string, v double")
+    n = spark.createDataFrame([(k, s, k) for k in (1, 2, 3, 4, 5, 6, 7, 8, 9) for s in ("x", "y")], "ec_id long, sample string, n long")
+    kept, counts = collapse.recollapse(a, n, hashed)
+    assert rows(counts) == sorted([(e, s, k) for e, k in {1: 3, 3: 3, 4: 4, 5: 11, 7: 24}.items() for s in ("x", "y")], key=str)
+    assert rows(kept) == [(1, "T", "A", 1.0), (3, "T", "B", 1.0), (4, "T", "A", 2.0), (5, "T", "A", 1.0), (5, "U", "A", 1.0)]
+    assert rows(collapse.recollapse(a.limit(0), n.limit(0))[1]) == []
+
+
+def test_prints_equal_sets(spark):
+    made = [(k % 90, f"n{(k * k) % 23}") for k in range(400)] * 2
+    al = spark.createDataFrame(made, "read long, tid string")
+    want = rows(classes.count_classes(classes.read_sets(al, ["read"])).select("ec_key", "n"))
+    assert rows(collapse.count_by_prints(al, ["read"])) == want
+    plan = collapse.count_by_prints(al, ["read"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_ordinals_run_in_the_jvm(spark, kind):
+    made = [(f"k{(7 * k) % 50:02}", 1000 - k) for k in range(300)]
+    df = spark.createDataFrame(made, "key string, o long").select("key", F.col("o").cast(kind).alias("o"))
+    index = classes.dense_index(df, "key", "o", "idx")
+    first = {}
+    for k, o in made:
+        o = str(o) if kind == "string" else o
+        first[k] = min(first.get(k, o), o)
+    assert rows(index) == sorted([(k, i) for i, k in enumerate(sorted(first, key=lambda k: (first[k], k)))], key=str)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "RDD" not in plan
+    assert classes.dense_index(df.limit(0), "key", "o", "idx").count() == 0
+
+
+def test_pairs_of_large_classes(spark):
+    """A class of 1,500 genes in blocks of 100, beside small ones, gives the pairs of the plain product."""
+    b = spark.range(1500).select(F.lit(1).alias("ec_id"), F.concat(F.lit("g"), "id").alias("gene")).unionByName(spark.createDataFrame([(2, "g1"), (2, "g2"), (3, "g2"), (4, "g1"), (4, "g2")], "ec_id int, gene string"))
+    n = spark.createDataFrame([(1, "s", 3), (2, "s", 5), (3, "t", 7), (4, "t", 1)], "ec_id int, sample string, n long")
+    got = network.shared_reads(b, n, block=100)
+    assert got.count() == 1500 * 1500 and got.agg(F.sum("read_count")).first()[0] == 3 * 1500 * 1500 + 6 * 4 + 7
+    assert network.shared_reads(b, n).exceptAll(got).isEmpty()
+    assert network.shared_reads_by(b, n, block=100).exceptAll(network.shared_reads_by(b, n)).isEmpty()
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()

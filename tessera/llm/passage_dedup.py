@@ -26,8 +26,8 @@ from .store import broadcast_if_small, discard, distilled, fields, fresh_path, m
 from .suffix_groups import neighbour_lcps, suffix_array
 
 LEAST = 400
-#: Distinct surroundings of one core that a task sorts together; more are split by a longer core.
-GROUP = 1000
+#: Distinct surroundings of one core that a task sorts together (less than 1 MB); more are split by a longer core.
+GROUP = 4096
 #: Symbols sorted at once; a group is never cut.
 SORTED = 1 << 15
 PIECE = 1 << 22  # bytes of a long text that are hashed at once
@@ -152,7 +152,10 @@ def _split_large(groups: DataFrame, slack: int, most: int) -> DataFrame:
             "row", "at", F.xxhash64("core", F.expr("substring(behind, 1, room - near)"), F.lit(2)).alias("core"), "n",
             F.expr("substring(before, greatest(1, length(before) - near + 1), near)").alias("before"), F.expr("substring(behind, room - near + 1)").alias("behind"), F.col("near").alias("room"), (F.col("size") + F.col("room") - F.col("near")).alias("size"),
         )
-        groups = materialize(back.unionByName(forth), "longer_cores")
+        longer = materialize(back.unionByName(forth), "longer_cores")
+        # most surroundings differ soon: what is alone under its longer core shares no passage any more
+        shared = materialize(longer.groupBy("core").agg(F.count("*").alias("_n")).where("_n > 1").select("core"), "shared_cores")
+        groups = longer.join(broadcast_if_small(shared, 16), "core", "left_semi")
 
 
 def _shared(strings: list[bytes]) -> int:

@@ -26,10 +26,12 @@ WINDOW = 5
 MARKS = "#*$%&|<>"
 #: A vote is keep within NEAR scales of the table's median, and drop beyond FAR.
 NEAR, FAR = 2, 6
-#: The largest log-likelihood ratios of a single drop and keep vote, and of the class a priori:
-#: a rule knows its own fault when it sees it, but that the fault is missing says little.  So
-#: one fault doesn't condemn a document that is otherwise as most are, and two do.
-DROP_LIMIT, KEEP_LIMIT, PRIOR_LIMIT = 3.0, 0.25, 2.0
+#: The largest log-likelihood ratios of a single drop and keep vote: a rule knows its own fault
+#: when it sees it, but that the fault is missing says little.  The log-odds of good a priori
+#: are as large as one drop vote, so that one fault doesn't condemn a document that is
+#: otherwise as most are, and two that surely mark bad ones do.
+DROP_LIMIT, KEEP_LIMIT = 2.0, 0.1
+PRIOR = DROP_LIMIT
 #: Values are counted in thousandths, up to this one.
 TOP = 100_000
 
@@ -132,10 +134,10 @@ def rule_votes(middles: dict[str, tuple[int, int]]) -> dict[str, Column]:
     return {k: vote(v, side, *middles[k]) for k, (v, side, _) in rules().items()}
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[dict[int, float]]]:
-    """EM over counted vote patterns: the log-odds of good a priori, and for each
-    rule the log-likelihood ratio of good against bad for each vote (0 for abstaining,
-    which says nothing about the class); ratios are bounded by the limits above.
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> list[dict[int, float]]:
+    """EM over counted vote patterns: for each rule the log-likelihood ratio of good
+    against bad for each vote (0 for abstaining, which says nothing about the class),
+    bounded by the limits above.
 
     Starts from taking documents with two drop votes or more as bad.  A rule is taken to
     be right more often than wrong: a drop vote never speaks for a document, a keep vote
@@ -144,25 +146,23 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> t
     """
     width = len(patterns[0][0]) if patterns else len(rules())
     good = [1 / (1 + math.exp(-2.0 * (1.5 - v.count(-1)))) for v, _ in patterns]
-    prior, ratios = 0.0, [dict.fromkeys((-1, 0, 1), 0.0) for _ in range(width)]
+    ratios = [dict.fromkeys((-1, 0, 1), 0.0) for _ in range(width)]
     for _ in range(rounds):
-        n1, n0 = (sum(g * n for g, (_, n) in zip(good, patterns, strict=True)), sum((1 - g) * n for g, (_, n) in zip(good, patterns, strict=True)))
-        prior = max(-PRIOR_LIMIT, min(PRIOR_LIMIT, math.log((n1 + 1) / (n0 + 1))))
         for j in range(width):
             a, b = ({x: sum((g if side else 1 - g) * n for g, (v, n) in zip(good, patterns, strict=True) if v[j] == x) for x in (-1, 1)} for side in (1, 0))
             for vote in (-1, 1):
                 ratio = math.log((a[vote] + 1) / (a[-1] + a[1] + 2)) - math.log((b[vote] + 1) / (b[-1] + b[1] + 2))
                 ratios[j][vote] = min(KEEP_LIMIT if vote > 0 else DROP_LIMIT, max(0.0, ratio * vote)) * vote
-        good = [1 / (1 + math.exp(-max(-60.0, min(60.0, prior + sum(r[x] for r, x in zip(ratios, v, strict=True)))))) for v, _ in patterns]
-    return prior, ratios
+        good = [1 / (1 + math.exp(-max(-60.0, min(60.0, PRIOR + sum(r[x] for r, x in zip(ratios, v, strict=True)))))) for v, _ in patterns]
+    return ratios
 
 
 def _posterior(voted: DataFrame) -> Column:
     """Probability of the good class from the vote columns, estimated on all rows of `voted` that pass the base rules."""
     names = [f"vote_{k}" for k in rules()]
     counted = voted.where(~F.col("base_failed")).groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(names) rows
-    prior, ratios = estimate(sorted((tuple(r[:-1]), r["n"]) for r in counted))
-    odds = F.lit(prior)
+    ratios = estimate(sorted((tuple(r[:-1]), r["n"]) for r in counted))
+    odds = F.lit(PRIOR)
     for name, ratio in zip(names, ratios, strict=True):
         odds = odds + F.when(F.col(name) == -1, ratio[-1]).when(F.col(name) == 0, ratio[0]).otherwise(ratio[1])
     return 1 / (1 + F.exp(-odds))

@@ -139,6 +139,17 @@ class Stream:
             n -= step
         return n
 
+    def line(self) -> bytes:
+        """The next line without its end; empty at the file's end."""
+        out = []
+        while self.at < len(self.data) or self.more():
+            k = self.data.find(b"\n", self.at)
+            out.append(self.data[self.at : k if k >= 0 else len(self.data)])
+            self.at += len(out[-1]) + (k >= 0)
+            if k >= 0:
+                break
+        return b"".join(out).removesuffix(b"\r")
+
     def size_of_record(self) -> int:
         raw = self.take(4)
         if len(raw) < 4 or (size := struct.unpack("<i", raw)[0]) < 32:
@@ -226,21 +237,35 @@ def walk(path: str, start: int, end: int | None) -> tuple[int | None, int, bytes
 RANGE = "file string, number int, cut bigint, end bigint, start bigint, stop bigint, records bigint, last_name binary"
 
 
-def _walk_task(guess: bool):
+class Bam:
+    """How alignment records are found: where the first one is, a guess behind a place, and a walk."""
+
+    ending, walk = "bam", staticmethod(walk)
+
+    @staticmethod
+    def first(path: str) -> int | None:
+        head = Stream(path)
+        _header(head)
+        return head.offset()
+
+    @staticmethod
+    def guess(path: str, cut: int) -> int | None:
+        return guess_record(path, cut, len(_header(Stream(path))))
+
+
+def _walk_task(guess: bool, form):
     """Adds stop, records and last_name; `start` is guessed, the end of the header or the place given.
     -1 is the file's end."""
 
     def one(path, number, cut, end, start):
         if guess:
-            head = Stream(path)
-            references = len(_header(head))
-            first = head.offset()
-            start = (-1 if first is None else first) if not number else guess_record(path, cut, references)
+            first = form.first(path)
+            start = (-1 if first is None else first) if not number else form.guess(path, cut)
             if first is not None and number and first >> 16 >= cut:
                 start = first  # the header reaches behind the cut
         if start is None:
             return path, number, cut, end, None, None, None, None
-        stop, count, name = (None, 0, None) if start < 0 else walk(path, start, end)
+        stop, count, name = (None, 0, None) if start < 0 else form.walk(path, start, end)
         return path, number, cut, end, start, -1 if stop is None else stop, count, name
 
     def task(batches):
@@ -258,7 +283,7 @@ def _walk_task(guess: bool):
     return task
 
 
-def record_ranges(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+def record_ranges(spark: SparkSession, path: str, split: int = SPLIT, form=Bam) -> DataFrame:
     """(file, number, cut, end, start, stop, records, last_name): ranges of about `split`
     compressed bytes and the virtual offsets at which their records start and stop (-1:
     the file's end), all checked.  A record that fills whole ranges leaves them empty.
@@ -267,13 +292,13 @@ def record_ranges(spark: SparkSession, path: str, split: int = SPLIT) -> DataFra
     such range of a file is right after it, mostly all are after the first round.
     """
     cuts = []
-    for file in files_in(path):
+    for file in files_in(path, form.ending):
         check_file(file)
         size = size_of(file)
         cuts += [(file, k, at, at + split if at + split < size else None, None) for k, at in enumerate(range(0, size, split))]
     columns = "file string, number int, cut bigint, end bigint, start bigint"
     plan = spark.createDataFrame(cuts, columns)
-    ranges = written(plan.repartition(max(1, len(cuts))).mapInArrow(_walk_task(True), RANGE), "ranges")
+    ranges = written(plan.repartition(max(1, len(cuts))).mapInArrow(_walk_task(True, form), RANGE), "ranges")
     w = Window.partitionBy("file").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     reached = 0
     while True:
@@ -294,7 +319,7 @@ def record_ranges(spark: SparkSession, path: str, split: int = SPLIT) -> DataFra
         reached = right
         todo = again.where("_at is not null").select("file", "number", "cut", "end", F.col("_at").alias("start"))
         waiting = again.where("_at is null").select(*ranges.columns)
-        walked = todo.repartition(count).mapInArrow(_walk_task(False), RANGE)
+        walked = todo.repartition(count).mapInArrow(_walk_task(False, form), RANGE)
         new = written(told.where("not wrong").select(*ranges.columns).unionByName(walked).unionByName(waiting), "ranges")
         discard(told)
         discard(ranges)

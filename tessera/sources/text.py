@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import chromosome
 from ..operators.classes import dense_index
+from .bam import SPLIT
+from .fastq import is_blocked, read_blocked_fastq
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -69,8 +71,14 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.trim(c).alias(c) for c in raw.columns])
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, sequence) of a file of four-line records, plain or compressed."""
+def read_fastq(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """(read_id, sequence) of a file of four-line records.
+
+    A plain file is read in Spark's splits, a block-compressed one in exact ranges of
+    about `split` bytes; a file that is one compressed stream can't be cut and is one task.
+    """
+    if is_blocked(path):
+        return read_blocked_fastq(spark, path, split).select("read_id", "sequence")
     lines = numbered_lines(spark, path).withColumn("record", F.expr("line div 4"))
     part = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
     rows = lines.where("line % 4 < 2").groupBy("record").agg(part(0).alias("n"), part(1).alias("sequence"))

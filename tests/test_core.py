@@ -13,7 +13,7 @@ from tessera.operators import algebra, classes, collapse, incidence, network, su
 from tessera.queries import ORACLE, QUERIES
 from tessera.sinks.bam import block_of, split_bam
 from tessera.sinks.ec import write_ec, write_read_samples, write_samples, write_viewer
-from tessera.sources import bam, ec, text
+from tessera.sources import bam, ec, fastq, text
 
 SF = "/root/testdata/sf0.001"
 REFS = [(0, "T1_A", 100), (1, "T1_B", 101), (2, "T2_A", 200), (3, "T2_B", 201)]
@@ -240,6 +240,53 @@ def test_stream_counts(spark, tmp_path):
     assert [r.n for r in spark.table("counted").collect()] == [2]
 
 
+def fastq_bytes(n):
+    """Records whose qualities begin with @ and + and so look like names."""
+    out = []
+    for k in range(n):
+        size = 20 + 7 * (k % 40)
+        out.append(f"@read{k} extra\n{('ACGT' * 80)[k % 3:][:size]}\n+\n{('@+' * 200)[k % 2:][:size]}\n")
+    return "".join(out).encode()
+
+
+@pytest.mark.parametrize("split", [500, 5_000, 1 << 20])
+def test_compressed_fastq_in_ranges(spark, tmp_path, split):
+    data = fastq_bytes(3_000)
+    blocked = b"".join(block_of(data[k : k + 7_001]) for k in range(0, len(data), 7_001)) + bam.END_BLOCK
+    (tmp_path / "x.fastq.gz").write_bytes(blocked)
+    (tmp_path / "plain.fastq").write_bytes(data)
+    got = fastq.read_blocked_fastq(spark, str(tmp_path / "x.fastq.gz"), split)
+    assert split > len(blocked) or got.rdd.getNumPartitions() > 5
+    lines = data.decode().split("\n")
+    want = [(lines[k][1:].split()[0], lines[k + 1], lines[k + 3]) for k in range(0, len(lines) - 1, 4)]
+    assert [tuple(r) for r in got.orderBy("ord").select("read_id", "sequence", "quality").collect()] == want
+    assert rows(text.read_fastq(spark, str(tmp_path / "x.fastq.gz"), split)) == rows(text.read_fastq(spark, str(tmp_path / "plain.fastq"))) == rows(spark.createDataFrame([w[:2] for w in want], "a string, b string"))
+    (tmp_path / "odd.fastq.gz").write_bytes(block_of(data[:-30]) if len(data) < 60_000 else block_of(data[:1000]) + bam.END_BLOCK)
+    with pytest.raises(Exception, match="record|bytes that are none"):
+        fastq.read_blocked_fastq(spark, str(tmp_path / "odd.fastq.gz"), 1 << 20).count()
+
+
+def test_stream_of_reads(spark, tmp_path):
+    """Reads close by watermark, in whatever batches their alignments come; batch and stream agree on `events`."""
+    from tessera.streaming.classes import add_counts, closed_reads, counted
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = spark.read.parquet(f"{SF}/events.parquet").select(F.concat("user_id", F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("qname"), F.col("event_type").alias("locus"), F.col("ts").alias("time"))
+    span = events.agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
+    parts = 4
+    for k in range(parts):  # each read's alignments are spread over the batches of its days
+        low, high = span.a + (span.b - span.a) * k / parts, span.a + (span.b - span.a) * (k + 1) / parts
+        events.where((F.col("time") >= F.lit(low)) & (F.col("time") < F.lit(high)) | (F.lit(k == parts - 1) & (F.col("time") == F.lit(high)))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    end = spark.createDataFrame([("end", "x")], "qname string, locus string").withColumn("time", F.lit(span.b) + F.expr("interval 30 days"))
+    end.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    closed = closed_reads(stream, "qname", "locus", "time", gap="36 hours", late="2 days")
+    q = closed.writeStream.foreachBatch(add_counts(str(tmp_path / "totals"))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = classes.count_classes(classes.read_sets(events, ["qname"], "locus")).select("ec_key", "n")
+    assert rows(counted(spark, str(tmp_path / "totals")).select("ec_key", "n")) == rows(want)
+
+
 def test_multisample(spark):
     reads = [("f1", 0, "q1", "c1", 0), ("f1", 1, "q2", "c1", 0), ("f1", 2, "q3", "c2", 0), ("f1", 3, "q3", "c2", 2), ("f2", 0, "q4", "c2", 0), ("f2", 1, "q4", "c2", 2), ("f2", 2, "q5", "c1", 2)]
     al = spark.createDataFrame(reads, "file string, ord int, qname string, cell string, tid int")

@@ -42,6 +42,12 @@ def number_long_runs(rows: DataFrame, key: str, order: str, group: list[str], sp
     return part.join(ends.select(*group, "_s", "_base"), [*group, "_s"]).withColumn("run", F.col("_base") + F.col("_in")).drop("_s", "_c", "_in", "_base")
 
 
+def number_any_runs(rows: DataFrame, key: str, order: str, group: list[str], span: int, most: int = 1 << 20) -> DataFrame:
+    """number_runs while the largest group, counted first, has at most `most` rows, else number_long_runs."""
+    largest = rows.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return number_runs(rows, key, order, group) if largest <= most else number_long_runs(rows, key, order, group, span)
+
+
 def read_sets(alignments: DataFrame, read: list[str], locus: str = "tid") -> DataFrame:
     """One row per read: `ec_key`, its distinct loci as text in string order, joined by commas.
 

@@ -54,19 +54,19 @@ def normalize(a: DataFrame, axis: str, groups: DataFrame | None = None) -> DataF
 def alignment_report(a: DataFrame, n: DataFrame, haplotypes: list[str], targets: DataFrame) -> DataFrame:
     """locus, aln_<hap>..., uniq_<hap>..., locus_uniq for every target.
 
-    Each class is brought together once with its counts: whether it hits one
-    target, or one target and haplotype, is told by smallest and largest
-    coordinates beside its rows, so incidence and counts are read once.
+    Smallest and largest coordinates tell whether a class hits one target, or one target
+    and haplotype; they are joined back to the incidence by class, so all buffers have a
+    fixed size.
     """
     total = n.groupBy("ec_id").agg(F.sum("n").alias("n"))
-    classes = a.where("v <> 0").groupBy("ec_id").agg(F.min("target").alias("t"), F.max("target").alias("u"), F.min("hap").alias("h"), F.max("hap").alias("i"), F.collect_list(F.struct("target", "hap", "v")).alias("hits"))
-    classes = classes.join(total, "ec_id").withColumn("one", F.col("t") == F.col("u")).withColumn("alone", F.col("one") & (F.col("h") == F.col("i")))
-    hits = classes.select("n", "one", "alone", F.posexplode("hits").alias("k", "x"))
-    weight = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("x.v") * F.col("n"))), F.lit(0.0))
-    columns = [weight(F.col("x.hap") == h).alias(f"aln_{h}") for h in haplotypes] + [weight((F.col("x.hap") == h) & F.col("alone")).alias(f"uniq_{h}") for h in haplotypes]
-    # a class of one target counts once for it, at its first row
-    locus = F.coalesce(F.sum(F.when(F.col("one") & (F.col("k") == 0), F.col("n"))), F.lit(0)).alias("locus_uniq")
-    found = hits.groupBy(F.col("x.target").alias("target")).agg(*columns, locus)
+    cells = a.where("v <> 0")
+    flags = cells.groupBy("ec_id").agg(F.min("target").alias("t"), F.max("target").alias("u"), F.min("hap").alias("h"), F.max("hap").alias("i")).join(total, "ec_id")
+    hits = cells.join(flags, "ec_id").withColumn("one", F.col("t") == F.col("u")).withColumn("alone", F.col("one") & (F.col("h") == F.col("i")))
+    weight = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("v") * F.col("n"))), F.lit(0.0))
+    columns = [weight(F.col("hap") == h).alias(f"aln_{h}") for h in haplotypes] + [weight((F.col("hap") == h) & F.col("alone")).alias(f"uniq_{h}") for h in haplotypes]
+    # a class of one target counts once for it, at its first haplotype
+    locus = F.coalesce(F.sum(F.when(F.col("one") & (F.col("hap") == F.col("h")), F.col("n"))), F.lit(0)).alias("locus_uniq")
+    found = hits.groupBy("target").agg(*columns, locus)
     return targets.select("target").join(found, "target", "left").na.fill(0).withColumnRenamed("target", "locus")
 
 

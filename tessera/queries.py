@@ -9,7 +9,7 @@ from .functions import bits
 from .model import Profile
 from .operators import algebra, classes, collapse, incidence, network, summary
 from .plans.adapters import line_alignments, line_incidence, part_genes, read_incidence, table
-from .sources.text import name_differences
+from .sources.text import all_targets, name_differences
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -113,7 +113,8 @@ def total_counts(spark, sf_dir):
     select *, (coalesce(user_id <> lag(user_id) over (partition by event_type order by event_id), false))::int as c from events)) group by user_id, run"""
 )
 def read_runs(spark, sf_dir):
-    runs = classes.number_long_runs(table(spark, sf_dir, "events"), "user_id", "event_id", ["event_type"], RUN_SPAN)
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    runs = classes.number_any_runs(events, "user_id", "event_id", ["event_type"], RUN_SPAN)
     return classes.read_sets(runs, ["user_id", "run"], "event_type")
 
 
@@ -600,3 +601,85 @@ def virtual_offset(spark, sf_dir):
 @query("select event_id, user_id as encoded, len(list_filter(range(0, 63), lambda i: (user_id >> i) & 1 = 1)) as ones from events")
 def mask_encode(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", bits.encode_bits(bits.decode_bits(F.col("user_id"), 40)).alias("encoded"), F.size(bits.set_bits(F.col("user_id"))).cast("long").alias("ones"))
+
+
+# single operators on columns made from the tables
+
+
+@query(
+    """select flag, tid, count(*) as n from (select l_linenumber * 37 % 256 as flag, l_partkey % 50 as tid, l_suppkey % 50 as mate_tid, l_quantity::int - 2 as mate_pos from lineitem)
+where flag & 4 = 0 and (flag & 1 = 0 or (flag & 128 = 0 and flag & 2 <> 0 and tid = mate_tid and mate_pos >= 0)) group by flag, tid"""
+)
+def valid_mates(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") * 37 % 256).alias("flag"), (F.col("l_partkey") % 50).alias("tid"), (F.col("l_suppkey") % 50).alias("mate_tid"), (F.col("l_quantity").cast("int") - 2).alias("mate_pos"))
+    return classes.valid_alignments(lines).groupBy("flag", "tid").agg(F.count("*").alias("n"))
+
+
+@query("select case when instr(q, ' ') > 1 then split_part(q, ' ', 1) else q end as name, count(*) as n from (select case when event_id % 9 = 0 then ' ' else '' end || event_type || ' ' || user_id as q from events) group by name")
+def read_names(spark, sf_dir):
+    names = table(spark, sf_dir, "events").select(F.concat(F.when(F.col("event_id") % 9 == 0, " ").otherwise(""), "event_type", F.lit(" "), F.col("user_id").cast("string")).alias("q"))
+    return names.groupBy(bits.read_name(F.col("q")).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("select distinct ec_key as ec_id, target, substr(target, 7, 1) as hap, 1.0::double as v from (select ec_key, unnest(string_split(ec_key, ',')) as target from (select distinct ec_key from s))", _LINES, _SETS)
+def class_incidence(spark, sf_dir):
+    """Classes joined with the references that their keys name."""
+    counts = _counted(spark, sf_dir, []).withColumn("ec_id", F.col("ec_key"))
+    refs = table(spark, sf_dir, "part").select(F.col("p_brand").alias("tid"), F.col("p_brand").alias("target"), F.substring("p_brand", 7, 1).alias("hap")).distinct()
+    return incidence.incidence(counts, refs)
+
+
+@query(
+    """select target, (row_number() over (order by k, o) - 1)::bigint as target_idx from (
+  select target, min(k) as k, min(o) filter (where k = first) as o from (select *, min(k) over (partition by target) as first from (
+    select p_name as target, 0 as k, p_partkey as o from part where p_size < 10 union all select p_name, 1, p_partkey from part)) group by target)"""
+)
+def targets_in_order(spark, sf_dir):
+    """Listed targets first, then those that only the header has."""
+    part = table(spark, sf_dir, "part")
+    listed = part.where("p_size < 10").select(F.col("p_name").alias("target"), F.col("p_partkey").alias("target_idx"))
+    return all_targets(listed, part.select(F.col("p_name").alias("target"), F.col("p_partkey").alias("tid")))
+
+
+@query("select event_id, printf('%02d:%02d:%05.2f', s // 360000, s // 6000 % 60, (s % 6000) / 100.0) as elapsed from (select event_id, event_id * 12525 as s from events)")
+def elapsed_time(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", bits.elapsed(F.col("event_id") * F.lit(125.25)).alias("elapsed"))
+
+
+@query(
+    """select ec_id, target, hap, sum(v) as v from (select * from a union all select ec_id, target, h.hap, 2.0::double from (select distinct ec_id, target from b) cross join (select unnest(['A', 'N', 'R']) as hap) h) group by all""",
+    _LINES,
+    "b as (select distinct read_id as ec_id, target, hap, 2.0::double as v from al where l_linestatus = 'O')",
+)
+def add_plane(spark, sf_dir):
+    """A matrix without haplotypes, added to every haplotype."""
+    plane = _other(spark, sf_dir).select("ec_id", "target", "v").distinct()
+    return algebra.add(line_incidence(spark, sf_dir), plane, _haplotypes(spark))
+
+
+@query("select p_partkey as gene_id, p_size / 2.0 + p_partkey as mid_pos from part where p_size % 7 <> 0")
+def plot_without_m(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    genes = part.select(F.col("p_partkey").alias("gene_id"), F.when(F.col("p_size") % 7 == 0, "M").otherwise(F.col("p_type")).alias("chr"), F.col("p_partkey").alias("start_pos"), (F.col("p_partkey") + F.col("p_size")).alias("end_pos"), F.lit(10).alias("read_count"))
+    return network.plotted(genes).select("gene_id", "mid_pos")
+
+
+@query(
+    """select ec_key, sample, count(*) as n from (
+  select l_orderkey, string_agg(distinct p_brand || ':' || l_returnflag, ',' order by p_brand || ':' || l_returnflag) as ec_key, 's' as sample
+  from lineitem join part on l_partkey = p_partkey where l_linestatus = 'F' group by l_orderkey) group by ec_key, sample"""
+)
+def profile_of_lines(spark, sf_dir):
+    """The whole way from alignments and a header's references to a checked profile, by name."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    names = part.select("p_brand").distinct().crossJoin(spark.createDataFrame([(h,) for h in HAPS], "hap string"))  # brands x 3
+    refs = names.select(F.concat_ws("_", "p_brand", "hap").alias("ref_name")).withColumns({"target": bits.target_of(F.col("ref_name")), "hap": bits.haplotype_of(F.col("ref_name")), "length": F.lit(100)})
+    refs = classes.dense_index(refs.withColumn("_o", F.col("ref_name")), "ref_name", "_o", "tid").join(refs, "ref_name").withColumn("tid", F.col("tid").cast("int"))
+    lines = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = lines.join(refs.select("ref_name", "tid"), F.concat_ws("_", "p_brand", "l_returnflag") == F.col("ref_name"))
+    alignments = lines.select(
+        F.lit("f").alias("file"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit(" "), F.col("l_linenumber").cast("string")).alias("qname"),
+        F.when(F.col("l_linestatus") == "F", 0).otherwise(4).alias("flag"), "tid", F.col("l_suppkey").cast("int").alias("pos"), F.lit(-1).alias("mate_tid"), F.lit(-1).alias("mate_pos"),
+    )
+    p = Profile.of_alignments(alignments, refs, sample="s").checked()
+    return p.n.join(collapse.named_keys(p.a), "ec_id").select("ec_key", "sample", "n")

@@ -3,15 +3,17 @@
 Fixed patterns with validators give the base spans.  High-recall generators
 propose further, overlapping spans; boosted trees score them from format and
 context, and a threshold per kind, calibrated for precision, selects what is
-redacted besides.
+redacted besides.  The trees learn from lines made by rule (pii_examples), in which it
+is known what is personal data and what only looks like it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import boosting
+from .pii_examples import examples
 from .store import fields, materialize, numbered, unnumbered
 
 SPAN = "array<struct<start:int,end:int,context:string,value:string>>"
@@ -65,11 +67,20 @@ _PROPOSED_NEEDS = {
     "local": r"[0-9]{3}[ .-][0-9]{4}", "digits": r"[0-9]{4}[ -]?[0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2}",
 }
 KINDS = list(PROPOSED)
-CUES = r"(?i)(?:token|secret|key|passw(?:or)?d|pwd|auth|ssn|social|card|visa|account|iban|phone|tel|call|fax)[^A-Za-z0-9]{1,6}$"
-FEATURES = ("kind", "length", "digits", "letters", "cue", "quoted")
-PRECISION = 0.9
-#: One value in HELD_OUT calibrates instead of training, in kinds with at least LEAST_HELD such candidates.
-HELD_OUT, LEAST_HELD = 5, 20
+#: What the characters before a candidate say, first that fits; its place from 1 is the feature.
+CONTEXTS = [
+    r"(?i)(?:token|secret|key|passw(?:or)?d|pass|pwd|auth|bearer|credentials?)[a-z_]{0,4}(?: is)?[^A-Za-z0-9]{1,6}$",
+    r"(?i)(?:https?:|www\.)[^\s]*$|[A-Za-z0-9]/$",
+    r"(?i)(?:commit|sha-?[0-9]*|md5|checksum|etag|hash|rev(?:ision)?|uuid|guid|digest|build|version|trace|request|session|id|object|blob)[^A-Za-z0-9]{1,6}$",
+    r"(?i)(?:phone|tel|call|fax|mobile|cell|reach me at)[^A-Za-z0-9]{0,4}$",
+    r"(?i)(?:ssn|social(?: security)?|tax id|card|visa|account|iban)(?: (?:number|no))?(?: is)?[^A-Za-z0-9]{1,4}$",
+    r"(?i)(?:order|part|no|serial|ref|invoice|item|isbn|sku|case|ticket|article)[^A-Za-z0-9]{1,6}$",
+]
+FEATURES = ("kind", "length", "digits", "letters", "shape", "context", "quoted", "entropy", "evidence")
+NOMINAL = frozenset(FEATURES.index(f) for f in ("kind", "letters", "shape", "context"))
+PRECISION = 0.97
+#: Examples, and the parts in which they are scored by trees that haven't seen them.
+EXAMPLES, FOLDS = 6000, 3
 _SSN = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
 _LOCAL_NUMBER = r"^[2-9][0-9]{2}(?![0-9]11)[2-9][0-9]{6}$"
 
@@ -176,15 +187,21 @@ def _candidates(text: Column) -> Column:
             before = s["context"]
             digits = F.length(_digits(value))
             letters = F.when(value.rlike("[a-z]"), 1).otherwise(0) + F.when(value.rlike("[A-Z]"), 2).otherwise(0)
+            uuid = value.rlike("(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+            context = F.lit(0)
+            for k, cue in reversed(list(enumerate(CONTEXTS, 1))):
+                context = F.when(before.rlike(cue), k).otherwise(context)
             feature = {
                 "kind": F.lit(KINDS.index(kind)),
                 "length": F.when(size <= 12, 0).when(size <= 16, 1).when(size <= 20, 2).when(size <= 32, 3).when(size <= 64, 4).otherwise(5),
                 "digits": F.floor(5 * digits / size).cast("int"),
                 "letters": letters,
-                "cue": before.rlike(CUES).cast("int"),
+                # names of words between marks, and long runs of letters, are rarely drawn at random
+                "shape": F.when(uuid, 1).when(value.rlike("^[0-9a-fA-F]+$"), 2).when(value.rlike("[a-z]{3,}[_-][a-z]{3,}|^[a-z]{4,}[_-]?[0-9]+$"), 3).otherwise(0),
+                "context": context,
                 "quoted": before.rlike("[\"'=:]\\s?$").cast("int"),
+                "entropy": F.least(F.floor(2 * entropy(value)), F.lit(10)),
                 "evidence": _evidence(kind, value),
-                "held": F.crc32(value.cast("binary")) % HELD_OUT == 0,
             }
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), *[v.cast("int").alias(k) for k, v in feature.items()])
 
@@ -212,24 +229,21 @@ def _buckets(span: Column) -> Column:
 
 
 def _compared(kept: DataFrame) -> DataFrame:
-    """The candidates, a row each (row, c), with what base spans say: `backed` (a base phone
-    meets a local number, a base card digits) and `blocked` (one is met but not held whole
-    and exceeded).
+    """The candidates, a row each (row, c), with `blocked`: a base span is met but not held whole
+    and exceeded.
 
     Spans meet in stretches of BUCKET characters, so work grows with the text, not
     with pairs of spans.
     """
     one = kept.select("row", F.explode("candidates").alias("c"))
-    base = [kept.select("row", F.lit(k).alias("kind"), F.explode(k).alias("b")) for k in BASE]
-    base = base[0].unionByName(base[1]).unionByName(base[2]).unionByName(base[3])
+    base = kept.select("row", F.explode(F.concat(*BASE)).alias("b"))
     near = one.withColumn("at", _buckets(F.col("c"))).join(base.withColumn("at", _buckets(F.col("b"))), ["row", "at"])
     near = near.where((F.col("c.start") < F.col("b.end")) & (F.col("b.start") < F.col("c.end")))
     holds = (F.col("c.start") <= F.col("b.start")) & (F.col("c.end") >= F.col("b.end")) & (F.col("c.end") - F.col("c.start") > F.col("b.end") - F.col("b.start"))
-    backs = ((F.col("c.kind") == KINDS.index("local")) & (F.col("kind") == "phone")) | ((F.col("c.kind") == KINDS.index("digits")) & (F.col("kind") == "card"))
-    flags = near.groupBy("row", "c.kind", "c.start").agg(F.max(backs.cast("int")).alias("backed"), F.max((~holds).cast("int")).alias("blocked"))
+    flags = near.groupBy("row", "c.kind", "c.start").agg(F.max((~holds).cast("int")).alias("blocked"))
     flags = flags.withColumnsRenamed({"row": "_row", "kind": "_kind", "start": "_start"})
     joined = one.join(flags, (F.col("row") == F.col("_row")) & (F.col("c.kind") == F.col("_kind")) & (F.col("c.start") == F.col("_start")), "left")
-    return joined.select("row", "c", F.coalesce("backed", F.lit(0)).alias("backed"), F.coalesce("blocked", F.lit(0)).alias("blocked"))
+    return joined.select("row", "c", F.coalesce("blocked", F.lit(0)).alias("blocked"))
 
 
 def _islands(spans: DataFrame, *more: Column) -> DataFrame:
@@ -242,22 +256,38 @@ def _islands(spans: DataFrame, *more: Column) -> DataFrame:
     return marked.groupBy("row", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *more).drop("_island")
 
 
-def learn(compared: DataFrame, precision: float) -> tuple[tuple[float, list], list[float]]:
-    """The trees and the threshold of each kind, from counts of equal feature combinations."""
-    positive = F.greatest(F.col("c.evidence"), F.col("backed"))
-    counted = compared.groupBy(*[F.col(f"c.{f}").alias(f) for f in (*FEATURES, "held")]).agg(F.count("*").alias("n"), F.sum(positive).alias("p")).collect()
-    patterns = sorted((tuple(r[:-3]), r["held"], float(r["n"]), float(r["p"])) for r in counted)
-    split = {k for k in range(len(KINDS)) if sum(n for x, held, n, _ in patterns if held and x[0] == k) >= LEAST_HELD}
-    model = boosting.fit([(x, n, p) for x, held, n, p in patterns if not held or x[0] not in split], nominal=frozenset([0, 3]))
-    least = [boosting.threshold([(boosting.predict(model, x), n, p) for x, held, n, p in patterns if x[0] == k and (held or k not in split)], precision) for k in range(len(KINDS))]
-    return model, least
+def learn(spark: SparkSession, precision: float = PRECISION, count: int = EXAMPLES) -> tuple[tuple[float, list], list[float]]:
+    """The trees and the threshold of each kind, from counts of equal feature combinations of `count` examples.
+
+    Thresholds come from scores that trees of the other folds give to a fold.
+    """
+    lines = examples(spark, count)
+    found = lines.select("id", "start", "positive", F.explode(_candidates(F.col("text"))).alias("c"))
+    same = found.where(F.col("c.start") == F.col("start"))
+    counted = same.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES], (F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS).alias("fold")).agg(F.count("*").alias("n"), F.sum(F.col("positive").cast("int")).alias("p")).collect()
+    rows = sorted((tuple(r[:-3]), r["fold"], float(r["n"]), float(r["p"])) for r in counted)
+    scored = []
+    for fold in range(FOLDS):
+        part = boosting.fit(_pooled([(x, n, p) for x, f, n, p in rows if f != fold]), nominal=NOMINAL)
+        scored += [(x[0], (boosting.predict(part, x), n, p)) for x, f, n, p in rows if f == fold]
+    model = boosting.fit(_pooled([(x, n, p) for x, _, n, p in rows]), nominal=NOMINAL)
+    return model, [boosting.threshold([s for k, s in scored if k == kind], precision) for kind in range(len(KINDS))]
+
+
+def _pooled(rows: list[boosting.Pattern]) -> list[boosting.Pattern]:
+    out: dict[tuple[int, ...], list[float]] = {}
+    for x, n, p in rows:
+        sums = out.setdefault(x, [0.0, 0.0])
+        sums[0] += n
+        sums[1] += p
+    return [(x, n, p) for x, (n, p) in sorted(out.items())]
 
 
 def _find(docs: DataFrame, precision: float) -> DataFrame:
     """row, doc_id, base and added of find_personal_data for rows (row, doc_id, text)."""
     kept = materialize(spans_of(docs), "spans")
     compared = materialize(_compared(kept), "candidates")
-    model, least = learn(compared, precision)
+    model, least = learn(docs.sparkSession, precision)
 
     proved = (F.col("c.kind") == KINDS.index("iban")) & (F.col("c.evidence") == 1)
     score = F.when(proved, 2.0).otherwise(boosting.expression(model, [F.col(f"c.{f}") for f in FEATURES]))
@@ -280,14 +310,12 @@ def find_personal_data(docs: DataFrame, precision: float = PRECISION) -> DataFra
     """One row per row of `docs` (doc_id, text): doc_id, base (array of kind, start, end by
     kind as in BASE, then start), added (the selected candidates, by start).
 
-    Offsets are code points, ends exclusive.  The trees learn from the table's
-    candidates.  A candidate counts as positive by evidence that is no feature: an
-    account number by its country's length and check digits, a social security number
-    by the rules for area and group, a card by the Luhn check, a local number by the
-    numbering plan or as part of a base phone, a secret by the entropy and the mixture of
-    its characters.  Cue words such as "token =" before it are a feature only.  Candidates
-    whose value falls in the held-out part by its hash set the thresholds and aren't
-    learned from; a kind with few of them uses all its candidates for both.  An account
+    Offsets are code points, ends exclusive.  The trees learn from lines made by rule,
+    with personal data after cue words and without, and with what only looks like it:
+    digests of commits, identifiers in addresses, names of words, part numbers.
+    Features are the format of a candidate, what stands before it and whether the value
+    itself speaks for its kind (check digits, number rules, entropy).  Thresholds come from
+    examples that the trees haven't seen.  An account
     number that passes its check is selected in any case.  A candidate that overlaps a base
     span is selected only when it holds all of that span and more.  Selected candidates that
     overlap become one span, with the kind of the best.  Counts of equal feature

@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A join side is broadcast only when its counted rows times their width stay under this.
 BROADCAST_BYTES = 32 << 20
-_scopes: list[list[str]] = []
+#: What `materialize` has written inside the innermost `scratch` of this thread.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +39,7 @@ def materialize(df: DataFrame, name: str, path: str | None = None, codec: str |
     there, and a lost executor costs no recomputation of what came before.  `codec`
     compresses it otherwise than the session says."""
     path = path or fresh_path(df.sparkSession, name)
-    for made in _scopes[-1:]:
+    if (made := _scope.get()) is not None:
         made.append(path)
     return written(df, path, codec)
 
@@ -91,11 +93,11 @@ def discard(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession):
     """Everything `materialize` writes inside is deleted at the end; write what is to last elsewhere."""
     made: list[str] = []
-    _scopes.append(made)
+    before = _scope.set(made)
     try:
         yield
     finally:
-        _scopes.remove(made)
+        _scope.reset(before)
         for path in made:
             discard(spark, path)
 
@@ -105,7 +107,7 @@ def distilled(spark: SparkSession, build, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     with scratch(spark):
         out = written(build(), path)
-    for made in _scopes[-1:]:
+    if (made := _scope.get()) is not None:
         made.append(path)
     return out
 

@@ -793,6 +793,30 @@ def test_pipeline(spark, docs, texts, ids):
     assert dict(got) == {i: n * len(ids[i]) for i, n in taken.items()}
 
 
+def test_scratch_of_two_threads(spark):
+    """One pipeline's end doesn't delete what another, in a thread of its own, has written."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from tessera.llm.store import materialize, scratch
+
+    both = Barrier(2)
+
+    def work(last: bool):
+        with scratch(spark):
+            both.wait()
+            table = materialize(spark.range(10), "mine")
+            both.wait()
+            if last:
+                both.wait()
+                return table.count()
+        both.wait()
+        return 10
+
+    with ThreadPoolExecutor(2) as pool:
+        assert [f.result() for f in [pool.submit(work, x) for x in (True, False)]] == [10, 10]
+
+
 def test_pipeline_on_the_hard_table(spark, hard, tmp_path):
     hard.write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()

@@ -683,3 +683,13 @@ def profile_of_lines(spark, sf_dir):
     )
     p = Profile.of_alignments(alignments, refs, sample="s").checked()
     return p.n.join(collapse.named_keys(p.a), "ec_id").select("ec_key", "sample", "n")
+
+
+@query("select to_json({gene_id: p_partkey, symbol: p_name})::varchar as json from part")
+def gene_list_json(spark, sf_dir):
+    return network.as_json(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene_id"), F.col("p_name").alias("symbol")))
+
+
+@query("select to_json({sample_id: n_name, file: n_regionkey})::varchar as json from nation")
+def sample_list_json(spark, sf_dir):
+    return network.as_json(table(spark, sf_dir, "nation").select(F.col("n_name").alias("sample_id"), F.col("n_regionkey").alias("file")))

@@ -6,7 +6,7 @@ import shutil
 import struct
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.network import check_keys
@@ -75,6 +75,14 @@ def write_viewer(path: str, totals: DataFrame, edges: DataFrame, genes: DataFram
     write_tables({"gene_count_totals": totals, "gene_edge": edges, "gene_info": genes, "sample": samples}, path)
 
 
+VIEWER = ("gene_count_totals", "gene_edge", "gene_info", "sample")
+
+
+def read_viewer(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The four tables that write_viewer wrote."""
+    return {t: spark.read.parquet(f"{path}/{t}") for t in VIEWER}
+
+
 def write_read_samples(reads: DataFrame, sample_id: str, path: str) -> None:
     """Append (read_id, sample_id) of one sample's reads (read_id, ...) to a table."""
     reads.select("read_id", F.lit(sample_id).alias("sample_id")).write.mode("append").parquet(path)

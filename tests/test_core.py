@@ -12,7 +12,7 @@ from tessera.model import Profile
 from tessera.operators import algebra, classes, collapse, incidence, network, summary
 from tessera.queries import ORACLE, QUERIES
 from tessera.sinks.bam import block_of, split_bam
-from tessera.sinks.ec import write_ec, write_read_samples, write_samples, write_viewer
+from tessera.sinks.ec import read_viewer, write_ec, write_read_samples, write_samples, write_viewer
 from tessera.sources import bam, ec, fastq, text
 
 SF = "/root/testdata/sf0.001"
@@ -209,6 +209,8 @@ def test_reports_and_keys(spark, tmp_path):
     samples = spark.createDataFrame([("s", "f.bam")], "sample_id string, file string")
     write_viewer(str(tmp_path / "v"), totals, edges, genes, samples)
     assert rows(spark.read.parquet(str(tmp_path / "v" / "gene_edge"))) == rows(edges)
+    back = read_viewer(spark, str(tmp_path / "v"))
+    assert rows(back["gene_info"]) == rows(genes) and rows(network.as_json(back["sample"])) == [('{"sample_id":"s","file":"f.bam"}',)]
     with pytest.raises(ValueError):
         write_viewer(str(tmp_path / "w"), totals.union(totals), edges, genes, samples)
     assert network.exactly_one(network.lookup_gene(genes, "g2")).symbol == "y"
@@ -409,6 +411,31 @@ def class_file(spark, haps, targets, samples, a, n):
     return Profile.of_classes(t | {"a": spark.createDataFrame(a, "ec_id long, target_idx long, mask long"), "n": spark.createDataFrame(n, "ec_id long, sample_idx long, n long")})
 
 
+def test_class_file_of_version_1(spark, tmp_path):
+    """Version 1 has no samples: counts belong to the file; other versions are refused."""
+    text = lambda t: struct.pack("<i", len(t.encode())) + t.encode()
+    head = struct.pack("<ii", 1, 2) + text("A") + text("B") + struct.pack("<i", 2) + text("T1") + struct.pack("<ii", 5, 6) + text("Tä") + struct.pack("<ii", 7, 8)
+    body = struct.pack("<ii", 4, 4) + struct.pack("<4i", 0, 2, 2, 4) + struct.pack("<4i", 0, 1, 0, 1) + struct.pack("<4i", 3, 1, 2, 2) + struct.pack("<i", 3) + struct.pack("<3i", 4, 9, 1)
+    (tmp_path / "old.ec").write_bytes(head + body)
+    tables = ec.read_ec(spark, str(tmp_path / "old.ec"))
+    assert rows(tables["samples"]) == [(0, "old.ec")] and rows(tables["n"]) == [(0, 0, 4), (1, 0, 9), (2, 0, 1)]
+    assert rows(tables["a"]) == [(0, 0, 3), (0, 1, 1), (2, 0, 2), (2, 1, 2)] and rows(tables["lengths"]) == [(0, 0, 5), (0, 1, 6), (1, 0, 7), (1, 1, 8)]
+    p = Profile.of_classes(tables)
+    assert rows(collapse.named_keys(p.a)) == [(0, "T1:A,T1:B,Tä:A"), (2, "T1:B,Tä:B")] and rows(p.n) == [(0, "old.ec", 4), (1, "old.ec", 9), (2, "old.ec", 1)]
+    (tmp_path / "none.ec").write_bytes(struct.pack("<i", 0))
+    with pytest.raises(Exception, match="version 0"):
+        ec.read_ec(spark, str(tmp_path / "none.ec"))["a"].count()
+
+
+def test_two_dimensional_operands(spark):
+    a = spark.createDataFrame([(0, "T", "A", 1.0), (1, "T", "B", 4.0)], "ec_id long, target string, hap string, v double")
+    plane, haps = spark.createDataFrame([(0, "T", 1.0), (1, "U", 2.0)], "ec_id long, target string, v double"), spark.createDataFrame([(0, "A"), (1, "B")], "hap_idx int, hap string")
+    assert rows(algebra.add(a, plane, haps)) == [(0, "T", "A", 2.0), (0, "T", "B", 1.0), (1, "T", "B", 4.0), (1, "U", "A", 2.0), (1, "U", "B", 2.0)]
+    assert rows(algebra.subtract(a, plane, haps)) == [(0, "T", "B", -1.0), (1, "T", "B", 4.0), (1, "U", "A", -2.0), (1, "U", "B", -2.0)]
+    with pytest.raises(ValueError):
+        algebra.add(a, plane)
+
+
 def test_merge_by_name(spark):
     """Orders of names differ; the second file's class 2 and the first's class 3 have no rows."""
     one = class_file(spark, ["A", "B"], ["T1", "T2"], ["s", "t"], [(0, 0, 1), (1, 1, 1), (2, 0, 3)], [(0, 0, 5), (1, 0, 6), (2, 1, 7), (3, 0, 8)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from .functions import bits
 from .model import Profile
 from .operators import algebra, classes, collapse, incidence, network, summary
 from .plans.adapters import line_alignments, line_incidence, part_genes, read_incidence, table
+from .sinks.ec import write_ec
+from .sources.ec import read_ec
 from .sources.text import all_targets, name_differences
+from .tables import shared_folder, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -378,6 +383,30 @@ def ec_merge_files(spark, sf_dir):
     return both.n.join(collapse.named_keys(both.a), "ec_id").select("ec_key", "sample", "n")
 
 
+@query(
+    """select (dense_rank() over (order by ec_key) - 1)::bigint as ec_id, array_to_string(list_sort(list_transform(string_split(ec_key, ','), lambda x: x || ':X')), ',') as ec_key, cell::varchar as sample, n
+  from (select ec_key, cell, count(*) as n from s group by ec_key, cell)""",
+    _LINES,
+    _SETS,
+)
+def class_file(spark, sf_dir):
+    """Classes per cell as one class file in the shared folder, written by ranges and read back."""
+    counts = written(_counted(spark, sf_dir, ["cell"]), "counts")
+    counts = written(classes.renumbered(counts), "numbered")
+    loci = counts.select("ec_id", F.explode(F.split("ec_key", ",")).alias("target")).distinct()
+    dense = lambda df, key, name: written(classes.dense_index(df.select(key, F.col(key).alias("_k")), key, "_k", name), name)
+    targets, samples = dense(loci, "target", "target_idx"), dense(counts, "cell", "sample_idx").withColumn("sample", F.col("cell").cast("string"))
+    haplotypes = spark.createDataFrame([(0, "X")], "hap_idx long, hap string")
+    tables = {
+        "haplotypes": haplotypes, "targets": targets, "samples": samples, "lengths": targets.select("target_idx", F.lit(0).alias("hap_idx"), F.lit(1).alias("length")),
+        "a": loci.join(targets, "target").select("ec_id", "target_idx", F.lit(1).alias("mask")), "n": counts.join(samples, "cell").select("ec_id", "sample_idx", "n"),
+    }
+    path = f"{shared_folder(spark)}/classes-{uuid.uuid4().hex}.ec"
+    write_ec(path, tables, counts.select("ec_id").distinct().count())
+    back = Profile.of_classes(read_ec(spark, path))
+    return back.n.join(collapse.named_keys(back.a), "ec_id").select("ec_id", "ec_key", "sample", "n")
+
+
 @query("select ec_key, count(*) as n from (select l_orderkey, string_agg(distinct l_partkey::varchar, ',' order by l_partkey::varchar) as ec_key from lineitem where l_linestatus = 'F' group by l_orderkey) group by ec_key")
 def ec_counts_parts(spark, sf_dir):
     """Classes over thousands of loci (parts), counted by fingerprints."""

@@ -9,6 +9,7 @@ of rows, each by its own task; only names are read when planning.
 from __future__ import annotations
 
 import os
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import open_file
+
 SCHEMAS = {
     "haplotypes": "hap_idx bigint, hap string",
     "targets": "target_idx bigint, target string",
@@ -42,12 +45,32 @@ def _ints(f, n: int) -> list[int]:
     return np.frombuffer(f.read(4 * n), "<i4").tolist()
 
 
+@dataclass
+class _Numbers:
+    """Numbers of a file, each read when it is asked for, so that a search reads few of them."""
+
+    file: object
+    offset: int
+    size: int
+
+    def __len__(self):
+        return self.size
+
+    def __getitem__(self, k: int) -> int:
+        return int(_at(self.file, self.offset + 4 * k, 1)[0])
+
+
+def _at(f, offset: int, n: int) -> np.ndarray:
+    f.seek(offset)
+    return np.frombuffer(f.read(4 * n), "<i4")
+
+
 def _text(f) -> str:
     return f.read(_ints(f, 1)[0]).decode()
 
 
 def layout(path: str) -> _Layout:
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         version = _ints(f, 1)[0]
         if version not in (1, 2):
             raise ValueError(f"class files of version {version} can't be read")
@@ -94,20 +117,16 @@ class EcReader(DataSourceReader):
     def _entries(self, at: _Layout, low: int, high: int):
         offset, size, nnz = at.a if self.table == "a" else at.n
         whole = lambda x: pa.array(np.asarray(x, np.int64))
-        with open(self.path, "rb") as f:
+        with open_file(self.path) as f:
             if self.table == "n" and at.version == 1:
-                f.seek(offset + 4 * low)
-                ids, counts = np.arange(low, high), np.fromfile(f, "<i4", high - low)
-                return pa.RecordBatch.from_arrays([whole(ids), whole(np.zeros(high - low)), whole(counts)], ["ec_id", "sample_idx", "n"])
-            # only the pages that the search meets are read
-            indptr = np.memmap(self.path, "<i4", "r", offset, (size,))
-            first = np.searchsorted(indptr, low, side="right") - 1
-            last = np.searchsorted(indptr, high - 1, side="right")
-            major = np.searchsorted(indptr[first : last + 1], np.arange(low, high), side="right") - 1 + first
-            f.seek(offset + 4 * (size + low))
-            minor = np.fromfile(f, "<i4", high - low)
-            f.seek(offset + 4 * (size + nnz + low))
-            data = np.fromfile(f, "<i4", high - low)
+                counts = _at(f, offset + 4 * low, high - low)
+                return pa.RecordBatch.from_arrays([whole(np.arange(low, high)), whole(np.zeros(high - low)), whole(counts)], ["ec_id", "sample_idx", "n"])
+            starts = _Numbers(f, offset, size)
+            first = bisect_right(starts, low) - 1
+            last = bisect_left(starts, high)
+            major = np.searchsorted(_at(f, offset + 4 * first, last - first + 1), np.arange(low, high), side="right") - 1 + first
+            minor = _at(f, offset + 4 * (size + low), high - low)
+            data = _at(f, offset + 4 * (size + nnz + low), high - low)
         if self.table == "a":  # rows are classes
             return pa.RecordBatch.from_arrays([whole(major), whole(minor), whole(data)], ["ec_id", "target_idx", "mask"])
         return pa.RecordBatch.from_arrays([whole(minor), whole(major), whole(data)], ["ec_id", "sample_idx", "n"])

@@ -11,6 +11,7 @@ from tessera.functions import bits
 from tessera.model import Profile
 from tessera.operators import algebra, classes, collapse, incidence, network, summary
 from tessera.queries import ORACLE, QUERIES
+from tessera.sinks import ec as ec_sink
 from tessera.sinks.bam import block_of, split_bam
 from tessera.sinks.ec import read_viewer, write_ec, write_read_samples, write_samples, write_viewer
 from tessera.sources import bam, ec, fastq, text
@@ -349,6 +350,51 @@ def test_class_file_round_trip(spark, tmp_path):
     assert rows(both.class_tables()["a"]) == [(0, 0, 3), (0, 1, 1), (1, 1, 2)]
 
 
+def _matrix(cells: dict[tuple[int, int], int], size: int) -> bytes:
+    starts = [sum(k[0] < m for k in cells) for m in range(size + 1)]
+    order = sorted(cells)
+    return struct.pack(f"<{2 + len(starts) + 2 * len(order)}i", size + 1, len(order), *starts, *[k[1] for k in order], *[cells[k] for k in order])
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_class_file_from_ranges(spark, tmp_path, monkeypatch, adaptive):
+    """Slices that tasks wrote give the very bytes of a plain writer: a row that holds nearly all
+    entries, rows without any between, before and after, steps smaller than a slice, empty matrices."""
+    monkeypatch.setattr(ec_sink, "STEP", 50)
+    monkeypatch.setattr(ec, "RANGE_ROWS", 70)
+    a = {(m, t): (m + t) % 3 + 1 for m in (*range(100, 400, 3), 700) for t in range(m % 5)}
+    n = {**{(1, m): m + 1 for m in range(0, 900, 2)}, (3, 5): 7, (3, 899): 1}
+    frame = lambda cells, names: spark.createDataFrame([(*k, v) for k, v in cells.items()], names).repartition(7)
+    tables = {
+        "haplotypes": spark.createDataFrame([(0, "A"), (1, "B")], "hap_idx long, hap string"), "lengths": spark.createDataFrame([(0, 0, 5)], "target_idx long, hap_idx long, length long"),
+        "targets": spark.createDataFrame([(t, f"T{t}") for t in range(5)], "target_idx long, target string"), "samples": spark.createDataFrame([(s, f"s{s}") for s in range(5)], "sample_idx long, sample string"),
+        "a": frame(a, "ec_id long, target_idx long, mask long"), "n": frame(n, "sample_idx long, ec_id long, n long"),
+    }
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        write_ec(str(tmp_path / "x.ec"), tables, 900)
+        write_ec(f"file://{tmp_path}/none.ec", dict(tables, a=tables["a"].where("false"), n=tables["n"].where("false")), 900)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert (tmp_path / "x.ec").read_bytes().endswith(_matrix(a, 900) + _matrix(n, 5))
+    assert (tmp_path / "none.ec").read_bytes().endswith(_matrix({}, 900) + _matrix({}, 5))
+    back = ec.read_ec(spark, f"file://{tmp_path}/x.ec")
+    assert rows(back["a"]) == rows(tables["a"]) and rows(back["n"].select("sample_idx", "ec_id", "n")) == rows(tables["n"])
+
+
+def test_class_file_refuses_what_it_cannot_hold(spark, tmp_path):
+    one = lambda *r: spark.createDataFrame(list(r), "ec_id long, target_idx long, mask long")
+    tables = {
+        "haplotypes": spark.createDataFrame([(0, "A")], "hap_idx long, hap string"), "lengths": spark.createDataFrame([(0, 0, 5)], "target_idx long, hap_idx long, length long"),
+        "targets": spark.createDataFrame([(0, "T")], "target_idx long, target string"), "samples": spark.createDataFrame([(0, "s")], "sample_idx long, sample string"),
+        "n": spark.createDataFrame([(0, 0, 1)], "ec_id long, sample_idx long, n long"),
+    }
+    for bad in (one((2, 0, 1)), one((0, 1, 1)), one((0, 0, -1)), one((0, 0, 1 << 31)), one((0, 0, None)), one((0, 0, 1), (0, 0, 1))):
+        with pytest.raises(Exception, match="outside a matrix|two entries"):
+            write_ec(str(tmp_path / "bad.ec"), dict(tables, a=bad), 2)
+    assert not list(tmp_path.iterdir())
+
+
 def test_profile_of_a_single_sample(spark, bam_file, tmp_path):
     """Fixture A from the file to the reports, and through a class file and a folder of tables."""
     al, refs = bam.read_bam(spark, bam_file), bam.read_refs(spark, bam_file)

@@ -5,14 +5,15 @@ k edits keeps one whole.  Lines meet in buckets of equal (length, segment number
 segment), the longer line probing with its substrings of fitting place and
 length, and are verified there by banded bit-parallel edit distance.  Buckets of
 many lines are split by a second round of segments over the rest of the lines.
-Only verified links make classes; no candidate pair is ever a row.
+Only verified links make classes; no candidate pair is ever a row.  Inside a
+class a line goes only for one that stays and that it is near to.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,21 +176,30 @@ def _sifted(bounds: np.ndarray, own: np.ndarray, side: np.ndarray, lines: list[s
         step += 1
 
 
+def _pairs(batches, edits: int, per: int):
+    """(table, lines, ids, node, left, right, most) of runs of (key, i, j): the pairs of places that may be near, each once, as places of lines; `node` numbers the ids."""
+    for table, bounds in keyed_runs(batches, ["key", "i", "j"]):
+        lines = table.column("text").to_pylist()
+        ids, node = np.unique(table.column("id").to_numpy(), return_inverse=True)
+        cross = table.column("i").to_numpy() != table.column("j").to_numpy()
+        side = np.where(cross, table.column("side").to_numpy(), -1)
+        found = list(_sifted(np.asarray(bounds), table.column("own").to_numpy(zero_copy_only=False), side, lines, edits, per))
+        left, right, most = (np.concatenate([f[x] for f in found]) if found else np.empty(0, int) for x in range(3))
+        pair = np.minimum(node[left], node[right]) * len(ids) + np.maximum(node[left], node[right])
+        _, once = np.unique(pair, return_index=True)
+        once = once[node[left[once]] != node[right[once]]]
+        yield table, lines, ids, node, left[once], right[once], most[once]
+
+
+def _near(lines: list[str], left: np.ndarray, right: np.ndarray, most: np.ndarray, edits: int) -> np.ndarray:
+    return within([(lines[a], lines[b]) for a, b in zip(left.tolist(), right.tolist(), strict=True)], edits) <= most
+
+
 def _verify(edits: int, per: int):
     """A spanning forest of the links that the runs of (key, i, j) hold."""
 
     def task(batches):
-        for table, bounds in keyed_runs(batches, ["key", "i", "j"]):
-            lines = table.column("text").to_pylist()
-            ids, node = np.unique(table.column("id").to_numpy(), return_inverse=True)
-            cross = table.column("i").to_numpy() != table.column("j").to_numpy()
-            side = np.where(cross, table.column("side").to_numpy(), -1)
-            found = list(_sifted(np.asarray(bounds), table.column("own").to_numpy(zero_copy_only=False), side, lines, edits, per))
-            left, right, most = (np.concatenate([f[x] for f in found]) if found else np.empty(0, int) for x in range(3))
-            pair = np.minimum(node[left], node[right]) * len(ids) + np.maximum(node[left], node[right])
-            _, once = np.unique(pair, return_index=True)
-            once = once[node[left[once]] != node[right[once]]]
-            left, right, most = left[once], right[once], most[once]
+        for _, lines, ids, node, left, right, most in _pairs(batches, edits, per):
             root = np.arange(len(ids))
 
             def find(x: int) -> int:
@@ -201,7 +211,7 @@ def _verify(edits: int, per: int):
             u, v = [], []
             while len(left):
                 l, r, k = left[:WAVE], right[:WAVE], most[:WAVE]
-                close = within([(lines[a], lines[b]) for a, b in zip(l.tolist(), r.tolist(), strict=True)], edits) <= k
+                close = _near(lines, l, r, k, edits)
                 for a, b in zip(node[l[close]].tolist(), node[r[close]].tolist(), strict=True):
                     x, y = find(a), find(b)
                     if x != y:
@@ -219,20 +229,61 @@ def _verify(edits: int, per: int):
     return task
 
 
+def _least(edits: int, per: int):
+    """For lines of the runs of (key, i, j), the least rank among the lines near to them that rank before them.
+
+    Pairs are taken by the rank of the lesser line, so a line that has its least needs no more comparisons.
+    """
+
+    def task(batches):
+        for table, lines, ids, node, left, right, most in _pairs(batches, edits, per):
+            rank, kept = table.column("rank").to_numpy(), table.column("kept").to_numpy(zero_copy_only=False)
+            swap = rank[left] > rank[right]
+            left, right = np.where(swap, right, left), np.where(swap, left, right)
+            order = np.argsort(rank[left], kind="stable")
+            left, right, most = (x[order][~kept[right[order]]] for x in (left, right, most))
+            least: dict[int, int] = {}
+            known = np.zeros(len(ids), bool)
+            while len(left):
+                l, r = left[:WAVE], right[:WAVE]
+                close = _near(lines, l, r, most[:WAVE], edits)
+                for a, b in zip(rank[l[close]].tolist(), node[r[close]].tolist(), strict=True):
+                    least.setdefault(b, a)
+                known[list(least)] = True
+                left, right, most = left[WAVE:], right[WAVE:], most[WAVE:]
+                open_ = ~known[node[right]]
+                left, right, most = left[open_], right[open_], most[open_]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[list(least)], pa.int64()), pa.array(list(least.values()), pa.int64())], ["id", "least"])
+
+    return task
+
+
+def _apart(edits: int, per: int):
+    """The ids of lines (id, text, head) that aren't near to the head of their class."""
+
+    def task(batches):
+        for batch in batches:
+            ids, lines, heads = batch.column("id").to_numpy(), batch.column("text").to_pylist(), batch.column("head").to_pylist()
+            most = np.array([allowed(min(len(a), len(b)), edits, per) for a, b in zip(lines, heads, strict=True)], int)
+            far = within(list(zip(lines, heads, strict=True)), edits) > most if len(ids) else np.empty(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[far], pa.int64())], ["id"])
+
+    return task
+
+
 def _line_column(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
-def _verified(entries: DataFrame, sizes: DataFrame | None, members: DataFrame, edits: int, per: int) -> DataFrame:
-    """Links of the entries (key, id, own); `sizes` (key, n) cuts large buckets into blocks of pairs."""
+def _met(entries: DataFrame, sizes: DataFrame | None, members: DataFrame, task, schema: str) -> DataFrame:
+    """What `task` finds in the buckets of the entries (key, id, own) of `members` (id, text, ...); `sizes` (key, n) cuts large buckets into blocks of pairs."""
     n = partitions(entries.sparkSession)
-    texts = members.select("id", "text")
     if sizes is None:
         rows = entries.select("key", "id", "own", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
     else:
         rows = block_pairs(entries.join(sizes, "key"), "id", F.ceil(F.col("n") / BUCKET_ROWS)).select("key", "id", "own", "i", "j", "side")
-    rows = rows.join(texts, "id").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_verify(edits, per), "u long, v long")
+    rows = rows.join(members.drop("near", "digest"), "id").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(task, schema)
 
 
 def _candidates(docs: DataFrame, edits: int, per: int) -> tuple[DataFrame, DataFrame]:
@@ -251,16 +302,42 @@ def _candidates(docs: DataFrame, edits: int, per: int) -> tuple[DataFrame, DataF
     return members, materialize(entries, "entries")
 
 
-def _links(members: DataFrame, entries: DataFrame, edits: int, per: int) -> DataFrame:
+def _links(members: DataFrame, entries: DataFrame, edits: int, per: int, task=_verify, schema: str = "u long, v long") -> DataFrame:
+    work = task(edits, per)
     over = materialize(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS).select("key"), "over")
     if over.isEmpty():
-        return _verified(entries, None, members, edits, per)
+        return _met(entries, None, members, work, schema)
     large = broadcast_if_small(over, 16)
-    small = _verified(entries.join(large, "key", "left_anti"), None, members, edits, per)
+    small = _met(entries.join(large, "key", "left_anti"), None, members, work, schema)
     pieces = entries.join(large, "key").join(members.select("id", "text"), "id").select("key", "id", "text").mapInArrow(_split(edits, per), "key long, id long, own boolean")
     pieces = materialize(pieces.groupBy("key", "id").agg(F.max(F.col("own").cast("int")).alias("own")), "pieces")
     sizes = pieces.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("o")).where("n > 1 and o = 1").select("key", "n")
-    return small.unionByName(_verified(pieces.withColumn("own", F.col("own") == 1), sizes, members, edits, per))
+    return small.unionByName(_met(pieces.withColumn("own", F.col("own") == 1), sizes, members, work, schema))
+
+
+def _settled(members: DataFrame, entries: DataFrame, far: DataFrame, edits: int, per: int) -> DataFrame:
+    """(id, keep_id) of the lines in `far` (id): each is near to its keep_id, which stays.
+
+    Lines are taken by a rank that is a hash: one stays if no line before it that is
+    near stays, otherwise the first such line keeps its place.  In a round a line is
+    decided once the first undecided line near to it is; as ranks are random, the
+    rounds grow with the logarithm of the lines.
+    """
+    rank = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
+    few = broadcast_if_small(far, 8)
+    active = materialize(members.join(few, "id").select("id", "text", rank.alias("rank"), F.lit(False).alias("kept")), "active")
+    entries = materialize(entries.join(few, "id"), "own")
+    done: list[DataFrame] = []
+    while True:
+        ids = broadcast_if_small(active.select("id"), 8)
+        least = _links(active, entries.join(ids, "id", "left_semi"), edits, per, _least, "id long, least long").groupBy("id").agg(F.min("least").alias("least"))
+        first = active.select(F.col("rank").alias("least"), F.col("id").alias("keep_id"), F.col("kept").alias("stays"))
+        new = active.join(least, "id", "left").join(first, "least", "left")
+        new = materialize(new.select("id", "text", "rank", F.col("least").isNull().alias("kept"), F.when(F.col("stays"), F.col("keep_id")).alias("keep_id")), "active")
+        done.append(new.where("keep_id is not null").select("id", "keep_id"))
+        active = new.where("keep_id is null").drop("keep_id")
+        if active.where("not kept").isEmpty():
+            return reduce(DataFrame.unionByName, done, active.select("id", F.col("id").alias("keep_id")))
 
 
 def _found(rows: DataFrame, edits: int, per: int) -> DataFrame:
@@ -269,13 +346,24 @@ def _found(rows: DataFrame, edits: int, per: int) -> DataFrame:
     lines = materialize(own.mapInArrow(_list, "row long, doc_id long, raw long, line int, digest binary"), "lines")
     members, entries = _candidates(own, edits, per)
     classes = connected_components(materialize(_links(members, entries, edits, per), "links")).withColumnsRenamed({"node": "id", "component": "class"})
-    classes = materialize(classes.join(members.select("id", "digest"), "id").select("digest", "class"), "classes")
+    classes = materialize(classes.join(members.select("id", "digest"), "id").select("id", "digest", "class"), "classes")
 
     where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw", "row", "line")
     first = materialize(lines.where("line >= 0").groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("n")), "first")
-    classed = materialize(first.join(broadcast_if_small(classes, 48), "digest"), "classed")
-    heads = classed.groupBy("class").agg(F.min(F.struct("first", "digest")).alias("head"))
-    kept = classed.join(heads, "class").select("digest", F.col("head.first").alias("keep"), (F.col("head.digest") != F.col("digest")).alias("near"))
+    classed = materialize(first.join(broadcast_if_small(classes, 56), "digest"), "classed")
+    heads = classed.groupBy("class").agg(F.min(F.struct("first", "digest", "id")).alias("head"))
+    classed = materialize(classed.join(heads, "class").select("id", "digest", "first", "head"), "headed")
+    texts = members.select("id", "text")
+    mine = classed.where(F.col("id") != F.col("head.id")).select("id", F.col("head.id").alias("_h")).join(texts, "id")
+    theirs = texts.join(classed.select(F.col("head.id").alias("id")).distinct(), "id").select(F.col("id").alias("_h"), F.col("text").alias("head"))
+    far = materialize(mine.join(theirs, "_h").select("id", "text", "head").mapInArrow(_apart(edits, per), "id long"), "far")
+    kept = classed.select("id", "digest", F.col("head.first").alias("keep"), F.col("head.id").alias("keep_id"))
+    if not far.isEmpty():
+        settled = materialize(_settled(members, entries, far, edits, per), "settled")
+        places = classed.select(F.col("id").alias("keep_id"), F.col("first").alias("keep"))
+        other = settled.join(places, "keep_id").join(classed.select("id", "digest"), "id").select("id", "digest", "keep", "keep_id")
+        kept = kept.join(broadcast_if_small(far, 8), "id", "left_anti").unionByName(other)
+    kept = kept.select("digest", "keep", (F.col("id") != F.col("keep_id")).alias("near"))
     plain = first.where("n > 1").join(broadcast_if_small(classes.select("digest"), 32), "digest", "left_anti").select("digest", F.col("first").alias("keep"), F.lit(False).alias("near"))
     keepers = materialize(kept.unionByName(plain), "keepers")
 
@@ -298,9 +386,12 @@ def find_repeated_lines(docs: DataFrame, edits: int = EDITS, per: int = PER_EDIT
     points) is at most `edits` and at most one for every `per` characters of the
     shorter one; lines of fewer than `per` characters therefore only when equal.
     Of each connected class of lines the first stays, by doc_id (null last), then
-    a hash of the text, the row and the line number; every other occurrence is
-    dropped.  `dropped` lists (line, keep_doc, keep_line) by line number, where
-    keep_doc and keep_line name the occurrence that stays and so the class; n_near
+    a hash of the text, the row and the line number, and the lines linked to it go.
+    The rest of the class is taken in the order of a hash of the lines: one that is
+    linked to a line of this rest that stays goes for the first such line, the others
+    stay.  So whatever goes is linked to (or equal to) a line that stays.  Of equal lines
+    only the first occurrence can stay.  `dropped` lists (line, keep_doc, keep_line) by
+    line number, where keep_doc and keep_line name the occurrence that stays; n_near
     counts the dropped lines that differ from it.  Null, empty and wordless texts
     have no lines.  Rows are told apart by themselves, so a doc_id may repeat or be
     null; other columns are ignored.

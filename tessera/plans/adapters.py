@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import dealt
+
+BROADCAST_ROWS = 1 << 18  # parts (key, brand, type) that are sent to every executor
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -13,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def line_alignments(spark: SparkSession, sf_dir: str, cell: bool = True) -> DataFrame:
     """Order lines as alignments: read = order, locus = brand, haplotype = return flag, cell = nation.
 
-    Without `cell` the orders and customers aren't joined: every line has both.
+    Without `cell` the orders and customers aren't joined: every line has both.  Parts are
+    sent to every executor while they are few; else each task hashes its share of them, so
+    that lines are never sorted.
     """
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    part = F.broadcast(part) if part.count() <= BROADCAST_ROWS else part.hint("shuffle_hash")
     joined = line.join(part, line.l_partkey == part.p_partkey)
     columns = [F.col("l_orderkey").alias("read_id"), F.col("p_brand").alias("target"), F.col("l_returnflag").alias("hap"), "l_partkey", "l_suppkey", "l_shipdate", "l_linestatus", "p_type"]
     if not cell:
@@ -24,10 +31,11 @@ def line_alignments(spark: SparkSession, sf_dir: str, cell: bool = True) -> Data
     return joined.join(orders, line.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey")).select(*columns, F.col("c_nationkey").alias("cell"))
 
 
-def line_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incidence (ec_id = read, target, hap, v) of valid lines."""
-    lines = line_alignments(spark, sf_dir, cell=False).where("l_linestatus = 'F'")
-    return lines.select(F.col("read_id").alias("ec_id"), "target", "hap").distinct().withColumn("v", F.lit(1.0))
+def line_incidence(spark: SparkSession, sf_dir: str, status: str = "F", v: float = 1.0, by: tuple[str, ...] = ("ec_id",)) -> DataFrame:
+    """Incidence (ec_id = read, target, hap, v) of the lines of one status, valid ones if not
+    said otherwise, dealt by the columns `by`."""
+    lines = line_alignments(spark, sf_dir, cell=False).where(F.col("l_linestatus") == status).select(F.col("read_id").alias("ec_id"), "target", "hap")
+    return dealt(lines, table(spark, sf_dir, "lineitem").count(), *by).distinct().withColumn("v", F.lit(v))
 
 
 def read_incidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

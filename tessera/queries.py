@@ -269,8 +269,13 @@ def recollapse_bundled_counts(spark, sf_dir):
 _B = "b as (select distinct read_id as ec_id, target, hap, 2.0::double as v from al where l_linestatus = 'O')"
 
 
-def _other(spark, sf_dir):
-    return line_alignments(spark, sf_dir, cell=False).where("l_linestatus = 'O'").select(F.col("read_id").alias("ec_id"), "target", "hap").distinct().withColumn("v", F.lit(2.0))
+def _other(spark, sf_dir, by=("ec_id",)):
+    return line_incidence(spark, sf_dir, "O", 2.0, by)
+
+
+def _cellwise(spark, sf_dir):
+    """Both, dealt by all axes: they are joined by them."""
+    return line_incidence(spark, sf_dir, by=algebra.AXES), _other(spark, sf_dir, algebra.AXES)
 
 
 @query("select ec_id, target, hap, sum(v) as v from (select * from a union all select * from b) group by all", _LINES, _B)
@@ -285,7 +290,7 @@ def mat_sub(spark, sf_dir):
 
 @query("select ec_id, target, hap, a.v * b.v as v from a join b using (ec_id, target, hap)", _LINES, _B)
 def mat_mul_elem(spark, sf_dir):
-    return algebra.multiply(line_incidence(spark, sf_dir), _other(spark, sf_dir))
+    return algebra.multiply(*_cellwise(spark, sf_dir))
 
 
 @query("select ec_id, target, hap, v * 2.5 as v from a", _LINES)
@@ -340,7 +345,7 @@ def reset(spark, sf_dir):
 
 @query("select ec_id, target, hap, 2.0::double as v from b union all select ec_id, target, hap, v from a where not exists (select 1 from b where b.ec_id = a.ec_id and b.target = a.target and b.hap = a.hap)", _LINES, _B)
 def set_value(spark, sf_dir):
-    return algebra.set_value(line_incidence(spark, sf_dir), _other(spark, sf_dir))
+    return algebra.set_value(*_cellwise(spark, sf_dir))
 
 
 @query("select count(distinct target) as num_loci, count(distinct hap) as num_haplotypes, count(*) as nnz, (select count(distinct sample) from n) as num_samples, (select count(distinct ec_id) from n) as num_ecs from a", _LINES)

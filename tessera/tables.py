@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS = 1 << 18  # rows that a task gets from a large table
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`.  Only a local session may lack the setting; it gets a temporary one."""
@@ -26,6 +28,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """`df`, made from `rows` rows, dealt by the hash of `keys` to tasks of about ROWS rows each.
+
+    What is then grouped or joined by these keys (or grouped by more) is shuffled no more, and
+    a task's hash tables stay as small as they are, whatever the size of the table.  Left to
+    itself, Spark has a fixed number of shuffle partitions, merged by their compressed bytes.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)), *keys)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table that `written` gave; nothing may read it any more."""
     spark = df.sparkSession

@@ -7,9 +7,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import tables
 from tessera.functions import bits
 from tessera.model import Profile
 from tessera.operators import algebra, classes, collapse, incidence, network, summary
+from tessera.plans import adapters
 from tessera.queries import ORACLE, QUERIES
 from tessera.sinks import ec as ec_sink
 from tessera.sinks.bam import block_of, split_bam
@@ -541,6 +543,17 @@ def test_pairs_of_large_classes(spark):
     assert network.shared_reads_by(b, n, block=100).exceptAll(network.shared_reads_by(b, n)).isEmpty()
 
 
+@pytest.mark.parametrize("name", ["mat_add"])
+def test_tasks_stay_small(spark, name, monkeypatch):
+    """A table of more rows is dealt to more tasks; with many parts lines meet them in hash tables; rows are the same."""
+    monkeypatch.setattr(tables, "ROWS", 500, raising=False)
+    monkeypatch.setattr(adapters, "BROADCAST_ROWS", 10, raising=False)
+    got = QUERIES[name](spark, SF)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 1500 and len(sizes) > 4
+    test_query_equals_sql(spark, name)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()

@@ -543,7 +543,7 @@ def test_pairs_of_large_classes(spark):
     assert network.shared_reads_by(b, n, block=100).exceptAll(network.shared_reads_by(b, n)).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["mat_add", "mat_sub", "incidence_mask", "mask_decode", "set_value"])
+@pytest.mark.parametrize("name", ["mat_add", "mat_sub", "incidence_mask", "mask_decode", "set_value", "add_plane"])
 def test_tasks_stay_small(spark, name, monkeypatch):
     """A table of more rows is dealt to more tasks; with many parts lines meet them in hash tables; rows are the same."""
     monkeypatch.setattr(tables, "ROWS", 500, raising=False)

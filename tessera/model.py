@@ -99,6 +99,7 @@ class Profile:
         length is that of the first file that has it.
         """
         a, n = collapse.merged([(p.a, p.n) for p in parts])
+        a, n = written(a, "kept_rows"), written(n, "kept_counts")
         index = written(classes.dense_index(n.select("ec_id").unionByName(a.select("ec_id")).withColumn("_o", F.col("ec_id")), "ec_id", "_o", "id"), "merged")
         renumbered = lambda df: df.join(index, "ec_id").drop("ec_id").withColumnRenamed("id", "ec_id")
 
@@ -150,7 +151,7 @@ class Profile:
             count, distinct = names.agg(F.count("*"), F.count_distinct(key)).first()
             if not count or distinct < count:
                 raise ValueError(f"{table}: {count} rows with {distinct} names")
-            if missing := used.join(names, key, "left_anti").select(key).take(1):
+            if missing := used.select(key).distinct().join(names, key, "left_anti").take(1):
                 raise KeyError(f"{table} lack {missing[0][0]}")
         return self
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import discard, written
+from ..tables import dealt, discard, written
 
 PRINT = ["p1", "p2", "k"]
 SEEDS = (17, 71)
@@ -65,9 +65,10 @@ def same_classes(a: DataFrame, n: DataFrame, hashed=lanes) -> DataFrame:
     row with the least of them; what differs after all is grouped by its rows themselves.
     """
     cells = a.where("v <> 0").select("ec_id", *AXES, "v")
-    h1, h2 = hashed(*AXES, "v")
-    prints = cells.select("ec_id", h1.alias("h1"), h2.alias("h2")).groupBy("ec_id").agg(*_folded())
-    every = n.select("ec_id").unionByName(a.select("ec_id")).distinct().join(prints, "ec_id", "left").na.fill(0, PRINT)
+    hashes = [F.when(F.col("v") != 0, h).otherwise(0) for h in hashed(*AXES, "v")]
+    none = n.select("ec_id", *[F.lit(0).cast("long").alias(c) for c in PRINT])
+    own = a.select("ec_id", *[h.alias(c) for h, c in zip(hashes, PRINT)], (F.coalesce("v", F.lit(0)) != 0).cast("long").alias("k"))
+    every = own.unionByName(none).groupBy("ec_id").agg(F.bit_xor("p1").alias("p1"), F.bit_xor("p2").alias("p2"), F.sum("k").alias("k"))
     least = every.groupBy(*PRINT).agg(F.min("ec_id").alias("first"))
     found = written(every.join(least, PRINT).select("ec_id", "first", "k"), "classes")
     others = found.where("ec_id <> first")
@@ -107,8 +108,13 @@ def named_keys(a: DataFrame) -> DataFrame:
 
 def merged(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """Incidence and counts of several files as one: classes are the same if their targets and
-    haplotypes have the same names.  A class is known by its first file and its number there."""
-    own = lambda df, k: df.withColumn("ec_id", F.struct(F.lit(k).alias("file"), F.col("ec_id").cast("long").alias("ec_id")))
+    haplotypes have the same names.  A class is known by its first file and its number there:
+    the file from bit 48 on."""
+    number = F.col("ec_id").cast("long")
+    fits = F.when(number.between(0, (1 << 48) - 1), number).otherwise(F.raise_error(F.concat(F.lit("no class number below 2^48: "), F.coalesce(number.cast("string"), F.lit("null")))).cast("long"))
+    own = lambda df, k: df.withColumn("ec_id", fits + F.lit(k << 48))
     a = reduce(DataFrame.unionByName, [own(a, k).select("ec_id", *AXES, "v") for k, (a, _) in enumerate(parts)])
     n = reduce(DataFrame.unionByName, [own(n, k).select("ec_id", "sample", "n") for k, (_, n) in enumerate(parts)])
+    a, n = written(a, "merged_rows"), written(n, "merged_counts")
+    a, n = (dealt(df, df.count(), "ec_id") for df in (a, n))
     return recollapse(a, n)

@@ -18,10 +18,10 @@ def incidence(classes: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def to_mask(a: DataFrame, haplotypes: DataFrame) -> DataFrame:
-    """(ec_id, target, mask): one bit per aligned haplotype, from haplotypes (hap, hap_idx)."""
-    return a.where("v <> 0").join(haplotypes, "hap").groupBy("ec_id", "target").agg(F.bit_or(mask_of(F.col("hap_idx"))).alias("mask"))
+    """(ec_id, target, mask): one bit per aligned haplotype, from haplotypes (hap, hap_idx), at most 63."""
+    return a.where("v <> 0").join(F.broadcast(haplotypes), "hap").groupBy("ec_id", "target").agg(F.bit_or(mask_of(F.col("hap_idx"))).alias("mask"))
 
 
 def from_mask(masked: DataFrame, haplotypes: DataFrame) -> DataFrame:
     planes = masked.select("ec_id", "target", F.explode(set_bits(F.col("mask"))).alias("hap_idx"))
-    return planes.join(haplotypes, "hap_idx").select("ec_id", "target", "hap", F.lit(1.0).alias("v"))
+    return planes.join(F.broadcast(haplotypes), "hap_idx").select("ec_id", "target", "hap", F.lit(1.0).alias("v"))

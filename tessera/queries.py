@@ -369,10 +369,10 @@ def _class_file(spark, sf_dir, status: str, haps: list[str]) -> Profile:
     order = spark.createDataFrame(list(enumerate(haps)), "hap_idx long, hap string")
     targets = table(spark, sf_dir, "part").select(F.col("p_brand").alias("target")).distinct()
     targets = classes.dense_index(targets.withColumn("_o", F.col("target")), "target", "_o", "target_idx")
-    a = incidence.to_mask(lines.select(F.col("read_id").alias("ec_id"), "target", "hap").distinct().withColumn("v", F.lit(1.0)), order)
+    a = incidence.to_mask(line_incidence(spark, sf_dir, status), order)
     n = lines.groupBy(F.col("read_id").alias("ec_id")).agg(F.count("*").alias("n")).withColumn("sample_idx", F.col("ec_id") % 2)
     names = spark.createDataFrame([(0, f"{status}0"), (1, "shared")], "sample_idx long, sample string")
-    named = a.join(targets, "target").select("ec_id", "target_idx", "mask")
+    named, n = written(a.join(targets, "target").select("ec_id", "target_idx", "mask"), "masks"), written(n, "counts")  # read many times
     return Profile.of_classes({"haplotypes": order, "targets": targets, "samples": names, "lengths": targets.select("target_idx", F.lit(0).cast("long").alias("hap_idx"), F.lit(1).cast("long").alias("length")), "a": named, "n": n})
 
 

@@ -498,6 +498,11 @@ def test_merge_by_name(spark):
     assert rows(back.a) == rows(p.a)
 
 
+def test_merging_reads_lines_once(spark):
+    """Class files are written before they are merged, so what follows doesn't make them from lines again."""
+    assert not [f for f in QUERIES["ec_merge_files"](spark, SF).inputFiles() if "lineitem" in f]
+
+
 @pytest.mark.parametrize("hashed", [collapse.lanes, lambda *c: [F.lit(1).cast("long")] * 2])
 def test_recollapse(spark, hashed):
     """Also when all rows share one hash, so that only the comparison of rows tells classes apart."""

@@ -18,11 +18,15 @@ def line_alignments(spark: SparkSession, sf_dir: str, cell: bool = True) -> Data
     """Order lines as alignments: read = order, locus = brand, haplotype = return flag, cell = nation.
 
     Without `cell` the orders and customers aren't joined: every line has both.  Parts are
-    sent to every executor while they are few; else each task hashes its share of them, so
-    that lines are never sorted.
+    sent to every executor while they are few; else both are dealt by part, and each task
+    hashes its share of the parts, so that lines are never sorted.
     """
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    part = F.broadcast(part) if part.count() <= BROADCAST_ROWS else part.hint("shuffle_hash")
+    if part.count() <= BROADCAST_ROWS:
+        part = F.broadcast(part)
+    else:
+        rows = line.count()
+        line, part = dealt(line, rows, "l_partkey"), dealt(part, rows, "p_partkey").hint("shuffle_hash")
     joined = line.join(part, line.l_partkey == part.p_partkey)
     columns = [F.col("l_orderkey").alias("read_id"), F.col("p_brand").alias("target"), F.col("l_returnflag").alias("hap"), "l_partkey", "l_suppkey", "l_shipdate", "l_linestatus", "p_type"]
     if not cell:

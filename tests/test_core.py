@@ -1,5 +1,6 @@
 """Micro fixtures with results derived by hand, round trips and the registered queries against SQL."""
 
+import re
 import struct
 import zlib
 
@@ -559,6 +560,15 @@ def test_tasks_stay_small(spark, name, monkeypatch):
     test_query_equals_sql(spark, name)
 
 
+@pytest.mark.parametrize("name", ["mat_add", "mat_sub"])
+def test_joins_of_lines_are_dealt(spark, name, monkeypatch):
+    """Lines meet many parts in as many tasks as there are rows for; nothing depends on the number of shuffle partitions."""
+    monkeypatch.setattr(tables, "ROWS", 500)
+    monkeypatch.setattr(adapters, "BROADCAST_ROWS", 10)
+    shuffles = re.findall(r"hashpartitioning\([^)]*, (\d+)\)", QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert set(shuffles) == {str(-(-adapters.table(spark, SF, "lineitem").count() // 500))}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()

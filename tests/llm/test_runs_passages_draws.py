@@ -6,11 +6,13 @@ import math
 import random
 import re
 import zlib
+from functools import partial
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import passage_dedup as passages
 from tessera.llm.hashing import text_slices
@@ -125,6 +127,23 @@ def test_one_passage_in_very_many_texts(spark):
     check_passages(spark, ["".join(draw.choice("xyz") for _ in range(draw.randrange(30))) + passage + "".join(draw.choice("uvw") for _ in range(draw.randrange(30))) for _ in range(1500)], 32, 40)
 
 
+def test_marks_of_a_frequent_string_stay_apart(spark, monkeypatch):
+    marks = spark.range(0, 4000, 1, 8).selectExpr("id as row", "0 as at", "if(id % 40 = 0, id div 80, -1) as core", "if(id % 40 = 0, if(id div 80 % 2 = 0, 0, id % 3), 7) as around")
+    strings = marks.groupBy("core", "around").agg(F.count("*").alias("n"))
+    plain = marks.join(strings.where("n > 1"), ["core", "around"], "left_semi")
+    for often in (100, 1 << 20):
+        assert sorted(passages._twice(marks, strings, often).collect()) == sorted(plain.collect())
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if there were too many strings
+    try:
+        parts = passages._twice(marks, strings, 100).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert max(p["count"] for p in parts) <= 600  # 3,950 while the frequent string's marks met in one task
+    monkeypatch.setattr(passages, "_twice", partial(passages._twice, often=2))
+    check_passages(spark, changed_texts(3, 300), 12, 3)
+
+
 def test_passages_of_the_small_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     check_passages(spark, [r.text for r in docs.collect()], 400, 1000)
